@@ -9,7 +9,7 @@ from demandgrid.functions.numeric import count_where, ratio, share_pct
 from demandgrid.functions.quantiles import quantile_columns
 from demandgrid.operators.metrics import abs_err, act, err, prd
 from demandgrid.operators.ranking import ranked_top
-from demandgrid.schema import ACTUAL, KEY, PRED_DATE
+from demandgrid.schema import ACTUAL, KEY, PRED_DATE, PREDICTED
 
 # Fixed values of the data model.
 SCALE_BANDS = ((10.0, "0-10"), (50.0, "10-50"), (100.0, "50-100"), (500.0, "100-500"))
@@ -72,19 +72,20 @@ def bias_by_scale(pred: DataFrame) -> DataFrame:
 
 def bias_by_key(pred: DataFrame, key: str = KEY) -> DataFrame:
     """Sums, means, spreads and ratios per key, and predicted / actual of the sums."""
-    stats = pred.filter(F.col(key).isNotNull()).groupBy(key).agg(
+    rows = pred.filter(F.col(key).isNotNull()).select(key, ACTUAL, PREDICTED, pred_ratio().alias("_r"))
+    stats = rows.groupBy(key).agg(
         F.sum(act()).alias("actual_value_sum"),
         F.avg(act()).alias("actual_value_mean"),
         F.stddev_samp(act()).alias("actual_value_std"),
         F.sum(prd()).alias("predicted_value_sum"),
         F.avg(prd()).alias("predicted_value_mean"),
         F.stddev_samp(prd()).alias("predicted_value_std"),
-        F.avg(pred_ratio()).alias("prediction_ratio_mean"),
-        F.percentile(pred_ratio(), F.lit(0.5)).alias("prediction_ratio_median"),
+        F.avg("_r").alias("prediction_ratio_mean"),
         F.avg(err()).alias("absolute_error_mean"),
     )
     score = ratio(F.col("predicted_value_sum"), F.col("actual_value_sum"))
-    return stats.withColumn("overprediction_score", score)
+    median = quantile_columns(rows, "_r", {"prediction_ratio_median": 0.5}, [key])
+    return stats.withColumn("overprediction_score", score).join(median, key, "left")
 
 
 def bias_rank(by_key: DataFrame, n: int = 10, key: str = KEY) -> DataFrame:

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from itertools import batched, combinations
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,9 +18,6 @@ MISSING_LIMIT = 0.1
 VARIANCE_LIMIT = 0.01
 CORRELATION_LIMIT = 0.95
 
-# Pair correlations per aggregate; more columns take several passes over the scan.
-_PAIRS_PER_PASS = 400
-
 
 def sample_skewness(col: str) -> Column:
     """Bias-corrected skewness, NULL below three values."""
@@ -36,33 +32,31 @@ def sample_kurtosis(col: str) -> Column:
     return F.when(n > 3, scale * ((n + 1.0) * F.kurtosis(col) + 6.0))
 
 
-def _rows_of(df: DataFrame, cols: Sequence[str], stats: dict) -> DataFrame:
-    """One aggregate over all columns, then one row per column."""
-    one = df.agg(
-        *[F.struct(*[f(c).cast("double").alias(name) for name, f in stats.items()]).alias(c) for c in cols]
-    )
-    rows = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"{c}.{s}").alias(s) for s in stats]) for c in cols])
-    )
-    return one.select(rows.alias("_r")).select("_r.*")
+def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, _x) rows: an Expand inside the generated code, combined per feature
+    before the shuffle. One wide aggregate over many columns would exceed the field
+    limit of code generation."""
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    return doubles.unpivot([], list(cols), "feature", "_x")
+
+
+def _missing_rate() -> Column:
+    return F.avg(F.col("_x").isNull().cast("double"))
 
 
 def profile_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Moments, extremes, exact median and missing / zero rates per column."""
-    cols = list(cols or numeric_columns(df))
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    stats = {
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": F.min,
-        "max": F.max,
-        "skew": sample_skewness,
-        "kurtosis": sample_kurtosis,
-        "missing_rate": lambda c: F.avg(F.col(c).isNull().cast("double")),
-        "zero_rate": lambda c: F.avg(F.when(F.col(c) == 0, 1.0).otherwise(0.0)),
-    }
-    profile = _rows_of(doubles, cols, stats)
-    long = doubles.unpivot([], cols, "feature", "_x")
+    long = _long(df, cols or numeric_columns(df))
+    profile = long.groupBy("feature").agg(
+        F.avg("_x").alias("mean"),
+        F.stddev_samp("_x").alias("std"),
+        F.min("_x").alias("min"),
+        F.max("_x").alias("max"),
+        sample_skewness("_x").alias("skew"),
+        sample_kurtosis("_x").alias("kurtosis"),
+        _missing_rate().alias("missing_rate"),
+        F.avg(F.when(F.col("_x") == 0, 1.0).otherwise(0.0)).alias("zero_rate"),
+    )
     return profile.join(quantile_columns(long, "_x", {"median": 0.5}, ["feature"]), "feature", "left")
 
 
@@ -81,30 +75,33 @@ def profile_flags(profile: DataFrame) -> DataFrame:
 
 def high_missing(df: DataFrame, limit: float = MISSING_LIMIT, cols: Sequence[str] | None = None) -> DataFrame:
     """Columns missing in more than the given share of rows."""
-    cols = list(cols or numeric_columns(df))
-    rates = _rows_of(df, cols, {"missing_rate": lambda c: F.avg(F.col(c).isNull().cast("double"))})
+    rates = _long(df, cols or numeric_columns(df)).groupBy("feature").agg(_missing_rate().alias("missing_rate"))
     return rates.filter(F.col("missing_rate") > limit)
 
 
 def low_variance(df: DataFrame, limit: float = VARIANCE_LIMIT, cols: Sequence[str] | None = None) -> DataFrame:
     """Columns whose sample variance is below the limit."""
-    cols = list(cols or numeric_columns(df))
-    return _rows_of(df, cols, {"variance": F.var_samp}).filter(F.col("variance") < limit)
+    spread = _long(df, cols or numeric_columns(df)).groupBy("feature").agg(F.var_samp("_x").alias("variance"))
+    return spread.filter(F.col("variance") < limit)
 
 
 def correlated_pairs(
     df: DataFrame, limit: float = CORRELATION_LIMIT, cols: Sequence[str] | None = None
 ) -> DataFrame:
-    """Column pairs with |r| above the limit over rows where both are present."""
-    cols = list(cols or numeric_columns(df))
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-
-    def one_pass(pairs: Sequence[tuple[str, str]]) -> DataFrame:
-        rows = [
-            F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.corr(a, b).alias("r"))
-            for a, b in pairs
-        ]
-        return doubles.agg(F.array(*rows).alias("_p")).select(F.explode("_p").alias("_r")).select("_r.*")
-
-    passes = [one_pass(p) for p in batched(combinations(cols, 2), _PAIRS_PER_PASS)]
-    return reduce(DataFrame.unionByName, passes).filter(F.abs("r") > limit)
+    """Column pairs with |r| above the limit over rows where both are present.
+
+    Each row is expanded to its column pairs inside the scan stage and combined
+    there, so the shuffle carries one row per task and pair.
+    """
+    pairs = list(combinations(cols or numeric_columns(df), 2))
+    used = sorted({c for pair in pairs for c in pair})
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in used])
+    expanded = [x for i, (a, b) in enumerate(pairs) for x in (F.lit(i), F.col(a), F.col(b))]
+    by_pair = (
+        doubles.select(F.stack(F.lit(len(pairs)), *expanded).alias("_pair", "_a", "_b"))
+        .groupBy("_pair")
+        .agg(F.corr("_a", "_b").alias("r"))
+        .filter(F.abs("r") > limit)
+    )
+    names = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in pairs])
+    return by_pair.select(F.get(names, F.col("_pair")).alias("_n"), "r").select("_n.*", "r")

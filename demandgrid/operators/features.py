@@ -220,10 +220,11 @@ def feature_columns(df: DataFrame, suffix: str = "_f", block: Sequence[str] | No
 
 
 def null_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Share of NULL per column: one aggregate, turned to rows afterwards."""
+    """Share of NULL per column: one count per column in one aggregate."""
     cols = list(cols or feature_columns(df))
-    one = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
-    return one.unpivot([], cols, "feature", "null_rate")
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(c) for c in cols])
+    known = one.unpivot(["_rows"], cols, "feature", "_known")
+    return known.select("feature", (F.lit(1.0) - ratio(F.col("_known"), F.col("_rows"))).alias("null_rate"))
 
 
 def describe_features(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

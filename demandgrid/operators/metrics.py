@@ -1,9 +1,9 @@
 """Evaluation of predictions.
 
 ``by`` lists grouping columns (none for the whole table). Sums and counts are
-combined on the map side, so a segment holding most rows costs no more than
-others. Medians and percentiles over records use ``functions.quantiles``; within
-one key they use ``percentile``, whose buffer is bounded by the key's days.
+combined on the map side, so a segment or key holding most rows costs no more than
+others. Medians and percentiles use ``functions.quantiles``, which splits such a
+group over tasks.
 
 "Within X" exists in four meanings with distinct names: per key by mean error rate
 (``within_rate``), per record by error rate (``within_record``), per record in units
@@ -257,21 +257,22 @@ def within_units_keys(unit_errors: DataFrame, by: Keys = (), limits: Sequence[in
 
 def key_detail(pred: DataFrame, key: str = KEY) -> DataFrame:
     """Totals and error-rate statistics (percent) of keys with a non-zero actual sum."""
-    pct = err_rate() * 100.0
+    rows = pred.filter(F.col(key).isNotNull()).select(key, ACTUAL, PREDICTED, (err_rate() * 100.0).alias("_pct"))
     detail = _agg(
-        pred.filter(F.col(key).isNotNull()),
+        rows,
         [key],
         {
             "record_count": count_where(positive()),
             "actual_sum": F.sum(act()),
             "predicted_sum": F.sum(prd()),
-            "mean_error_rate": F.avg(pct),
-            "median_error_rate": F.percentile(pct, F.lit(0.5)),
-            "max_error_rate": F.max(pct),
-            "min_error_rate": F.min(pct),
+            "mean_error_rate": F.avg("_pct"),
+            "max_error_rate": F.max("_pct"),
+            "min_error_rate": F.min("_pct"),
         },
     )
-    return detail.filter((F.col("actual_sum") != 0) & (F.col("record_count") > 0))
+    median = quantile_columns(rows, "_pct", {"median_error_rate": 0.5}, [key])
+    kept = detail.filter((F.col("actual_sum") != 0) & (F.col("record_count") > 0))
+    return kept.join(median, key, "left")
 
 
 def key_metrics(pred: DataFrame, key: str = KEY) -> DataFrame:

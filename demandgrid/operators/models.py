@@ -16,6 +16,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandgrid.functions import calendar as cal
+from demandgrid.functions.quantiles import quantile_columns
 from demandgrid.operators.features import LEAKING, feature_columns
 from demandgrid.operators.keys import test_period
 from demandgrid.operators.metrics import key_metrics, rmse_mae
@@ -282,5 +283,9 @@ def predict_scope(
         raise ValueError(f"unknown mode {mode!r}")
     if agg is None:
         return scoped
-    how = {"sum": F.sum, "mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}[agg]
-    return scoped.groupBy(key).agg(how(PREDICTED).alias(PREDICTED), F.count(F.lit(1)).alias("day_count"))
+    days = F.count(F.lit(1)).alias("day_count")
+    if agg == "median":
+        counts = scoped.groupBy(key).agg(days)
+        return quantile_columns(scoped, PREDICTED, {PREDICTED: 0.5}, [key]).join(counts, key)
+    how = {"sum": F.sum, "mean": F.avg}[agg]
+    return scoped.groupBy(key).agg(how(PREDICTED).alias(PREDICTED), days)

@@ -98,13 +98,27 @@ def first_attr(df: DataFrame, keys: Sequence[str], cols: Sequence[str], order: S
 # --- dense grid ------------------------------------------------------------------
 
 
-def _fill_days(df: DataFrame, key: str, date: str, value: str, lo: Column | None, hi: Column | None) -> DataFrame:
+def _fill_days(
+    df: DataFrame,
+    key: str,
+    date: str,
+    value: str,
+    lo: Column | None,
+    hi: Column | None,
+    carry: Sequence[str],
+    partitions: int | None,
+) -> DataFrame:
     """One row per key and day.
 
     Each row generates the empty days up to the next row of its key, so only the
     sparse rows are shuffled (once, by key); the grid itself never is, and stays
-    partitioned by key for the windows that follow.
+    partitioned by key for the windows that follow. Generated days hold 0, the
+    ``carry`` columns of the row they come from, and NULL elsewhere. ``partitions``
+    sets the number of tasks that hold the grid; by default AQE decides from the size
+    of the sparse rows.
     """
+    if partitions is not None:
+        df = df.repartition(partitions, key)
     series = Window.partitionBy(key).orderBy(date)
     others = [c for c in df.columns if c not in (key, date, value, "_lo", "_hi")]
     own = F.col("_day") == F.col(date)
@@ -119,24 +133,42 @@ def _fill_days(df: DataFrame, key: str, date: str, value: str, lo: Column | None
             key,
             F.col("_day").alias(date),
             F.when(own, F.coalesce(F.col(value), F.lit(0.0))).otherwise(F.lit(0.0)).alias(value),
-            *[F.when(own, F.col(c)).alias(c) for c in others],
+            *[F.col(c) if c in carry else F.when(own, F.col(c)).alias(c) for c in others],
         )
     )
 
 
-def fill_zero_global(df: DataFrame, key: str = KEY, date: str = DATE, value: str = VALUE) -> DataFrame:
-    """Every key on every day between the first and the last date of the table."""
+def fill_zero_global(
+    df: DataFrame,
+    key: str = KEY,
+    date: str = DATE,
+    value: str = VALUE,
+    carry: Sequence[str] = (),
+    partitions: int | None = None,
+) -> DataFrame:
+    """Every key on every day between the first and the last date of the table.
+
+    ``carry`` columns take the latest earlier value of the key, else its first one;
+    for columns without NULL that equals ``fill_attributes`` without its window.
+    """
     rows = df.filter(F.col(key).isNotNull() & F.col(date).isNotNull())
     bounds = rows.agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
     # A global aggregate is one row, which bounds the broadcast.
     ranged = rows.crossJoin(F.broadcast(bounds))
-    return _fill_days(ranged, key, date, value, F.col("_lo"), F.col("_hi"))
+    return _fill_days(ranged, key, date, value, F.col("_lo"), F.col("_hi"), carry, partitions)
 
 
-def fill_zero_per_key(df: DataFrame, key: str = KEY, date: str = DATE, value: str = VALUE) -> DataFrame:
+def fill_zero_per_key(
+    df: DataFrame,
+    key: str = KEY,
+    date: str = DATE,
+    value: str = VALUE,
+    carry: Sequence[str] = (),
+    partitions: int | None = None,
+) -> DataFrame:
     """Every day between the first and the last date of each key."""
     rows = df.filter(F.col(key).isNotNull() & F.col(date).isNotNull())
-    return _fill_days(rows, key, date, value, None, None)
+    return _fill_days(rows, key, date, value, None, None, carry, partitions)
 
 
 def fill_attributes(df: DataFrame, cols: Sequence[str], key: str = KEY, date: str = DATE) -> DataFrame:

@@ -78,7 +78,9 @@ class DriverTables:
 
     @cached_property
     def store_dense_segment(self) -> DataFrame:
-        return self.store_dense.join(self.store_segment, KEY)
+        """Dense table with the segment, joined before the grid is filled."""
+        sparse = self.store_daily.join(self.store_segment, KEY)
+        return pp.fill_zero_global(sparse, carry=[SEGMENT])
 
     @cached_property
     def product_lines(self) -> DataFrame:
@@ -121,7 +123,7 @@ class DriverTables:
     @cached_property
     def predictions_b(self) -> DataFrame:
         """Run ``b``: the mean of the 28 days before, on the same rows."""
-        rolled = ft.rolling(self.store_dense, "mean", [28]).join(self.store_segment, KEY)
+        rolled = ft.rolling(self.store_dense_segment, "mean", [28])
         guess = F.coalesce(F.col("rolling_mean_28_f"), F.lit(0.0))
         return rolled.select(
             KEY,
