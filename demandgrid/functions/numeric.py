@@ -32,14 +32,15 @@ def round_half_even(value: Column, digits: int) -> Column:
     return F.rint(value * scale) / scale
 
 
-def mean_where(condition: Column, value: Column) -> Column:
-    return F.avg(F.when(condition, value))
-
+def count_where(condition: Column) -> Column:
+    return F.count(F.when(condition, F.lit(1)))
 
-def flag(condition: Column) -> Column:
-    """0/1, with NULL counted as 0."""
-    return F.when(condition, F.lit(1)).otherwise(F.lit(0))
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation over rows with both values; NULL when one is constant.
 
-def count_where(condition: Column) -> Column:
-    return F.count(F.when(condition, F.lit(1)))
+    ``corr`` raises on a constant column under ANSI arithmetic.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y)))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))

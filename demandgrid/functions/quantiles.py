@@ -10,7 +10,7 @@ sort is spread over tasks and its running count streams.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,20 +28,15 @@ def _bin(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, step).otherwise(-step).cast("long")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    overall_of: str | None = None,
+def value_counts(
+    df: DataFrame, value: str, by: Sequence[str] = (), overall_of: str | None = None
 ) -> DataFrame:
-    """Rows ``(*by, prob, quantile)`` with linear interpolation between ranks.
+    """Rows ``(*by, _v, _n)``: how often each value occurs in its group.
 
     ``overall_of`` names one of ``by``; groups with that column set to ``all`` are
     added from the same counts, so the table is read once.
     """
     by = list(by)
-    probs = sorted(set(probs))
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
@@ -51,62 +46,67 @@ def exact_quantiles(
         rest = [c for c in by if c != overall_of]
         whole = counts.groupBy(*rest, "_v").agg(F.sum("_n").alias("_n")).withColumn(overall_of, F.lit(ALL))
         counts = counts.unionByName(whole)
-    counts = counts.withColumn("_bin", _bin(F.col("_v")))
+    return counts
+
+
+def quantiles_of_counts(counts: DataFrame, named: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """One row per group with a column per wanted quantile, linearly interpolated."""
+    by = list(by)
+    binned = counts.withColumn("_bin", _bin(F.col("_v")))
 
     # Bin totals: their number depends on the spread of the values only.
-    per_group = Window.partitionBy(*(by or [F.lit(0)]))
-    ordered = per_group.orderBy("_bin")
+    ordered = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bin")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bins = (
-        counts.groupBy(*by, "_bin")
+        binned.groupBy(*by, "_bin")
         .agg(F.sum("_n").alias("_in_bin"))
         .withColumn("_upto", F.sum("_in_bin").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_in_bin").over(per_group))
+        .withColumn("_total", F.sum("_in_bin").over(whole))
         .withColumn("_before", F.col("_upto") - F.col("_in_bin"))
     )
-    # Wanted ranks (0-based): floor and ceiling of (n - 1) * p.
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    position = (F.col("_total") - 1) * F.col("prob")
-    targets = (
-        bins.select(*by, "_bin", "_before", "_upto", "_total", wanted.alias("prob"))
-        .withColumn("_lo", F.floor(position))
-        .withColumn("_hi", F.ceil(position))
-        .withColumn("_frac", position - F.col("_lo"))
-        .filter((F.col("_lo") < F.col("_upto")) & (F.col("_hi") >= F.col("_before")))
-    )
+
+    def ranks(p: float, total: Column) -> tuple[Column, Column, Column]:
+        """0-based ranks around (n - 1) * p and the weight of the upper one."""
+        position = (total - 1) * F.lit(float(p))
+        low = F.floor(position)
+        return low, F.ceil(position), position - low
+
     # Bins without a wanted rank are dropped before any sort.
-    needed = targets.groupBy(*by, "_bin").agg(
-        F.first("_before").alias("_before"),
-        F.collect_list(F.struct("prob", "_lo", "_hi", "_frac")).alias("_ranks"),
-    )
+    wanted = F.lit(False)
+    for p in set(named.values()):
+        low, high, _ = ranks(p, F.col("_total"))
+        wanted = wanted | ((low < F.col("_upto")) & (high >= F.col("_before")))
+    needed = bins.filter(wanted).select(*by, "_bin", "_before", "_total")
     inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("_before") + F.col("_end") - 1
-    first = F.col("_before") + F.col("_end") - F.col("_n")
-    hits = (
-        counts.join(needed, [*by, "_bin"])
-        .withColumn("_end", F.sum("_n").over(inside))
-        .select(*by, "_v", first.alias("_first"), last.alias("_last"), F.explode("_ranks").alias("_r"))
-        .select(*by, "_v", "_first", "_last", "_r.*")
-    )
-    takes_lo = F.col("_lo").between(F.col("_first"), F.col("_last"))
-    takes_hi = F.col("_hi").between(F.col("_first"), F.col("_last"))
-    low = F.max(F.when(takes_lo, F.col("_v")))
-    high = F.max(F.when(takes_hi, F.col("_v")))
-    frac = F.max("_frac")
-    return (
-        hits.filter(takes_lo | takes_hi)
-        .groupBy(*by, "prob")
-        .agg((low * (F.lit(1.0) - frac) + high * frac).alias("quantile"))
+    ranked = (
+        binned.join(needed, [*by, "_bin"])
+        .withColumn("_last", F.col("_before") + F.sum("_n").over(inside) - 1)
+        .withColumn("_first", F.col("_last") - F.col("_n") + 1)
     )
 
+    def quantile(p: float) -> Column:
+        low, high, _ = ranks(p, F.col("_total"))
+        _, _, weight = ranks(p, F.max("_total"))
+
+        def at(rank: Column) -> Column:
+            return F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col("_v")))
+
+        return at(low) * (F.lit(1.0) - weight) + at(high) * weight
+
+    return ranked.groupBy(*by).agg(*[quantile(p).alias(n) for n, p in named.items()])
+
 
 def quantile_columns(
     df: DataFrame,
     value: str,
-    named: dict[str, float],
+    named: Mapping[str, float],
     by: Sequence[str] = (),
     overall_of: str | None = None,
 ) -> DataFrame:
-    """The same quantiles as columns, one row per group."""
-    rows = exact_quantiles(df, value, list(named.values()), by, overall_of)
-    picked = [F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n) for n, p in named.items()]
-    return rows.groupBy(*by).agg(*picked)
+    """Exact quantiles of ``value`` per group, as columns."""
+    return quantiles_of_counts(value_counts(df, value, by, overall_of), named, by)
+
+
+def mean_of_counts(counts: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Mean of the counted values, so one read of the table gives mean and quantiles."""
+    return counts.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias(name))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from demandgrid.functions import calendar as cal
 from demandgrid.functions.numeric import count_where, ratio, share_pct
-from demandgrid.functions.quantiles import quantile_columns
+from demandgrid.functions.quantiles import mean_of_counts, quantile_columns, quantiles_of_counts, value_counts
 from demandgrid.operators.metrics import abs_err, act, err, prd
 from demandgrid.operators.ranking import ranked_top
 from demandgrid.schema import ACTUAL, KEY, PRED_DATE, PREDICTED
@@ -37,9 +37,10 @@ def scale_band(value: Column | str = ACTUAL) -> Column:
 
 def prediction_ratio(pred: DataFrame) -> DataFrame:
     """Mean and exact median of predicted / actual over non-zero actuals."""
-    ratios = pred.select(pred_ratio().alias("_r"))
-    mean = ratios.agg(F.avg("_r").alias("ratio_mean"), F.count("_r").alias("ratio_count"))
-    return mean.crossJoin(quantile_columns(ratios, "_r", {"ratio_median": 0.5}))
+    counts = value_counts(pred.select(pred_ratio().alias("_r")), "_r")
+    mean = mean_of_counts(counts, "ratio_mean")
+    known = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("ratio_count"))
+    return mean.crossJoin(known).crossJoin(quantiles_of_counts(counts, {"ratio_median": 0.5}))
 
 
 def direction_counts(pred: DataFrame) -> DataFrame:

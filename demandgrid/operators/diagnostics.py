@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from demandgrid.functions.numeric import numeric_columns
+from demandgrid.functions.numeric import correlation, numeric_columns
 from demandgrid.functions.quantiles import quantile_columns
 
 # Fixed values of the data model.
@@ -100,7 +100,7 @@ def correlated_pairs(
     by_pair = (
         doubles.select(F.stack(F.lit(len(pairs)), *expanded).alias("_pair", "_a", "_b"))
         .groupBy("_pair")
-        .agg(F.corr("_a", "_b").alias("r"))
+        .agg(correlation("_a", "_b").alias("r"))
         .filter(F.abs("r") > limit)
     )
     names = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in pairs])

@@ -18,8 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from demandgrid.functions import calendar as cal
-from demandgrid.functions.numeric import count_where, mean_where, ratio, round_half_even, share_pct
-from demandgrid.functions.quantiles import quantile_columns
+from demandgrid.functions.numeric import correlation as pearson
+from demandgrid.functions.numeric import count_where, ratio, round_half_even, share_pct
+from demandgrid.functions.quantiles import mean_of_counts, quantile_columns, quantiles_of_counts, value_counts
 from demandgrid.operators.ranking import ranked_top
 from demandgrid.schema import ACTUAL, ALL, DATE, KEY, PRED_DATE, PREDICTED, SEGMENT, SPLIT, TEST, VALUE
 
@@ -156,7 +157,7 @@ def mape_pct(pred: DataFrame, by: Keys = ()) -> DataFrame:
 
 
 def correlation(pred: DataFrame, by: Keys = ()) -> DataFrame:
-    return _agg(pred, by, {"correlation": F.corr(PREDICTED, ACTUAL)})
+    return _agg(pred, by, {"correlation": pearson(PREDICTED, ACTUAL)})
 
 
 def r2(pred: DataFrame, on_zero: str = "zero", by: Keys = ()) -> DataFrame:
@@ -178,10 +179,10 @@ def within_units(pred: DataFrame, by: Keys = (), limits: Sequence[int] = UNIT_LI
 
 
 def abs_error_stats(pred: DataFrame, by: Keys = ()) -> DataFrame:
-    """Mean and exact median of the absolute error."""
-    errors = pred.select(*by, abs_err().alias("_e"))
-    mean = _agg(errors, by, {"error_mean": F.avg("_e")})
-    median = quantile_columns(errors, "_e", {"error_median": 0.5}, by)
+    """Mean and exact median of the absolute error, from one count of its values."""
+    counts = value_counts(pred.select(*by, abs_err().alias("_e")), "_e", by)
+    mean = mean_of_counts(counts, "error_mean", by)
+    median = quantiles_of_counts(counts, {"error_median": 0.5}, by)
     return mean.join(median, list(by), "left") if by else mean.crossJoin(median)
 
 
@@ -347,7 +348,7 @@ def metrics_by_segment(pred: DataFrame, segment: str = SEGMENT, on_zero: str = "
             "rmse": _rmse(),
             "mae": _mae(),
             "mape_pct": F.coalesce(F.avg(err_rate() * 100.0), F.lit(0.0)),
-            "correlation": F.corr(PREDICTED, ACTUAL),
+            "correlation": pearson(PREDICTED, ACTUAL),
             "r2": r2_expr(on_zero),
             **shares,
         },
@@ -365,8 +366,8 @@ def evaluation(pred: DataFrame, run: str, segment: str = SEGMENT, key: str = KEY
         )
     by_key = _with_overall(rates, segment, named)
     median = quantile_columns(rates, "error_rate_mean", {"error_rate_median": 0.5}, [segment], overall_of=segment)
-    wide = record.join(by_key, segment, "left").join(median, segment, "left")
-    return to_long(wide, run, segment)
+    # Long rows need no join of the three parts.
+    return reduce(DataFrame.unionByName, [to_long(part, run, segment) for part in (record, by_key, median)])
 
 
 def to_long(wide: DataFrame, run: str, segment: str = SEGMENT) -> DataFrame:
