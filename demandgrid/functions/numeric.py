@@ -27,9 +27,13 @@ def share_pct(part: Column, whole: Column) -> Column:
 
 
 def round_half_even(value: Column, digits: int) -> Column:
-    """Decimal rounding with ties to the even digit."""
+    """Decimal rounding with ties to the even digit.
+
+    The bits that depend on the order of a distributed sum are dropped first, so a
+    tie is decided the same way on every run.
+    """
     scale = F.lit(float(10**digits))
-    return F.rint(value * scale) / scale
+    return F.rint(F.round(value, digits + 6) * scale) / scale
 
 
 def count_where(condition: Column) -> Column:

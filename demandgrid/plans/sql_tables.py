@@ -126,9 +126,9 @@ TABLES = {
     "summary": """
       SELECT material_key, strftime(date, '%Y-%m') AS predict_year_month, usage_type,
         count(*) FILTER (actual > 0) AS actual_value_count,
-        round_even(avg(actual) * 100, 0) / 100 AS actual_value_mean,
-        round_even(avg(predicted) * 100, 0) / 100 AS predict_value_mean,
-        round_even(avg(rate) * 10000, 0) / 10000 AS error_value_mean
+        round_even(round(avg(actual), 8) * 100, 0) / 100 AS actual_value_mean,
+        round_even(round(avg(predicted), 8) * 100, 0) / 100 AS predict_value_mean,
+        round_even(round(avg(rate), 10) * 10000, 0) / 10000 AS error_value_mean
       FROM pe GROUP BY 1, 2, 3""",
     "enriched": f"""
       SELECT s.*, coalesce(t.n, 0) AS actual_value_count_in_train_period,
