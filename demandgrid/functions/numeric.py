@@ -17,6 +17,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)) for f in floating})
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row result (a global aggregate) to every row.
+
+    They enter as a scalar subquery: evaluated once, no join.
+    """
+    packed = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumns({c: packed.getField(c) for c in one_row.columns})
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """NULL where the denominator is zero or missing."""
     return numerator.cast("double") / F.nullif(denominator.cast("double"), F.lit(0.0))

@@ -24,7 +24,8 @@ _BINS_PER_LOG = 4096
 def _bin(value: Column) -> Column:
     """Integer that never decreases as the value grows."""
     # ln of the smallest double is about -745, so the shifted step stays positive.
-    step = F.floor(F.ln(F.abs(value)) * _BINS_PER_LOG) + 800 * _BINS_PER_LOG
+    # Infinity joins the highest bin.
+    step = F.floor(F.least(F.ln(F.abs(value)), F.lit(720.0)) * _BINS_PER_LOG) + 800 * _BINS_PER_LOG
     return F.when(value == 0, F.lit(0)).when(value > 0, step).otherwise(-step).cast("long")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from demandgrid.functions import calendar as cal
-from demandgrid.functions.numeric import count_where, ratio, share_pct
+from demandgrid.functions.numeric import count_where, ratio, share_pct, with_scalars
 from demandgrid.functions.quantiles import mean_of_counts, quantile_columns, quantiles_of_counts, value_counts
 from demandgrid.operators.metrics import abs_err, act, err, prd
 from demandgrid.operators.ranking import ranked_top
@@ -40,7 +40,7 @@ def prediction_ratio(pred: DataFrame) -> DataFrame:
     counts = value_counts(pred.select(pred_ratio().alias("_r")), "_r")
     mean = mean_of_counts(counts, "ratio_mean")
     known = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("ratio_count"))
-    return mean.crossJoin(known).crossJoin(quantiles_of_counts(counts, {"ratio_median": 0.5}))
+    return with_scalars(with_scalars(mean, known), quantiles_of_counts(counts, {"ratio_median": 0.5}))
 
 
 def direction_counts(pred: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def high_overprediction(pred: DataFrame, above: float = 5.0, key: str = KEY) ->
         F.avg("predicted_value").alias("mean_predicted"),
         count_where(F.col("actual_value") < SMALL_ACTUAL).alias("small_keys"),
     ).withColumn("small_pct", share_pct(F.col("small_keys"), F.col("key_count")))
-    return profile.crossJoin(quantile_columns(high, "actual_value", {"median_actual": 0.5}))
+    return with_scalars(profile, quantile_columns(high, "actual_value", {"median_actual": 0.5}))
 
 
 def _histogram(values: DataFrame, name: str, bins: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _histogram(values: DataFrame, name: str, bins: int) -> DataFrame:
     # The largest value belongs to the last bin.
     bin_of = F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)).cast("int")
     return (
-        values.crossJoin(F.broadcast(limits))
+        with_scalars(values, limits)
         .groupBy(bin_of.alias("bin"), "_lo", width.alias("_w"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
@@ -167,7 +167,7 @@ def error_histogram(pred: DataFrame, bins: int = BINS, tail: float = 0.95, ratio
     """Counts behind the two error charts: trimmed absolute error and ratio."""
     errors = pred.select(abs_err().alias("_x")).filter(F.col("_x").isNotNull())
     cut = quantile_columns(errors, "_x", {"_cut": tail})
-    trimmed = errors.crossJoin(F.broadcast(cut)).filter(F.col("_x") < F.col("_cut")).select("_x")
+    trimmed = errors.filter(F.col("_x") < cut.scalar())
     ratios = pred.select(pred_ratio().alias("_x")).filter(F.col("_x") < ratio_below)
     return _histogram(trimmed, "abs_error", bins).unionByName(_histogram(ratios, "prediction_ratio", bins))
 
@@ -203,7 +203,7 @@ def bias_rules(pred: DataFrame, key: str = KEY) -> DataFrame:
     )
     sums = pred.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(prd()).alias("_p"), F.sum(act()).alias("_a"))
     high = sums.agg(count_where(ratio(F.col("_p"), F.col("_a")) > 2.0).cast("double").alias("keys_over_2"))
-    one = overall.crossJoin(bands).crossJoin(high)
+    one = with_scalars(with_scalars(overall, bands), high)
     limits = {"mean_ratio": 1.2, "band_spread": 0.5, "keys_over_2": 0.0}
     rules = one.unpivot([], list(limits), "rule", "measured")
     limit = F.lit(None).cast("double")

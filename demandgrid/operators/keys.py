@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from demandgrid.functions import calendar as cal
-from demandgrid.functions.numeric import count_where, share_pct
+from demandgrid.functions.numeric import count_where, share_pct, with_scalars
 from demandgrid.functions.quantiles import quantile_columns
 from demandgrid.operators.ranking import ranked_top, top_n, top_per_group
 from demandgrid.schema import BUSINESS, DATE, HOUSEHOLD, KEY, SEGMENT, VALUE
@@ -226,7 +226,7 @@ def coverage(df: DataFrame, measure: str, ns: Sequence[int], key: str = KEY) ->
     whole = totals.agg(F.sum("m").alias("_all"), F.count(F.lit(1)).alias("_keys"))
     top = ranked_top(totals, max(ns), "m", key)
     cuts = [F.sum(F.when(F.col("rank") <= n, F.col("m"))).alias(f"n{n}") for n in ns]
-    by_n = top.agg(*cuts).crossJoin(whole).unpivot(["_all", "_keys"], [f"n{n}" for n in ns], "_name", "top_total")
+    by_n = with_scalars(top.agg(*cuts), whole).unpivot(["_all", "_keys"], [f"n{n}" for n in ns], "_name", "top_total")
     n_keys = F.substring("_name", 2, 10).cast("int")
     return (
         by_n.withColumn("n", n_keys)
@@ -252,7 +252,7 @@ def top_detail(df: DataFrame, n: int, measure: str = "active", key: str = KEY) -
         F.min("m").alias("min"),
         F.percentile("m", F.lit(0.5)).alias("median"),  # over at most n keys
     )
-    return top.crossJoin(whole).withColumn("coverage_pct", share_pct(F.col("top_total"), F.col("all_total")))
+    return with_scalars(top, whole).withColumn("coverage_pct", share_pct(F.col("top_total"), F.col("all_total")))
 
 
 def coverage_delta(
@@ -272,9 +272,9 @@ def coverage_delta(
         count_where(first & in_test).alias("tested_n1"),
         count_where(second & in_test).alias("tested_n2"),
         count_where(second & ~first & in_test).alias("tested_added"),
-    ).crossJoin(whole)
+    )
     pct1, pct2 = share_pct(F.col("total_n1"), F.col("_all")), share_pct(F.col("total_n2"), F.col("_all"))
-    return sums.select(
+    return with_scalars(sums, whole).select(
         "total_n1",
         "total_n2",
         pct1.alias("coverage_n1_pct"),
@@ -332,7 +332,7 @@ def count_stats(counts: DataFrame, count: str = "active_count") -> DataFrame:
         F.min(count).alias("min"),
     )
     quartiles = quantile_columns(counts, count, {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return basic.crossJoin(quartiles)
+    return with_scalars(basic, quartiles)
 
 
 def nonzero_ratio(df: DataFrame, above: float | None = None, key: str = KEY, value: str = VALUE) -> DataFrame:

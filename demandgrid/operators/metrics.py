@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from demandgrid.functions import calendar as cal
 from demandgrid.functions.numeric import correlation as pearson
-from demandgrid.functions.numeric import count_where, ratio, round_half_even, share_pct
+from demandgrid.functions.numeric import count_where, ratio, round_half_even, share_pct, with_scalars
 from demandgrid.functions.quantiles import mean_of_counts, quantile_columns, quantiles_of_counts, value_counts
 from demandgrid.operators.ranking import ranked_top
 from demandgrid.schema import ACTUAL, ALL, DATE, KEY, PRED_DATE, PREDICTED, SEGMENT, SPLIT, TEST, VALUE
@@ -124,6 +124,11 @@ def _agg(df: DataFrame, by: Keys, named: Mapping[str, Column]) -> DataFrame:
     return df.groupBy(*by).agg(*[c.alias(n) for n, c in named.items()])
 
 
+def _beside(left: DataFrame, right: DataFrame, by: Keys) -> DataFrame:
+    """Two results with one row per group, or one row each, as one."""
+    return left.join(right, list(by), "left") if by else with_scalars(left, right)
+
+
 # --- record-level metrics ------------------------------------------------------------
 
 
@@ -183,13 +188,13 @@ def abs_error_stats(pred: DataFrame, by: Keys = ()) -> DataFrame:
     counts = value_counts(pred.select(*by, abs_err().alias("_e")), "_e", by)
     mean = mean_of_counts(counts, "error_mean", by)
     median = quantiles_of_counts(counts, {"error_median": 0.5}, by)
-    return mean.join(median, list(by), "left") if by else mean.crossJoin(median)
+    return _beside(mean, median, by)
 
 
 def pred_distribution(pred: DataFrame, by: Keys = ()) -> DataFrame:
     spread = _agg(pred, by, {"pred_mean": F.avg(prd()), "pred_std": F.stddev_samp(prd())})
     median = quantile_columns(pred, PREDICTED, {"pred_median": 0.5}, by)
-    return spread.join(median, list(by), "left") if by else spread.crossJoin(median)
+    return _beside(spread, median, by)
 
 
 # --- per-key metrics -----------------------------------------------------------------
@@ -217,7 +222,7 @@ def error_rate_stats(rates: DataFrame, by: Keys = (), rate: str = "error_rate_me
         {"key_count": F.count(rate), "error_rate_mean": F.avg(rate), "error_rate_std": F.stddev_pop(rate)},
     )
     median = quantile_columns(rates, rate, {"error_rate_median": 0.5}, by)
-    return spread.join(median, list(by), "left") if by else spread.crossJoin(median)
+    return _beside(spread, median, by)
 
 
 def within_rate(rates: DataFrame, by: Keys = (), limits: Sequence[int] = RATE_LIMITS) -> DataFrame:
@@ -312,8 +317,7 @@ def scale_quartiles(detail: DataFrame, volume: str = "actual_sum", rate: str = "
         .when(v <= F.col("q3"), "medium_high")
         .otherwise("large")
     )
-    # One row of cut points.
-    banded = detail.crossJoin(F.broadcast(cuts)).withColumn("band", band)
+    banded = with_scalars(detail, cuts).withColumn("band", band)
     return banded.groupBy("band").agg(F.count(F.lit(1)).alias("key_count"), F.avg(rate).alias("mean_error_rate"))
 
 

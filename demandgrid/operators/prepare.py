@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from demandgrid.functions.numeric import count_where, nan_to_null, share_pct
+from demandgrid.functions.numeric import count_where, nan_to_null, share_pct, with_scalars
 from demandgrid.operators.ranking import top_n
 from demandgrid.schema import BUSINESS, DATE, HOUSEHOLD, KEY, SEGMENT, VALUE
 
@@ -153,9 +153,7 @@ def fill_zero_global(
     """
     rows = df.filter(F.col(key).isNotNull() & F.col(date).isNotNull())
     bounds = rows.agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
-    # A global aggregate is one row, which bounds the broadcast.
-    ranged = rows.crossJoin(F.broadcast(bounds))
-    return _fill_days(ranged, key, date, value, F.col("_lo"), F.col("_hi"), carry, partitions)
+    return _fill_days(with_scalars(rows, bounds), key, date, value, F.col("_lo"), F.col("_hi"), carry, partitions)
 
 
 def fill_zero_per_key(
@@ -219,7 +217,7 @@ def top_share(df: DataFrame, n: int = 10, key: str = KEY, value: str = VALUE) ->
     totals = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total"))
     top = top_n(totals, n, "total", key).agg(F.sum("total").alias("top_total"))
     whole = totals.agg(F.sum("total").alias("all_total"))
-    return top.crossJoin(whole).withColumn("top_pct", share_pct(F.col("top_total"), F.col("all_total")))
+    return with_scalars(top, whole).withColumn("top_pct", share_pct(F.col("top_total"), F.col("all_total")))
 
 
 def year_stats(df: DataFrame, key: str = KEY, date: str = DATE, value: str = VALUE) -> DataFrame:

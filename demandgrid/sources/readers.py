@@ -70,7 +70,7 @@ def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame:
         return read_demand(spark, f"{base}/{LATEST}")
     versions = spark.read.option("basePath", f"{base}/versions").parquet(f"{base}/versions")
     newest = versions.agg(F.max("run_ts").alias("run_ts"))
-    return normalise(versions.join(F.broadcast(newest), "run_ts", "left_semi").drop("run_ts"))
+    return normalise(versions.filter(F.col("run_ts") == newest.scalar()).drop("run_ts"))
 
 
 def read_newest_file(spark: SparkSession, path: str, name_contains: str = "") -> DataFrame:
@@ -83,7 +83,7 @@ def read_newest_file(spark: SparkSession, path: str, name_contains: str = "") ->
         F.col("_metadata.file_name").alias("_file"),
     ).filter(F.col("_file").contains(name_contains))
     newest = seen.agg(F.max(F.struct("_mtime", "_file")).alias("_newest")).select("_newest._file")
-    return normalise(seen.join(F.broadcast(newest), "_file", "left_semi").select(*columns))
+    return normalise(seen.filter(F.col("_file") == newest.scalar()).select(*columns))
 
 
 def read_metrics_json(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
