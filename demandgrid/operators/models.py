@@ -21,7 +21,7 @@ from demandgrid.operators.features import LEAKING, feature_columns
 from demandgrid.operators.keys import test_period
 from demandgrid.operators.metrics import key_metrics, rmse_mae
 from demandgrid.schema import ACTUAL, DATE, KEY, PRED_DATE, PREDICTED, SEGMENT, VALUE
-from demandgrid.session import cut_lineage
+from demandgrid.session import ensure_checkpoint_dir, materialise
 
 # Below every value of a feature, so trees can split missing rows off.
 MISSING = -1.0e6
@@ -114,6 +114,21 @@ def model_input(df: DataFrame, features: Sequence[str], target: str = VALUE) ->
     return df.select(*kept, F.col(target).cast("double").alias("label"), *filled)
 
 
+def _day(day: Day) -> Column:
+    return F.lit(str(day)).cast("date")
+
+
+def training_table(df: DataFrame, features: Sequence[str], train_end: Day, until: Day, target: str = VALUE) -> DataFrame:
+    """Written model input: rows up to ``train_end`` and later rows worth predicting.
+
+    Fits read it several times, and several fits share it, so the feature plan runs
+    once.
+    """
+    rows = model_input(df.filter(F.col(DATE) <= _day(until)), features, target)
+    useful = F.col("label").isNotNull() & ((F.col(DATE) <= _day(train_end)) | (F.col("label") > 0))
+    return materialise(rows.filter(useful), "model-input")
+
+
 def importance_of(model: PipelineModel, features: Sequence[str], like: DataFrame) -> DataFrame:
     """Feature importances (one row per feature name, a bounded list)."""
     weights = model.stages[-1].featureImportances
@@ -121,6 +136,33 @@ def importance_of(model: PipelineModel, features: Sequence[str], like: DataFrame
     return like.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def _fit(
+    rows: DataFrame, train_end: Day, step: int, features: list[str], clean: Sequence[str], params: Mapping[str, object]
+) -> Fit:
+    """One fit on a training table."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    lo, hi = test_period(train_end, step)
+    train = rows.filter(F.col(DATE) <= _day(train_end))
+    for name in clean:
+        train = {"winsorize": winsorize, "hampel": hampel}[name](train, value="label")
+    if clean:
+        train = materialise(train, "model-input-cleaned")
+    model = _assembled(features, **params).fit(train)
+    due = rows.filter(F.col(DATE).between(F.lit(lo), F.lit(hi)) & (F.col("label") > 0))
+    scored = model.transform(due)
+    segment = [SEGMENT] if SEGMENT in scored.columns else []
+    predictions = scored.select(KEY, F.col(DATE).alias(PRED_DATE), F.col("label").alias(ACTUAL), PREDICTED, *segment)
+    return Fit(
+        predictions=predictions,
+        by_key=key_metrics(predictions),
+        importance=importance_of(model, features, rows),
+        params={p.name: v for p, v in model.stages[-1].extractParamMap().items()},
+        model=model,
+        metrics=rmse_mae(predictions),
+        features=features,
+    )
+
+
 def fit_predict(
     df: DataFrame,
     train_end: Day,
@@ -136,48 +178,46 @@ def fit_predict(
     and ``hampel``, applied to the training target only.
     """
     features = list(features or training_features(df, target))
-    end = F.lit(str(train_end)).cast("date")
-    lo, hi = test_period(train_end, step)
-    train = df.filter(F.col(DATE) <= end)
-    for name in clean:
-        train = {"winsorize": winsorize, "hampel": hampel}[name](train, value=target)
-    # The fit reads its input several times; a checkpoint keeps the windows from
-    # being recomputed and survives lost executors.
-    fitted_on = cut_lineage(model_input(train, features, target).filter(F.col("label").isNotNull()))
-    model = _assembled(features, **params).fit(fitted_on)
-    due = df.filter((F.col(DATE) >= F.lit(lo)) & (F.col(DATE) <= F.lit(hi)) & (F.col(target) > 0))
-    scored = model.transform(model_input(due, features, target))
-    segment = [SEGMENT] if SEGMENT in scored.columns else []
-    predictions = scored.select(
-        KEY, F.col(DATE).alias(PRED_DATE), F.col("label").alias(ACTUAL), PREDICTED, *segment
-    )
-    return Fit(
-        predictions=predictions,
-        by_key=key_metrics(predictions),
-        importance=importance_of(model, features, df),
-        params={p.name: v for p, v in model.stages[-1].extractParamMap().items()},
-        model=model,
-        metrics=rmse_mae(predictions),
-        features=features,
-    )
+    rows = training_table(df, features, train_end, test_period(train_end, step)[1], target)
+    return _fit(rows, train_end, step, features, clean, params)
 
 
-def walk_forward(df: DataFrame, train_end: Day, steps: int, features: Sequence[str] | None = None, **params: object) -> DataFrame:
+def walk_forward(
+    df: DataFrame,
+    train_end: Day,
+    steps: int,
+    features: Sequence[str] | None = None,
+    clean: Sequence[str] = (),
+    target: str = VALUE,
+    **params: object,
+) -> DataFrame:
     """Month by month: train on everything before the month, predict the month."""
     end = cal.to_day(train_end)
-    months = []
-    for i in range(steps):
-        cutoff = cal.add_months(end, i)
-        fit = fit_predict(df, cutoff, 1, features, **params)
-        months.append(fit.predictions.withColumn("step", F.lit(i + 1)))
+    features = list(features or training_features(df, target))
+    cutoffs = [cal.add_months(end, i) for i in range(steps)]
+    rows = training_table(df, features, cutoffs[-1], test_period(cutoffs[-1], 1)[1], target)
+    months = [
+        _fit(rows, cutoff, 1, features, clean, params).predictions.withColumn("step", F.lit(i + 1))
+        for i, cutoff in enumerate(cutoffs)
+    ]
     return reduce(DataFrame.unionByName, months)
 
 
 def fit_by_segment(
-    df: DataFrame, train_end: Day, segments: Sequence[str], step: int = 1, by: str = SEGMENT, **params: object
+    df: DataFrame,
+    train_end: Day,
+    segments: Sequence[str],
+    step: int = 1,
+    features: Sequence[str] | None = None,
+    clean: Sequence[str] = (),
+    target: str = VALUE,
+    by: str = SEGMENT,
+    **params: object,
 ) -> tuple[DataFrame, dict[str, Fit]]:
     """One model per segment; returns the union of predictions and the fits."""
-    fits = {s: fit_predict(df.filter(F.col(by) == s), train_end, step, **params) for s in segments}
+    features = list(features or training_features(df, target))
+    rows = training_table(df, features, train_end, test_period(train_end, step)[1], target)
+    fits = {s: _fit(rows.filter(F.col(by) == s), train_end, step, features, clean, params) for s in segments}
     return reduce(DataFrame.unionByName, [f.predictions for f in fits.values()]), fits
 
 
@@ -192,7 +232,7 @@ def tune(
 ) -> DataFrame:
     """Validation RMSE of each parameter setting on training rows; at most ``trials``."""
     features = list(features or training_features(df, target))
-    train = df.filter((F.col(DATE) <= F.lit(str(train_end)).cast("date")) & F.col(target).isNotNull())
+    ensure_checkpoint_dir(df.sparkSession)
     pipeline = _assembled(features)
     regressor = pipeline.getStages()[-1]
     builder = ParamGridBuilder()
@@ -207,7 +247,7 @@ def tune(
         parallelism=parallelism,
         seed=42,
     )
-    fitted = validator.fit(cut_lineage(model_input(train, features, target)))
+    fitted = validator.fit(training_table(df, features, train_end, train_end, target))
     rows = [
         (i, ",".join(f"{p.name}={v}" for p, v in sorted(s.items(), key=lambda kv: kv[0].name)), float(m))
         for i, (s, m) in enumerate(zip(settings, fitted.validationMetrics))
@@ -274,9 +314,9 @@ def predict_scope(
 ) -> DataFrame:
     """Predictions of a period, one day or listed keys, optionally aggregated per key."""
     if mode == "future":
-        scoped = pred.filter(F.col(date).between(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date")))
+        scoped = pred.filter(F.col(date).between(_day(start), _day(end)))
     elif mode == "single-date":
-        scoped = pred.filter(F.col(date) == F.lit(str(start)).cast("date"))
+        scoped = pred.filter(F.col(date) == _day(start))
     elif mode == "material-key":
         scoped = pred.join(keys.select(key), key, "left_semi")
     else:

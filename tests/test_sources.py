@@ -81,7 +81,8 @@ def test_features_are_split_by_segment(spark, series, tmp_path):
 
 
 def test_lineage_is_cut_in_the_configured_folder(spark, series):
-    cut = ss.cut_lineage(series(ROWS))
-    assert cut.count() == 2
-    assert spark.sparkContext.getCheckpointDir().startswith("file:" + ss.shared_dir(spark))
-    assert ss.scratch_path(spark, "x").startswith(ss.shared_dir(spark))
+    written = ss.materialise(series(ROWS), "rows")
+    assert same(written, series(ROWS))
+    assert all(f.startswith("file://" + ss.shared_dir(spark)) for f in written.inputFiles())
+    ss.ensure_checkpoint_dir(spark)
+    assert ss.shared_dir(spark) in spark.sparkContext.getCheckpointDir()
