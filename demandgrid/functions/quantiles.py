@@ -11,6 +11,7 @@ sort is spread over tasks and its running count streams.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -32,14 +33,15 @@ def _bin(value: Column) -> Column:
 def value_counts(
     df: DataFrame, value: str, by: Sequence[str] = (), overall_of: str | None = None
 ) -> DataFrame:
-    """Rows ``(*by, _v, _n)``: how often each value occurs in its group.
+    """Rows ``(*by, _v, _n, _bin)``: how often each value occurs in its group.
 
     ``overall_of`` names one of ``by``; groups with that column set to ``all`` are
     added from the same counts, so the table is read once.
     """
     by = list(by)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, value]])
     counts = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(known)
         .groupBy(*by, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -47,19 +49,19 @@ def value_counts(
         rest = [c for c in by if c != overall_of]
         whole = counts.groupBy(*rest, "_v").agg(F.sum("_n").alias("_n")).withColumn(overall_of, F.lit(ALL))
         counts = counts.unionByName(whole)
-    return counts
+    # Every use of the counts implies a bin; stating it here keeps their plans equal,
+    # so that the counting exchange is reused instead of run again.
+    return counts.withColumn("_bin", _bin(F.col("_v"))).filter(F.col("_bin").isNotNull())
 
 
 def quantiles_of_counts(counts: DataFrame, named: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with a column per wanted quantile, linearly interpolated."""
     by = list(by)
-    binned = counts.withColumn("_bin", _bin(F.col("_v")))
-
     # Bin totals: their number depends on the spread of the values only.
     ordered = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bin")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bins = (
-        binned.groupBy(*by, "_bin")
+        counts.groupBy(*by, "_bin")
         .agg(F.sum("_n").alias("_in_bin"))
         .withColumn("_upto", F.sum("_in_bin").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_total", F.sum("_in_bin").over(whole))
@@ -80,7 +82,7 @@ def quantiles_of_counts(counts: DataFrame, named: Mapping[str, float], by: Seque
     needed = bins.filter(wanted).select(*by, "_bin", "_before", "_total")
     inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        binned.join(needed, [*by, "_bin"])
+        counts.join(needed, [*by, "_bin"])
         .withColumn("_last", F.col("_before") + F.sum("_n").over(inside) - 1)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
     )

@@ -113,7 +113,10 @@ def r2_expr(on_zero: str = "zero") -> Column:
     """
     both = act().isNotNull() & prd().isNotNull()
     residual = F.sum(err() * err())
-    total = F.var_pop(F.when(both, act())) * F.count(F.when(both, act()))
+    return _r2_of(residual, F.var_pop(F.when(both, act())) * F.count(F.when(both, act())), on_zero)
+
+
+def _r2_of(residual: Column, total: Column, on_zero: str) -> Column:
     if on_zero == "epsilon":
         return F.when(total > 0, 1.0 - residual / (total + F.lit(R2_EPSILON))).otherwise(0.0)
     fallback = {"zero": 0.0, "sentinel": R2_NO_VARIANCE}[on_zero]
@@ -337,41 +340,85 @@ def _with_overall(df: DataFrame, segment: str, named: Mapping[str, Column], more
     return rolled.withColumn(segment, label).drop("_g")
 
 
-def metrics_by_segment(pred: DataFrame, segment: str = SEGMENT, on_zero: str = "zero") -> DataFrame:
-    """Record metrics per segment and overall."""
-    rows = pred.filter(F.col(segment).isNotNull())
-    shares = {
-        f"within_{x}_record_pct": share_pct(count_where(err_rate() * 100.0 <= x), count_where(positive()))
-        for x in RECORD_LIMITS
-    }
-    return _with_overall(
-        rows,
-        segment,
+def _partials(pred: DataFrame, by: Keys) -> DataFrame:
+    """Mergeable record statistics per group: sums, counts and central moments."""
+    both = act().isNotNull() & prd().isNotNull()
+    a, p, one = F.when(both, act()), F.when(both, prd()), F.when(both, 1)
+    n = F.count(one)
+    within = {f"_w{x}": count_where(err_rate() * 100.0 <= x) for x in RECORD_LIMITS}
+    return _agg(
+        pred,
+        by,
         {
-            "n": F.count(F.lit(1)),
-            "rmse": _rmse(),
-            "mae": _mae(),
-            "mape_pct": F.coalesce(F.avg(err_rate() * 100.0), F.lit(0.0)),
-            "correlation": pearson(PREDICTED, ACTUAL),
-            "r2": r2_expr(on_zero),
-            **shares,
+            "_rows": F.count(F.lit(1)),
+            "_n": n,
+            "_e2": F.sum(err() * err()),
+            "_ae": F.sum(abs_err()),
+            "_rate": F.sum(err_rate()),
+            "_n_rate": F.count(err_rate()),
+            "_n_positive": count_where(positive()),
+            "_a": F.avg(a),
+            "_p": F.avg(p),
+            "_m2a": F.var_pop(a) * n,
+            "_m2p": F.var_pop(p) * n,
+            "_cap": F.covar_pop(a, p) * n,
+            "_min_a": F.min(a),
+            "_max_a": F.max(a),
+            "_min_p": F.min(p),
+            "_max_p": F.max(p),
+            **within,
         },
     )
 
 
+def _merged(on_zero: str) -> dict[str, Column]:
+    """Record metrics from partials; the parts' own moments stay exact, so only the
+    spread between the parts is formed from squares of means."""
+    n = F.sum("_n")
+
+    def total(within: str, x: str, y: str) -> Column:
+        mean_x = F.sum(F.col("_n") * F.col(x)) / F.nullif(n, F.lit(0))
+        mean_y = F.sum(F.col("_n") * F.col(y)) / F.nullif(n, F.lit(0))
+        between = F.sum(F.col("_n") * F.col(x) * F.col(y)) - n * mean_x * mean_y
+        return F.sum(within) + between
+
+    def spread(within: str, x: str) -> Column:
+        varies = F.min(f"_min{x}") < F.max(f"_max{x}")
+        return F.when(varies, total(within, x, x)).otherwise(F.lit(0.0))
+
+    ss_a, ss_p = spread("_m2a", "_a"), spread("_m2p", "_p")
+    return {
+        "n": F.sum("_rows"),
+        "rmse": F.sqrt(F.sum("_e2") / F.nullif(n, F.lit(0))),
+        "mae": F.sum("_ae") / F.nullif(n, F.lit(0)),
+        "mape_pct": F.coalesce(F.sum("_rate") * 100.0 / F.nullif(F.sum("_n_rate"), F.lit(0)), F.lit(0.0)),
+        "correlation": total("_cap", "_a", "_p") / F.nullif(F.sqrt(ss_a) * F.sqrt(ss_p), F.lit(0.0)),
+        "r2": _r2_of(F.sum("_e2"), ss_a, on_zero),
+        **{f"within_{x}_record_pct": share_pct(F.sum(f"_w{x}"), F.sum("_n_positive")) for x in RECORD_LIMITS},
+    }
+
+
+def metrics_by_segment(pred: DataFrame, segment: str = SEGMENT, on_zero: str = "zero") -> DataFrame:
+    """Record metrics per segment and overall; the total merges the segments' rows."""
+    parts = _partials(pred.filter(F.col(segment).isNotNull()), [segment])
+    return _with_overall(parts, segment, _merged(on_zero))
+
+
 def evaluation(pred: DataFrame, run: str, segment: str = SEGMENT, key: str = KEY) -> DataFrame:
-    """Long metrics table (run, segment, metric, value) of a run."""
-    record = metrics_by_segment(pred, segment)
-    rates = key_error_rate(pred, key, by=[segment])
-    named = {"key_count": F.count(F.lit(1)), "error_rate_mean": F.avg("error_rate_mean")}
+    """Long metrics table (run, segment, metric, value) of a run.
+
+    The predictions are reduced to one row per segment and key; record and key metrics
+    of the segments and of the whole table are merged from those rows.
+    """
+    known = pred.filter(F.col(segment).isNotNull() & F.col(key).isNotNull())
+    parts = _partials(known, [segment, key]).withColumn("_key_rate", ratio(F.col("_rate"), F.col("_n_rate")))
+    rated = F.count("_key_rate")
+    by_key = {"key_count": rated, "error_rate_mean": F.avg("_key_rate")}
     for x in RECORD_LIMITS:
-        named[f"within_{x}_percent_ratio"] = ratio(
-            count_where(F.col("error_rate_mean") <= x / 100.0), F.count(F.lit(1))
-        )
-    by_key = _with_overall(rates, segment, named)
-    median = quantile_columns(rates, "error_rate_mean", {"error_rate_median": 0.5}, [segment], overall_of=segment)
-    # Long rows need no join of the three parts.
-    return reduce(DataFrame.unionByName, [to_long(part, run, segment) for part in (record, by_key, median)])
+        by_key[f"within_{x}_percent_ratio"] = ratio(count_where(F.col("_key_rate") <= x / 100.0), rated)
+    merged = _with_overall(parts, segment, {**_merged("zero"), **by_key})
+    median = quantile_columns(parts, "_key_rate", {"error_rate_median": 0.5}, [segment], overall_of=segment)
+    return to_long(merged, run, segment).unionByName(to_long(median, run, segment))
 
 
 def to_long(wide: DataFrame, run: str, segment: str = SEGMENT) -> DataFrame:

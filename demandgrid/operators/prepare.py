@@ -145,14 +145,18 @@ def fill_zero_global(
     value: str = VALUE,
     carry: Sequence[str] = (),
     partitions: int | None = None,
+    dates: DataFrame | None = None,
 ) -> DataFrame:
     """Every key on every day between the first and the last date of the table.
 
+    ``dates`` may name a cheaper table with the same first and last date, such as the
+    raw lines, to read the bounds from.
+
     ``carry`` columns take the latest earlier value of the key, else its first one;
     for columns without NULL that equals ``fill_attributes`` without its window.
     """
     rows = df.filter(F.col(key).isNotNull() & F.col(date).isNotNull())
-    bounds = rows.agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
+    bounds = (rows if dates is None else dates).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
     return _fill_days(with_scalars(rows, bounds), key, date, value, F.col("_lo"), F.col("_hi"), carry, partitions)
 
 

@@ -74,13 +74,13 @@ class DriverTables:
 
     @cached_property
     def store_dense(self) -> DataFrame:
-        return pp.fill_zero_global(self.store_daily)
+        return pp.fill_zero_global(self.store_daily, dates=self.raw)
 
     @cached_property
     def store_dense_segment(self) -> DataFrame:
         """Dense table with the segment, joined before the grid is filled."""
         sparse = self.store_daily.join(self.store_segment, KEY)
-        return pp.fill_zero_global(sparse, carry=[SEGMENT])
+        return pp.fill_zero_global(sparse, carry=[SEGMENT], dates=self.raw)
 
     @cached_property
     def product_lines(self) -> DataFrame:
@@ -93,7 +93,7 @@ class DriverTables:
 
     @cached_property
     def product_dense(self) -> DataFrame:
-        return pp.fill_zero_global(self.product_daily.drop("product_key"))
+        return pp.fill_zero_global(self.product_daily.drop("product_key"), dates=self.raw)
 
     @cached_property
     def holidays(self) -> DataFrame:

@@ -49,3 +49,13 @@ def test_mean_of_counts(spark):
 def test_empty(spark):
     table = spark.createDataFrame([], "x double")
     assert qt.quantile_columns(table, "x", {"m": 0.5}).first().m is None
+
+
+def test_the_table_is_read_once(spark, tmp_path):
+    spark.range(2000).selectExpr("id % 3 AS g", "cast(id % 97 AS double) AS x").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    counts = qt.value_counts(table, "x", ["g"])
+    both = qt.mean_of_counts(counts, "m", ["g"]).join(qt.quantiles_of_counts(counts, {"q": 0.5}, ["g"]), "g")
+    assert len(both.collect()) == 3
+    final = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") >= 2
