@@ -7,12 +7,11 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandgrid.functions import calendar as cal
@@ -137,18 +136,22 @@ def importance_of(model: PipelineModel, features: Sequence[str], like: DataFrame
 
 
 def _fit(
-    rows: DataFrame, train_end: Day, step: int, features: list[str], clean: Sequence[str], params: Mapping[str, object]
+    rows: DataFrame,
+    train_end: Day,
+    period: tuple[Day, Day],
+    features: list[str],
+    clean: Sequence[str],
+    params: Mapping[str, object],
 ) -> Fit:
-    """One fit on a training table."""
+    """One fit on a training table and its predictions for the period."""
     ensure_checkpoint_dir(rows.sparkSession)
-    lo, hi = test_period(train_end, step)
     train = rows.filter(F.col(DATE) <= _day(train_end))
     for name in clean:
         train = {"winsorize": winsorize, "hampel": hampel}[name](train, value="label")
     if clean:
         train = materialise(train, "model-input-cleaned")
     model = _assembled(features, **params).fit(train)
-    due = rows.filter(F.col(DATE).between(F.lit(lo), F.lit(hi)) & (F.col("label") > 0))
+    due = rows.filter(F.col(DATE).between(_day(period[0]), _day(period[1])) & (F.col("label") > 0))
     scored = model.transform(due)
     segment = [SEGMENT] if SEGMENT in scored.columns else []
     predictions = scored.select(KEY, F.col(DATE).alias(PRED_DATE), F.col("label").alias(ACTUAL), PREDICTED, *segment)
@@ -178,8 +181,9 @@ def fit_predict(
     and ``hampel``, applied to the training target only.
     """
     features = list(features or training_features(df, target))
-    rows = training_table(df, features, train_end, test_period(train_end, step)[1], target)
-    return _fit(rows, train_end, step, features, clean, params)
+    period = test_period(train_end, step)
+    rows = training_table(df, features, train_end, period[1], target)
+    return _fit(rows, train_end, period, features, clean, params)
 
 
 def walk_forward(
@@ -194,12 +198,14 @@ def walk_forward(
     """Month by month: train on everything before the month, predict the month."""
     end = cal.to_day(train_end)
     features = list(features or training_features(df, target))
-    cutoffs = [cal.add_months(end, i) for i in range(steps)]
-    rows = training_table(df, features, cutoffs[-1], test_period(cutoffs[-1], 1)[1], target)
-    months = [
-        _fit(rows, cutoff, 1, features, clean, params).predictions.withColumn("step", F.lit(i + 1))
-        for i, cutoff in enumerate(cutoffs)
-    ]
+    # Counted from the first end, so that month ends stay month ends.
+    ends = [cal.add_months(end, i) for i in range(steps + 1)]
+    rows = training_table(df, features, ends[-2], ends[-1], target)
+    months = []
+    for i, (cutoff, last) in enumerate(zip(ends, ends[1:])):
+        period = (cutoff + dt.timedelta(days=1), last)
+        predicted = _fit(rows, cutoff, period, features, clean, params).predictions
+        months.append(predicted.withColumn("step", F.lit(i + 1)))
     return reduce(DataFrame.unionByName, months)
 
 
@@ -216,8 +222,9 @@ def fit_by_segment(
 ) -> tuple[DataFrame, dict[str, Fit]]:
     """One model per segment; returns the union of predictions and the fits."""
     features = list(features or training_features(df, target))
-    rows = training_table(df, features, train_end, test_period(train_end, step)[1], target)
-    fits = {s: _fit(rows.filter(F.col(by) == s), train_end, step, features, clean, params) for s in segments}
+    period = test_period(train_end, step)
+    rows = training_table(df, features, train_end, period[1], target)
+    fits = {s: _fit(rows.filter(F.col(by) == s), train_end, period, features, clean, params) for s in segments}
     return reduce(DataFrame.unionByName, [f.predictions for f in fits.values()]), fits
 
 
@@ -228,31 +235,23 @@ def tune(
     trials: int | None = None,
     features: Sequence[str] | None = None,
     target: str = VALUE,
-    parallelism: int = 2,
 ) -> DataFrame:
-    """Validation RMSE of each parameter setting on training rows; at most ``trials``."""
+    """Validation RMSE of each parameter setting; at most ``trials`` settings.
+
+    Rows are never sampled: the last month up to ``train_end`` is held out and the
+    rest trains, like a walk-forward step. All trials read one training table.
+    """
     features = list(features or training_features(df, target))
-    ensure_checkpoint_dir(df.sparkSession)
-    pipeline = _assembled(features)
-    regressor = pipeline.getStages()[-1]
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(regressor.getParam(name), list(values))
-    settings = builder.build()[:trials]
-    validator = TrainValidationSplit(
-        estimator=pipeline,
-        estimatorParamMaps=settings,
-        evaluator=RegressionEvaluator(labelCol="label", predictionCol=PREDICTED, metricName="rmse"),
-        trainRatio=0.8,
-        parallelism=parallelism,
-        seed=42,
-    )
-    fitted = validator.fit(training_table(df, features, train_end, train_end, target))
-    rows = [
-        (i, ",".join(f"{p.name}={v}" for p, v in sorted(s.items(), key=lambda kv: kv[0].name)), float(m))
-        for i, (s, m) in enumerate(zip(settings, fitted.validationMetrics))
-    ]
-    return df.sparkSession.createDataFrame(rows, "trial int, params string, rmse double")
+    cutoff = cal.add_months(cal.to_day(train_end), -1)
+    period = (cutoff + dt.timedelta(days=1), train_end)
+    rows = training_table(df, features, cutoff, train_end, target)
+    names = sorted(grid)
+    settings = [dict(zip(names, values)) for values in product(*[grid[n] for n in names])][:trials]
+    results = []
+    for trial, params in enumerate(settings):
+        rmse = _fit(rows, cutoff, period, features, (), params).metrics.first()["rmse"]
+        results.append((trial, ",".join(f"{n}={v}" for n, v in params.items()), rmse))
+    return df.sparkSession.createDataFrame(results, "trial int, params string, rmse double")
 
 
 def importance(fits: Mapping[str, Fit], by: str = SEGMENT) -> DataFrame:

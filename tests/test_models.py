@@ -52,9 +52,11 @@ def test_test_rows_do_not_change_the_model(table):
     assert a.split("\n", 1)[1] == b.split("\n", 1)[1]
 
 
-def test_walk_forward_predicts_one_month_per_step(table):
-    got = md.walk_forward(table, "2024-02-29", 2, **SMALL).select("step", "date").collect()
-    assert {(r.step, r.date.month) for r in got} == {(1, 3), (2, 4)}
+def test_walk_forward_predicts_whole_months(series):
+    days = [(f"2024-{m:02d}-{d:02d}", m, d) for m in range(1, 5) for d in range(1, (31, 29, 31, 30)[m - 1] + 1)]
+    table = ft.feature_job(series([("A", day, 1.0 + d % 5) for day, _, d in days]), "all", "2024-01-31")
+    got = md.walk_forward(table, "2024-01-31", 3, **SMALL).select("step", "date").collect()
+    assert sorted((r.step, r.date.month, r.date.day) for r in got) == [(m - 1, m, d) for _, m, d in days if m > 1]
 
 
 def test_segments_tuning_and_saved_model(table, tmp_path):
