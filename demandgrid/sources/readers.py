@@ -87,17 +87,17 @@ def read_newest_file(spark: SparkSession, path: str, name_contains: str = "") ->
 
 
 def read_metrics_json(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
-    """Long metrics table from metric lines or from a nested metrics document.
-
-    A document maps segment to ``{metric: number}``; numbers at its top level
-    belong to the segment ``all``.
-    """
+    """Long metrics table as written by ``write_metrics_json``; ``run`` renames it."""
     lines = spark.read.schema(METRICS_SCHEMA).json(path)
     return lines if run is None else lines.withColumn("run", F.lit(run))
 
 
 def read_metrics_document(spark: SparkSession, path: str, run: str, overall: Sequence[str] = ("overall",)) -> DataFrame:
-    """Nested ``{section: {metric: value}}`` JSON as rows of the metrics table."""
+    """Nested ``{section: {metric: value}}`` JSON as rows of the metrics table.
+
+    Sections named in ``overall`` and numbers at the top level belong to the segment
+    ``all``; values that are not numbers are left out.
+    """
     raw = spark.read.text(path, wholetext=True)
     sections = raw.select(F.from_json("value", "map<string,string>").alias("doc")).select(F.explode("doc"))
     nested = F.from_json("value", "map<string,string>")

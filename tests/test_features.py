@@ -70,8 +70,6 @@ def test_entity_weekday_mean_equals_one_window_over_all_rows(series):
     ]
     table = series(rows, "store_code string")
     got = {(r.material_key, r.file_date): r.store_code_dow_mean_f for r in ft.entity_dow_mean(table).collect()}
-    for key, day, value, store in rows:
-        pass
     data = [(r.material_key, r.file_date, r.actual_value, r.store_code) for r in table.collect()]
     for k, d, _, s in data:
         before = [
