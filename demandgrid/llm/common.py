@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import atexit
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from demandgrid.session import scratch_path
+
 #: Rows that one window of ``running_totals`` sees, on average.
 ROWS_PER_BUCKET = 1000
 
@@ -27,15 +27,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"_c{df.columns.index(n)}").alias(n) for n in names))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a new one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def _remove_written() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
@@ -54,7 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     if not _written:
         atexit.register(_remove_written)
-    path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, f"llm-{name}")
     _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

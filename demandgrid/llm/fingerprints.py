@@ -98,9 +98,8 @@ def heads_after(ids: DataFrame, rows: int) -> DataFrame:
     """(block, next_id) from rows (block, head): of each block the largest id of the next lower one; of the last, the first's."""
     if rows <= 4 * IDS_PER_BLOCK:
         down = Window.partitionBy(F.lit(0)).orderBy(F.col("block").desc())
-        first = ids.agg(F.max_by("head", "block").alias("first"))
-        out = ids.withColumn("next_id", F.lead("head").over(down)).crossJoin(F.broadcast(first))
-        return out.select("block", F.coalesce("next_id", "first").alias("next_id"))
+        first = ids.agg(F.max_by("head", "block").alias("first")).scalar()
+        return ids.select("block", F.coalesce(F.lead("head").over(down), first).alias("next_id"))
     number, _ = _blocks(ids, "block", rows)
     upper = stored(ids.withColumn("upper", number), "heads")
     tops = upper.groupBy("upper").agg(F.max_by("head", "block").alias("head")).withColumnRenamed("upper", "block")

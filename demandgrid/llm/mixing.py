@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandgrid.llm.common import pick, running_totals, stored
 
@@ -28,7 +29,7 @@ WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 BLOCK_WORDS, SHARD_WORDS = 1 << 16, 1 << 24
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def word_count(text: pa.Array) -> pa.Array:
     return pc.fill_null(pc.cast(pc.count_substring_regex(text, WORD), pa.int64()), 0)
 
@@ -158,7 +159,7 @@ def mix(
     return line.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *keep)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def first_words(text: pa.Array, words: pa.Array) -> pa.Array:
     """The text up to the end of its nth word."""
     import re

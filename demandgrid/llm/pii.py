@@ -20,11 +20,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from demandgrid.llm.common import pick, stored
 
 KEY = "surrogates"
-ENTITY = "array<struct<kind:string,value:string>>"
+ENTITY = T.ArrayType(T.StructType().add("kind", "string").add("value", "string"))
 
 # Given names by script and gender, titles that announce a name.
 NAMES = {
