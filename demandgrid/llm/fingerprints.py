@@ -8,6 +8,7 @@ of distinct shingles.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,51 +86,49 @@ def printed(a: Column) -> Column:
     return F.concat_ws("", F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")))
 
 
-def _blocks(ids: DataFrame, column: str, rows: int) -> tuple[Column, int]:
-    """A block number by id, such that blocks hold about IDS_PER_BLOCK of evenly spread ids."""
+def _blocks(ids: DataFrame, column: str, rows: int) -> Column:
+    """A block number by id, such that blocks hold about IDS_PER_BLOCK of evenly spread ids; -1 for null."""
     low, high = ids.agg(F.min(column), F.max(column)).first()
     low, high = (0, 0) if low is None else (low, high)
     width = max(1, math.ceil((high - low + 1) / max(1, rows / IDS_PER_BLOCK)))
-    # int64 differences may overflow where ids span more than half the range
-    return F.floor((F.col(column).cast("decimal(20,0)") - low) / width).cast("long"), width
+    # As decimals: the span of longs may be no long.
+    above = F.col(column).cast("decimal(20,0)") - F.lit(Decimal(low))
+    return F.coalesce(F.floor(above / F.lit(Decimal(width))).cast("long"), F.lit(-1))
 
 
-def heads_after(ids: DataFrame, rows: int) -> DataFrame:
-    """(block, next_id) from rows (block, head): of each block the largest id of the next lower one; of the last, the first's."""
+def heads_after(heads: DataFrame, rows: int) -> DataFrame:
+    """(block, next_head) from rows (block, head): the head of the next lower block; of the last, the first's."""
     if rows <= 4 * IDS_PER_BLOCK:
         down = Window.partitionBy(F.lit(0)).orderBy(F.col("block").desc())
-        first = ids.agg(F.max_by("head", "block").alias("first")).scalar()
-        return ids.select("block", F.coalesce(F.lead("head").over(down), first).alias("next_id"))
-    number, _ = _blocks(ids, "block", rows)
-    upper = stored(ids.withColumn("upper", number), "heads")
+        first = heads.agg(F.max_by("head", "block").alias("first")).scalar()
+        return heads.select("block", F.coalesce(F.lead("head").over(down), first).alias("next_head"))
+    upper = stored(heads.withColumn("upper", _blocks(heads, "block", rows)), "heads")
     tops = upper.groupBy("upper").agg(F.max_by("head", "block").alias("head")).withColumnRenamed("upper", "block")
-    after = heads_after(tops, tops.count()).withColumnsRenamed({"block": "upper", "next_id": "_after"})
+    after = heads_after(tops, tops.count()).withColumnsRenamed({"block": "upper", "next_head": "_after"})
     down = Window.partitionBy("upper").orderBy(F.col("block").desc())
-    out = upper.withColumn("next_id", F.lead("head").over(down)).join(after, "upper")
-    return out.select("block", F.coalesce("next_id", "_after").alias("next_id"))
+    out = upper.withColumn("next_head", F.lead("head").over(down)).join(after, "upper")
+    return out.select("block", F.coalesce("next_head", "_after").alias("next_head"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch): the next document has the next lower doc_id.
 
-    After the last comes the first. Null ids come last, equal ids in order of their text's hash.
+    After the last comes the first. Null ids come last, in one block; equal ids in order of their text's hash.
     Text moves once, by block of ids; the first row of a block also visits the block before it.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = pick(docs, "doc_id", "text").select("doc_id", text.alias("text"))
-    rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     count = rows.count()
-    number, _ = _blocks(rows, "key", count)
-    rows = rows.withColumn("block", number)
-    heads = stored(rows.groupBy("block").agg(F.max("key").alias("head")), "blocks")
-    after = heads_after(heads, heads.count()).withColumnsRenamed({"block": "at", "next_id": "key"})
-    hashed = F.xxhash64("text")
+    rows = rows.withColumn("block", _blocks(rows, "doc_id", count))
+    # In a struct, so that the head of the block of null ids is not null itself.
+    heads = stored(rows.groupBy("block").agg(F.struct(F.max("doc_id").alias("id")).alias("head")), "blocks")
+    after = heads_after(heads, heads.count()).select(F.col("block").alias("at"), F.col("next_head.id").alias("_id"))
     first = Window.partitionBy("at").orderBy("_h", "text")
-    guests = rows.join(after, "key").withColumn("_h", hashed).withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    own = rows.select("block", "key", "doc_id", "text", F.lit(False).alias("guest"))
-    met = own.unionAll(guests.select(F.col("at").alias("block"), "key", "doc_id", "text", F.lit(True).alias("guest")))
-    met = met.repartition("block").withColumns({"_h": hashed, "sketch": sketch(shingles(F.col("text")))})
-    down = Window.partitionBy("block").orderBy("guest", F.col("key").desc(), "_h", "text")
+    guests = rows.join(after, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_h", F.xxhash64("text"))
+    guests = guests.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    own = rows.select("block", "doc_id", "text", F.lit(False).alias("guest"))
+    met = own.unionAll(guests.select("at", "doc_id", "text", F.lit(True)))
+    met = met.repartition("block").withColumns({"_h": F.xxhash64("text"), "sketch": sketch(shingles(F.col("text")))})
+    down = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "_h", "text")
     met = met.withColumns({"next_text": F.lead("text").over(down), "next_sketch": F.lead("sketch").over(down)})
     return met.where("not guest").select("doc_id", "text", "sketch", "next_text", "next_sketch")
 

@@ -9,7 +9,9 @@ length. Ranks are counted where the piece is made and offset by counts per task
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -23,51 +25,51 @@ from pyspark.sql import functions as F
 from demandgrid.llm.common import pick, stored
 
 SIZE = 1024
-#: Words kept with their ids in a task; the cache starts anew when full.
-CACHED_WORDS, CACHED_LENGTH = 200_000, 48
 #: The splitting rule of the vocabulary file (its byte-level pre-tokeniser), a fixed value.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with other characters go to the tokenizer whole.
-PLAIN = r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]"
+#: Characters other than printable ones of the first two blocks of Latin.
+ODD = r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]"
+
+
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """Tokens of a byte-level vocabulary file as bytes, with their ids, which must follow the order of its merges."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    model, rule = content["model"], content["pre_tokenizer"]
+    if model["type"] != "BPE" or rule["type"] != "ByteLevel" or rule["add_prefix_space"] or content["normalizer"]:
+        raise ValueError(f"{path} is no plain byte-level vocabulary")
+    shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+    # Bytes without a sign of their own are written as the characters from 256 on.
+    signs = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
+    special = {t["content"] for t in content["added_tokens"]}
+    ranks = {bytes(signs[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [model["vocab"][m] for m in merged]
+    if ids != sorted(ids) or len(ids) + 256 != len(ranks):
+        raise ValueError(f"the ids of {path} do not follow its merges")
+    return ranks
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to those of the tokenizer file.
 
-    A byte-level vocabulary never joins characters across its own splits, so each split
-    word is encoded once and its ids are kept.
+    A faster encoder works on the file's own vocabulary. Texts with characters whose class could be
+    seen differently go to the tokenizer of the file itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(WORD_PATTERN).findall
-        self.odd = regex.compile(PLAIN).search
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        self.fast = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})
+        self.odd = re.compile(ODD).search
 
     def __call__(self, text: str) -> bytes:
-        if self.odd(text):
-            return self._ids([text])[0]
-        words = self.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in self.known})
-        own = dict(zip(new, self._ids(new)))
-        out = b"".join([self.known.get(w) or own[w] for w in words])
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        self.known.update((w, ids) for w, ids in own.items() if len(w) <= CACHED_LENGTH)
-        return out
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if self.odd(text) else self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
