@@ -47,7 +47,7 @@ PATTERN = re.compile(
     r"|\b(?P<label>(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_\-]{12,})"
     r"|\b(?P<access>AKIA[A-Z0-9]{16})\b"
     r"|(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)"
-    r"|(?<!\w)(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w|-\d)"
+    r"|(?<!\w)(?P<phone>(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}|\+\d{1,3}(?:[ .\-]?\(\d{2,4}\))?(?:[ .\-]?\d{2,4}){2,4})(?!\w|[.\-]\d)"
     r"|(?<![\w.])(?P<card>\d(?:[ \-]?\d){12,18})(?!\w|\.\d)"
     rf"|\b(?P<title>{'|'.join(sorted(TITLE))})\.?\s+(?P<name>{_WORD}(?:\s+[^\W\d_a-zа-яα-ω]{_WORD})?)"
 )

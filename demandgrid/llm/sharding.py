@@ -104,7 +104,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_
 
     Sizes (bytes of the text plus 1) of the shards are nearly equal. Equal texts share a shard
     unless together they outgrow one. A null text has no bytes. Slots run from 0 without gaps
-    in each shard. Repeated rows get a slot each. An empty table gives no rows.
+    in each shard. Repeated rows get a slot each; which of them gets which is left open. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -113,7 +113,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
-        F.xxhash64(F.lit("row"), "doc_id", text).alias("sub"),
+        # Rows alike in id and text differ in the low bits only, so that many of them can be divided, too.
+        F.xxhash64(F.lit("row"), "doc_id", text).bitwiseAND(~(2**20 - 1)).bitwiseOR(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**20))).alias("sub"),
     )
     rows = stored(rows, "rows")
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()

@@ -79,7 +79,7 @@ def test_held_out_rows_are_told_apart(spark, documents, rows):
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
     by = {r.doc_id: r.score for r in out}
     own = [(by[i] >= 0.3, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 == 2]
-    assert np.mean([p == y for p, y in own]) > 0.97 and sum(y for _, y in own) > 10
+    assert np.mean([p == y for p, y in own]) > 0.95 and sum(y for _, y in own) > 10
     assert by[1000] == by[1001] < 0.3 and by[1002] > 0.3
 
 
