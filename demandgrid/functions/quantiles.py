@@ -1,11 +1,11 @@
-"""Exact quantiles of large groups without gathering a group in one task.
+"""Exact quantiles of large groups without gathering or shuffling a group.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-That is fine for the days of one key, not for a whole table or a segment. Here
-the values are counted per distinct value (map-side combined), assigned to bins
-that grow monotonically with the value, ranked by bin totals, and only the few
-bins that hold a wanted rank are sorted. Each bin is one window partition, so the
-sort is spread over tasks and its running count streams.
+That is fine for the days of one key, not for a whole table or a segment. Here a first
+pass counts coarse bins, combined on the map side to a few thousand rows per group and task.
+Only the values in the bins that hold a wanted rank are shuffled by a second pass, counted
+per distinct value. Those bins are split by the next bits of the value, so that a bin
+into which most values fall (ratios near 1, prices around one level) is sorted in many parts.
 """
 
 from __future__ import annotations
@@ -16,87 +16,49 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandgrid.schema import ALL
+from demandgrid.session import materialise
 
-# Bins per unit of ln|x|: a bin is 0.024 % wide. Finer bins mean smaller sorts and
-# more bin totals, of which there are at most some 6 million per group (all doubles).
-_BINS_PER_LOG = 4096
+# Bits of the code that a coarse and a fine bin leave out: coarse bins are 0.05 % wide,
+# fine ones 4e-9, and a group has at most some million coarse bins if its values cover all doubles.
+_COARSE, _FINE = 40, 24
+# Rows of wanted bins that are broadcast; with more groups than that the second pass is a plain join.
+_BROADCAST_ROWS = 100_000
 
 
-def _bin(value: Column) -> Column:
-    """Integer that never decreases as the value grows."""
-    # ln of the smallest double is about -745, so the shifted step stays positive.
-    # Infinity joins the highest bin.
-    step = F.floor(F.least(F.ln(F.abs(value)), F.lit(720.0)) * _BINS_PER_LOG) + 800 * _BINS_PER_LOG
-    return F.when(value == 0, F.lit(0)).when(value > 0, step).otherwise(-step).cast("long")
+def _code(value: Column) -> Column:
+    """Long that never decreases as the value grows: exponent and 51 bits of the mantissa."""
+    size = F.least(F.abs(value), F.lit(1.7976931348623157e308))
+    exponent = F.floor(F.log2(size))
+    # log2 may round up just below a power of two; the code stays in order there.
+    mantissa = size / F.pow(F.lit(2.0), exponent) - 1.0
+    code = (exponent + 1075).cast("long") * 2**51 + F.floor(mantissa * float(2**51)).cast("long")
+    return F.when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("long")
 
 
-def value_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), overall_of: str | None = None
-) -> DataFrame:
-    """Rows ``(*by, _v, _n, _bin)``: how often each value occurs in its group.
+def _ranks(p: float, total: Column) -> tuple[Column, Column, Column]:
+    """0-based ranks around (n - 1) * p and the weight of the upper one."""
+    position = (total - 1) * F.lit(float(p))
+    low = F.floor(position)
+    return low, F.ceil(position), position - low
 
-    ``overall_of`` names one of ``by``; groups with that column set to ``all`` are
-    added from the same counts, so the table is read once.
-    """
-    by = list(by)
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, value]])
-    counts = (
-        df.filter(known)
-        .groupBy(*by, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    if overall_of:
-        rest = [c for c in by if c != overall_of]
-        whole = counts.groupBy(*rest, "_v").agg(F.sum("_n").alias("_n")).withColumn(overall_of, F.lit(ALL))
-        counts = counts.unionByName(whole)
-    # Every use of the counts implies a bin; stating it here keeps their plans equal,
-    # so that the counting exchange is reused instead of run again.
-    return counts.withColumn("_bin", _bin(F.col("_v"))).filter(F.col("_bin").isNotNull())
 
+def _wanted(bins: DataFrame, by: Sequence[str], bin_: str, named: Mapping[str, float], total: Column | None = None) -> DataFrame:
+    """The bins (with counts ``_n``) that hold a wanted rank, with ``_before`` (ranks below) and ``_total``.
 
-def quantiles_of_counts(counts: DataFrame, named: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """One row per group with a column per wanted quantile, linearly interpolated."""
-    by = list(by)
-    # Bin totals: their number depends on the spread of the values only.
-    ordered = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bin")
+    Bins inside a bin start at its own ``_before``.
+    """
+    ordered = Window.partitionBy(*(by or [F.lit(0)])).orderBy(bin_)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bins = (
-        counts.groupBy(*by, "_bin")
-        .agg(F.sum("_n").alias("_in_bin"))
-        .withColumn("_upto", F.sum("_in_bin").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_in_bin").over(whole))
-        .withColumn("_before", F.col("_upto") - F.col("_in_bin"))
+    start = F.lit(0) if total is None else F.col("_start")
+    counted = bins.withColumn("_upto", start + F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = counted.withColumns(
+        {"_total": F.sum("_n").over(whole) if total is None else total, "_before": F.col("_upto") - F.col("_n")}
     )
-
-    def ranks(p: float, total: Column) -> tuple[Column, Column, Column]:
-        """0-based ranks around (n - 1) * p and the weight of the upper one."""
-        position = (total - 1) * F.lit(float(p))
-        low = F.floor(position)
-        return low, F.ceil(position), position - low
-
-    # Bins without a wanted rank are dropped before any sort.
-    wanted = F.lit(False)
+    holds = F.lit(False)
     for p in set(named.values()):
-        low, high, _ = ranks(p, F.col("_total"))
-        wanted = wanted | ((low < F.col("_upto")) & (high >= F.col("_before")))
-    needed = bins.filter(wanted).select(*by, "_bin", "_before", "_total")
-    inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (
-        counts.join(needed, [*by, "_bin"])
-        .withColumn("_last", F.col("_before") + F.sum("_n").over(inside) - 1)
-        .withColumn("_first", F.col("_last") - F.col("_n") + 1)
-    )
-
-    def quantile(p: float) -> Column:
-        low, high, _ = ranks(p, F.col("_total"))
-        _, _, weight = ranks(p, F.max("_total"))
-
-        def at(rank: Column) -> Column:
-            return F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col("_v")))
-
-        return at(low) * (F.lit(1.0) - weight) + at(high) * weight
-
-    return ranked.groupBy(*by).agg(*[quantile(p).alias(n) for n, p in named.items()])
+        low, high, _ = _ranks(p, F.col("_total"))
+        holds = holds | ((low < F.col("_upto")) & (high >= F.col("_before")))
+    return counted.filter(holds)
 
 
 def quantile_columns(
@@ -106,10 +68,41 @@ def quantile_columns(
     by: Sequence[str] = (),
     overall_of: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles of ``value`` per group, as columns."""
-    return quantiles_of_counts(value_counts(df, value, by, overall_of), named, by)
+    """One row per group with a column per wanted quantile, exact and linearly interpolated.
+
+    Rows with a NULL group or value do not count. ``overall_of`` names one of ``by``; groups with that
+    column set to ``all`` are added. The table is read twice.
+    """
+    by = list(by)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, value]])
+    rows = df.filter(known).select(*by, F.col(value).cast("double").alias("_v"))
+    rows = rows.withColumn("_c", _code(F.col("_v"))).withColumn("_bin", F.shiftright("_c", _COARSE))
+    bins = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    if overall_of:
+        rest = [c for c in by if c != overall_of]
+        bins = materialise(bins, "quantile-bins")
+        whole = bins.groupBy(*rest, "_bin").agg(F.sum("_n").alias("_n")).withColumn(overall_of, F.lit(ALL))
+        bins = bins.unionByName(whole)
+        rows = rows.withColumn(overall_of, F.explode(F.array(overall_of, F.lit(ALL))))
+    coarse = materialise(_wanted(bins, by, "_bin", named).select(*by, "_bin", F.col("_before").alias("_start"), "_total"), "quantile-bins")
+    few = coarse.count() <= _BROADCAST_ROWS
+    picked = rows.join(F.broadcast(coarse) if few else coarse, [*by, "_bin"])
+    counts = picked.groupBy(*by, "_bin", "_start", "_total", "_v", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(counts.withColumn("_part", F.shiftright("_c", _FINE)), "quantile-values")
+    parts = counts.groupBy(*by, "_bin", "_part").agg(F.sum("_n").alias("_n"), F.max("_start").alias("_start"), F.max("_total").alias("_all"))
+    fine = _wanted(parts, [*by, "_bin"], "_part", named, F.col("_all")).select(*by, "_bin", "_part", "_before")
+    inside = Window.partitionBy(*by, "_bin", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(fine, [*by, "_bin", "_part"]).withColumn("_last", F.col("_before") + F.sum("_n").over(inside) - 1)
+    ranked = ranked.withColumn("_first", F.col("_last") - F.col("_n") + 1)
+
+    def quantile(p: float) -> Column:
+        low, high, _ = _ranks(p, F.col("_total"))
+        _, _, weight = _ranks(p, F.max("_total"))
 
+        def at(rank: Column) -> Column:
+            return F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col("_v")))
 
-def mean_of_counts(counts: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean of the counted values, so one read of the table gives mean and quantiles."""
-    return counts.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias(name))
+        # Two equal neighbours, or a rank that is met exactly, need no arithmetic.
+        return F.when((at(low) == at(high)) | (weight == 0), at(low)).otherwise(at(low) * (F.lit(1.0) - weight) + at(high) * weight)
+
+    return ranked.groupBy(*by).agg(*[quantile(p).alias(n) for n, p in named.items()])

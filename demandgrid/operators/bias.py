@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from demandgrid.functions import calendar as cal
 from demandgrid.functions.numeric import count_where, ratio, share_pct, with_scalars
-from demandgrid.functions.quantiles import mean_of_counts, quantile_columns, quantiles_of_counts, value_counts
+from demandgrid.functions.quantiles import quantile_columns
 from demandgrid.operators.metrics import abs_err, act, err, prd
 from demandgrid.operators.ranking import ranked_top
 from demandgrid.schema import ACTUAL, KEY, PRED_DATE, PREDICTED
 
 # Fixed values of the data model.
+RULE_LIMITS = {"mean_ratio": 1.2, "band_spread": 0.5, "keys_over_2": 0.0}
+RATIO_HIGH = 2.0
 SCALE_BANDS = ((10.0, "0-10"), (50.0, "10-50"), (100.0, "50-100"), (500.0, "100-500"))
 TOP_BAND = "500+"
 SMALL_ACTUAL = 10
@@ -37,10 +39,9 @@ def scale_band(value: Column | str = ACTUAL) -> Column:
 
 def prediction_ratio(pred: DataFrame) -> DataFrame:
     """Mean and exact median of predicted / actual over non-zero actuals."""
-    counts = value_counts(pred.select(pred_ratio().alias("_r")), "_r")
-    mean = mean_of_counts(counts, "ratio_mean")
-    known = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("ratio_count"))
-    return with_scalars(with_scalars(mean, known), quantiles_of_counts(counts, {"ratio_median": 0.5}))
+    ratios = pred.select(pred_ratio().alias("_r"))
+    mean = ratios.agg(F.avg("_r").alias("ratio_mean"), F.count("_r").alias("ratio_count"))
+    return with_scalars(mean, quantile_columns(ratios, "_r", {"ratio_median": 0.5}))
 
 
 def direction_counts(pred: DataFrame) -> DataFrame:
@@ -83,10 +84,10 @@ def bias_by_key(pred: DataFrame, key: str = KEY) -> DataFrame:
         F.stddev_samp(prd()).alias("predicted_value_std"),
         F.avg("_r").alias("prediction_ratio_mean"),
         F.avg(err()).alias("absolute_error_mean"),
+        # A key has a row per day: its values fit the aggregation that runs anyway.
+        F.percentile("_r", F.lit(0.5)).alias("prediction_ratio_median"),
     )
-    score = ratio(F.col("predicted_value_sum"), F.col("actual_value_sum"))
-    median = quantile_columns(rows, "_r", {"prediction_ratio_median": 0.5}, [key])
-    return stats.withColumn("overprediction_score", score).join(median, key, "left")
+    return stats.withColumn("overprediction_score", ratio(F.col("predicted_value_sum"), F.col("actual_value_sum")))
 
 
 def bias_rank(by_key: DataFrame, n: int = 10, key: str = KEY) -> DataFrame:
@@ -143,33 +144,32 @@ def high_overprediction(pred: DataFrame, above: float = 5.0, key: str = KEY) ->
     return with_scalars(profile, quantile_columns(high, "actual_value", {"median_actual": 0.5}))
 
 
-def _histogram(values: DataFrame, name: str, bins: int) -> DataFrame:
-    """Equal-width counts between the smallest and the largest value of ``_x``."""
-    limits = values.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    position = F.floor((F.col("_x") - F.col("_lo")) / F.nullif(width, F.lit(0.0)))
-    # The largest value belongs to the last bin.
-    bin_of = F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1)).cast("int")
-    return (
-        with_scalars(values, limits)
-        .groupBy(bin_of.alias("bin"), "_lo", width.alias("_w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            F.lit(name).alias("measure"),
-            "bin",
-            (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_start"),
-            "n",
-        )
-    )
-
-
 def error_histogram(pred: DataFrame, bins: int = BINS, tail: float = 0.95, ratio_below: float = 10.0) -> DataFrame:
-    """Counts behind the two error charts: trimmed absolute error and ratio."""
-    errors = pred.select(abs_err().alias("_x")).filter(F.col("_x").isNotNull())
-    cut = quantile_columns(errors, "_x", {"_cut": tail})
-    trimmed = errors.filter(F.col("_x") < cut.scalar())
-    ratios = pred.select(pred_ratio().alias("_x")).filter(F.col("_x") < ratio_below)
-    return _histogram(trimmed, "abs_error", bins).unionByName(_histogram(ratios, "prediction_ratio", bins))
+    """Counts behind the two error charts: trimmed absolute error and ratio.
+
+    Equal-width bins between the smallest and the largest value of each measure. One pass finds
+    the limits of both, one counts both; only the cut of the errors needs passes of its own.
+    """
+    values = pred.select(abs_err().alias("_e"), pred_ratio().alias("_r"))
+    cut = quantile_columns(values, "_e", {"_cut": tail}).scalar()
+    error = F.when(F.col("_e") < cut, F.col("_e"))
+    share = F.when(F.col("_r") < ratio_below, F.col("_r"))
+    measures = {"abs_error": error, "prediction_ratio": share}
+    limits = values.agg(*[f(c).alias(f"{p}{n}") for n, c in measures.items() for f, p in ((F.min, "_lo_"), (F.max, "_hi_"))])
+    rows = with_scalars(values, limits)
+
+    def placed(name: str, value: Column) -> Column:
+        low = F.col(f"_lo_{name}")
+        width = (F.col(f"_hi_{name}") - low) / bins
+        position = F.coalesce(F.floor((value - low) / F.nullif(width, F.lit(0.0))), F.lit(0))
+        # The largest value belongs to the last bin.
+        at = F.least(position, F.lit(bins - 1)).cast("int")
+        return F.when(value.isNotNull(), F.struct(F.lit(name).alias("measure"), at.alias("bin"), low.alias("_lo"), width.alias("_w")))
+
+    both = F.array_compact(F.array(*[placed(n, c) for n, c in measures.items()]))
+    counted = rows.select(F.explode(both).alias("_b")).select("_b.*").groupBy("measure", "bin", "_lo", "_w")
+    counts = counted.agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("measure", "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_start"), "n")
 
 
 def bias_overall(pred: DataFrame) -> DataFrame:
@@ -202,11 +202,10 @@ def bias_rules(pred: DataFrame, key: str = KEY) -> DataFrame:
         .agg((F.max("_m") - F.min("_m")).alias("band_spread"))
     )
     sums = pred.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sum(prd()).alias("_p"), F.sum(act()).alias("_a"))
-    high = sums.agg(count_where(ratio(F.col("_p"), F.col("_a")) > 2.0).cast("double").alias("keys_over_2"))
+    high = sums.agg(count_where(ratio(F.col("_p"), F.col("_a")) > RATIO_HIGH).cast("double").alias("keys_over_2"))
     one = with_scalars(with_scalars(overall, bands), high)
-    limits = {"mean_ratio": 1.2, "band_spread": 0.5, "keys_over_2": 0.0}
-    rules = one.unpivot([], list(limits), "rule", "measured")
+    rules = one.unpivot([], list(RULE_LIMITS), "rule", "measured")
     limit = F.lit(None).cast("double")
-    for name, at in limits.items():
+    for name, at in RULE_LIMITS.items():
         limit = F.when(F.col("rule") == name, at).otherwise(limit)
     return rules.withColumn("limit", limit).withColumn("applies", (F.col("measured") > F.col("limit")).cast("int"))

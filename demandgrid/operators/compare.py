@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from demandgrid.functions.numeric import count_where, ratio
-from demandgrid.operators.metrics import err
+from demandgrid.operators.metrics import UNIT_LIMITS, err
 from demandgrid.operators.ranking import top_per_group
 from demandgrid.schema import ACTUAL, ALL, KEY, SEGMENT
 
@@ -26,9 +26,13 @@ DIRECTIONS = {
     "within_20_record_pct": HIGHER,
     "within_30_record_pct": HIGHER,
     "within_50_record_pct": HIGHER,
+    **{f"within_{x}_units_pct": HIGHER for x in UNIT_LIMITS},
     "correlation": HIGHER,
     "r2": HIGHER,
 }
+# Changes of RMSE and MAE, and cuts of the key count in percent, that decide between thresholds.
+RMSE_CLEAR, MAE_CLEAR, RMSE_SAME = 5, 3, 2
+CUT_CLEAR, CUT_LARGE = 20, 50
 NO_CHANGE_BELOW = 0.1
 SCORE_BANDS = (5.0, 0.0, -5.0)
 
@@ -135,9 +139,11 @@ def recommend_threshold(metrics: DataFrame, low: str, high: str) -> DataFrame:
             "accuracy": F.when((rmse < 0) & (mae < 0), "high_better")
             .when((rmse > 0) & (mae > 0), "low_better")
             .otherwise("mixed"),
-            "recommendation": F.when((rmse < -5) & (mae < -3) & (F.col("key_reduction_pct") > 20), "high_strong")
-            .when((rmse > 5) & (mae > 3), "low_strong")
-            .when((F.col("key_reduction_pct") > 50) & (F.abs(rmse) < 2), "high")
+            "recommendation": F.when(
+                (rmse < -RMSE_CLEAR) & (mae < -MAE_CLEAR) & (F.col("key_reduction_pct") > CUT_CLEAR), "high_strong"
+            )
+            .when((rmse > RMSE_CLEAR) & (mae > MAE_CLEAR), "low_strong")
+            .when((F.col("key_reduction_pct") > CUT_LARGE) & (F.abs(rmse) < RMSE_SAME), "high")
             .otherwise("depends"),
         }
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from demandgrid.functions.numeric import correlation, numeric_columns
+from demandgrid.functions.numeric import numeric_columns
 from demandgrid.functions.quantiles import quantile_columns
 
 # Fixed values of the data model.
@@ -90,18 +91,46 @@ def correlated_pairs(
 ) -> DataFrame:
     """Column pairs with |r| above the limit over rows where both are present.
 
-    Each row is expanded to its column pairs inside the scan stage and combined
-    there, so the shuffle carries one row per task and pair.
+    Each task sums products of whole batches of columns (matrix products over the rows it
+    reads), so rows are not multiplied by pairs and one row per pair leaves a task. Values are taken from the
+    column's mean, so that large means cost no digits. A constant column has no correlation.
     """
-    pairs = list(combinations(cols or numeric_columns(df), 2))
-    used = sorted({c for pair in pairs for c in pair})
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in used])
-    expanded = [x for i, (a, b) in enumerate(pairs) for x in (F.lit(i), F.col(a), F.col(b))]
-    by_pair = (
-        doubles.select(F.stack(F.lit(len(pairs)), *expanded).alias("_pair", "_a", "_b"))
-        .groupBy("_pair")
-        .agg(correlation("_a", "_b").alias("r"))
-        .filter(F.abs("r") > limit)
-    )
-    names = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in pairs])
-    return by_pair.select(F.get(names, F.col("_pair")).alias("_n"), "r").select("_n.*", "r")
+    names = list(cols or numeric_columns(df))
+    doubles = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
+    # One row of means and extremes, as many numbers as there are columns.
+    about = doubles.agg(*[f(c).alias(f"{n}{c}") for c in doubles.columns for n, f in (("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()
+    centres = [about[f"m{c}"] or 0.0 for c in doubles.columns]
+    varying = [i for i, c in enumerate(doubles.columns) if about[f"lo{c}"] is not None and about[f"lo{c}"] < about[f"hi{c}"]]
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(varying)
+        total = np.zeros((6, size, size))
+        for batch in batches:
+            if not batch.num_rows or not size:
+                continue
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) - centres[i] for i in varying])
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            square = x * x
+            total += (there.T @ there, x.T @ there, there.T @ x, square.T @ there, there.T @ square, x.T @ x)
+        a, b = np.triu_indices(size, 1)
+        number = np.array(varying, np.int32)
+        arrays = [pa.array(number[a]), pa.array(number[b]), *(pa.array(t[a, b]) for t in total)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    sums = doubles.mapInArrow(moments, "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+    pair = sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+
+    def spread(product: str, one: str, other: str) -> Column:
+        return F.col(product) - F.col(one) * F.col(other) / n
+
+    # What rounding leaves of the spread of a constant column is no spread.
+    def scale(square: str, one: str) -> Column:
+        own = spread(square, one, one)
+        return F.when(own > F.col(square) * 1e-13, F.sqrt(own))
+
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), spread("xy", "x", "y") / scale("xx", "x") / scale("yy", "y")))
+    by_pair = pair.withColumn("r", F.when(spread("xy", "x", "y").isNotNull() & scale("xx", "x").isNotNull() & scale("yy", "y").isNotNull(), r))
+    labels = F.array(*[F.lit(c) for c in names])
+    return by_pair.filter(F.abs("r") > limit).select(F.get(labels, F.col("a")).alias("feature_a"), F.get(labels, F.col("b")).alias("feature_b"), "r")

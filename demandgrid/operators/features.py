@@ -23,7 +23,8 @@ from demandgrid.schema import DATE, KEY, SEGMENT, SPLIT, STORE, TEST, TRAIN, VAL
 LAGS = (1, 2, 3, 7, 14, 21, 28)
 WINDOWS = (7, 14, 28)
 TRENDS = (7, 28)
-LEAKING = ("trend_7d_f", "trend_28d_f")
+# Built from the current target, or (the profile) from later ones.
+LEAKING = ("trend_7d_f", "trend_28d_f") + tuple(f"product_{x}_f" for x in ("mean", "std", "median", "min", "max"))
 DEFAULT_CONFIG = {
     KEY: {
         "lag": [1, 2, 3],
@@ -287,9 +288,10 @@ def config_columns(
         **rolling_columns("mean", sizes.get("rolling_mean", ()), **names),
         **rolling_columns("std", sizes.get("rolling_std", ()), **names),
     }
-    rows = _series(series, date)
+    # The mean of the n calendar months before the row's own.
+    months = Window.partitionBy(*([series] if isinstance(series, str) else series)).orderBy(F.year(date) * 12 + F.month(date))
     for n in sizes.get("cumulative_mean", ()):
-        built[f"cumulative_mean_{n}_f"] = F.avg(value).over(rows.rowsBetween(-n, -1))
+        built[f"cumulative_mean_{n}_f"] = F.avg(value).over(months.rangeBetween(-n, -1))
     return built
 
 
@@ -331,12 +333,14 @@ def feature_job(
     holidays: DataFrame | None = None,
     config: Mapping[str, Mapping[str, Sequence[int]]] = DEFAULT_CONFIG,
     key: str = KEY,
+    mask: bool = True,
 ) -> DataFrame:
     """Complete feature table from a dense entity-day table.
 
     ``by_usage_type`` treats (segment, key) as the series in one plan instead of a
     loop over segments, ``all`` ignores the segment, and ``product`` builds the
-    product feature set.
+    product feature set. ``mask`` hides the values after ``train_end`` from the windows of
+    the first two; ``forecast_table`` has features fit for a forecast.
     """
     if mode == "product":
         if holidays is None:
@@ -351,7 +355,41 @@ def feature_job(
     by_segment = mode == "by_usage_type"
     series = [SEGMENT, key] if by_segment else [key]
     table = df if by_segment or SEGMENT not in df.columns else df.drop(SEGMENT)
-    masked = table.withColumn("_target", F.col(VALUE)).transform(mask_after, train_end)
+    masked = table.withColumn("_target", F.col(VALUE))
+    masked = mask_after(masked, train_end) if mask else masked
     built = change_rate(features_from_config(masked, config, key, series), series)
     restored = built.withColumn(VALUE, F.col("_target")).drop("_target")
     return label_split(calendar_features(restored), train_end)
+
+
+def known_at_month_start(
+    df: DataFrame, cols: Sequence[str], train_end: str | dt.date, series: str | Sequence[str] = KEY, date: str = DATE
+) -> DataFrame:
+    """The columns as they stand on the first row of the series' month.
+
+    They must not use the row's own value. All rows after ``train_end`` count as one month that
+    begins the day after, so training and test rows know the past equally well: up to the
+    day before the first one to forecast.
+    """
+    after = F.date_add(F.lit(str(train_end)).cast("date"), 1)
+    block = F.when(F.col(date) >= after, after).otherwise(F.trunc(date, "month"))
+    same = Window.partitionBy(*([series] if isinstance(series, str) else series), block).orderBy(date)
+    return df.withColumns({c: F.first(c).over(same) for c in cols})
+
+
+def forecast_table(
+    df: DataFrame,
+    mode: str,
+    train_end: str | dt.date,
+    config: Mapping[str, Mapping[str, Sequence[int]]] = DEFAULT_CONFIG,
+    key: str = KEY,
+) -> DataFrame:
+    """``feature_job`` (``by_usage_type`` or ``all``) with window features as known at the start of each row's month.
+
+    No row, of training or test, has a feature that uses a value of its own month or a later one.
+    """
+    if mode not in ("by_usage_type", "all"):
+        raise ValueError(f"no forecast features for mode {mode!r}")
+    table = feature_job(df, mode, str(train_end), config=config, key=key, mask=False)
+    windows = [c for c in feature_columns(table) if c.removeprefix(f"{STORE}_").startswith(("lag_", "rolling_", "cumulative_", "change_rate"))]
+    return known_at_month_start(table, windows, train_end, [SEGMENT, key] if mode == "by_usage_type" else [key])

@@ -16,7 +16,7 @@ from demandgrid.functions import calendar as cal
 from demandgrid.functions.numeric import count_where, share_pct, with_scalars
 from demandgrid.functions.quantiles import quantile_columns
 from demandgrid.operators.ranking import ranked_top, top_n, top_per_group
-from demandgrid.schema import BUSINESS, DATE, HOUSEHOLD, KEY, SEGMENT, VALUE
+from demandgrid.schema import ALL, BUSINESS, DATE, HOUSEHOLD, KEY, SEGMENT, VALUE
 
 Day = str | dt.date
 
@@ -30,8 +30,9 @@ class Preset:
 
 
 # Fixed values of the data model.
-PRESETS = {BUSINESS: Preset(3000, 2), HOUSEHOLD: Preset(3500, 4), "all": Preset(7000, 4)}
+PRESETS = {BUSINESS: Preset(3000, 2), HOUSEHOLD: Preset(3500, 4), ALL: Preset(7000, 4)}
 PRODUCT_PRESET = Preset(50, 10)
+TRAIN_COUNT = "actual_value_count_in_train_period"
 TEST_THRESHOLDS = (4, 8, 48, 96)
 
 
@@ -86,7 +87,7 @@ def _selection(df: DataFrame, preset: Preset, train_end: Day, step: int, key: st
 
 
 def select_keys(
-    df: DataFrame, train_end: Day, step: int = 1, preset: Preset = PRESETS["all"], key: str = KEY
+    df: DataFrame, train_end: Day, step: int = 1, preset: Preset = PRESETS[ALL], key: str = KEY
 ) -> DataFrame:
     """All rows of keys that are among the most active in train or active in test."""
     chosen, _ = _selection(df, preset, train_end, step, key)
@@ -103,7 +104,10 @@ def select_keys_by_segment(
     value: str = VALUE,
     by: str = SEGMENT,
 ) -> DataFrame:
-    """``select_keys`` for every segment at once, each with its own preset."""
+    """``select_keys`` for every segment at once, each with its own preset.
+
+    Segments that ``presets`` does not name, and rows without one, get the general preset (``all``).
+    """
     in_train = F.col(date) <= _day(train_end)
     counts = (
         df.filter((F.col(value) > 0) & F.col(key).isNotNull())
@@ -113,19 +117,21 @@ def select_keys_by_segment(
             count_where(F.col(date) > _day(train_end)).alias("_test"),
         )
     )
-    top_of, min_of = F.lit(None).cast("int"), F.lit(None).cast("int")
+    general = presets.get(ALL, PRESETS[ALL])
+    top_of, min_of = F.lit(general.top), F.lit(general.min_test_per_step * step)
     for name, preset in presets.items():
         top_of = F.when(F.col(by) == name, preset.top).otherwise(top_of)
         min_of = F.when(F.col(by) == name, preset.min_test_per_step * step).otherwise(min_of)
-    most = max(p.top for p in presets.values())
+    most = max(p.top for p in (general, *presets.values()))
     top = top_per_group(counts.filter(F.col("_train") > 0), most, "_train", key, [by], out="_rank")
     chosen = (
         top.filter(F.col("_rank") <= top_of)
         .select(by, key)
         .union(counts.filter(F.col("_test") >= min_of).select(by, key))
         .distinct()
+        .toDF("_by", "_key")
     )
-    return df.join(chosen, [by, key], "left_semi")
+    return df.join(chosen, F.col(by).eqNullSafe(F.col("_by")) & (F.col(key) == F.col("_key")), "left_semi")
 
 
 def select_products(
@@ -165,18 +171,20 @@ def threshold_stats(
 
 def select_threshold(df: DataFrame, min_count: int, train_end: Day, period: tuple[Day, Day], **names) -> DataFrame:
     """Rows of keys with enough activity in the period or any in the test month."""
-    key = names.get("key", KEY)
-    stats = threshold_stats(df, min_count, train_end, period, **names)
+    key, date = names.get("key", KEY), names.get("date", DATE)
+    test = names.get("test") or test_period(train_end)
+    # Only two ranges of dates count; their hull reaches the scan.
+    days = [cal.to_day(d) for d in (*period, *test)]
+    counted = df.filter(_between(date, min(days), max(days)))
+    stats = threshold_stats(counted, min_count, train_end, period, **names)
     return df.join(stats.filter("selected").select(key), key, "left_semi")
 
 
 def attach_key_stats(pred: DataFrame, stats: DataFrame, key: str = KEY) -> DataFrame:
-    """Threshold flag and active count on every prediction, 0 for unknown keys."""
-    few = stats.select(key, "is_over_threshold", "actual_value_count")
-    zero = F.lit(0)
-    return pred.join(few, key, "left").withColumns(
-        {c: F.coalesce(F.col(c), zero) for c in ("is_over_threshold", "actual_value_count")}
-    )
+    """Threshold flag, active count and train-period count on every prediction, 0 for unknown keys."""
+    named = {"is_over_threshold": "is_over_threshold", "actual_value_count": "actual_value_count", "train_count": TRAIN_COUNT}
+    few = stats.select(key, *[F.col(c).alias(n) for c, n in named.items()])
+    return pred.join(few, key, "left").withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in named.values()})
 
 
 def restrict(pred: DataFrame, keys: DataFrame, key: str = KEY) -> DataFrame:

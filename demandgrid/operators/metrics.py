@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from demandgrid.functions import calendar as cal
 from demandgrid.functions.numeric import correlation as pearson
 from demandgrid.functions.numeric import count_where, ratio, round_half_even, share_pct, with_scalars
-from demandgrid.functions.quantiles import mean_of_counts, quantile_columns, quantiles_of_counts, value_counts
+from demandgrid.functions.quantiles import quantile_columns
 from demandgrid.operators.ranking import ranked_top
 from demandgrid.schema import ACTUAL, ALL, DATE, KEY, PRED_DATE, PREDICTED, SEGMENT, SPLIT, TEST, VALUE
+from demandgrid.session import materialise
 
 # Fixed values of the data model.
 UNIT_LIMITS = (5, 10, 20, 30, 50)
@@ -34,6 +35,8 @@ R2_NO_VARIANCE = -999.0
 R2_EPSILON = 1e-10
 TRAIN_PER_PREDICT = 12
 DAYS_IF_UNKNOWN = 31
+EXPORT_METRICS = ("RMSE", "MAE", "MAPE", "Error_Rate_10", "Error_Rate_20")
+GRADES = ((10, "excellent"), (20, "good"), (30, "acceptable"))
 SUMMARY_COLUMNS = (
     "material_key",
     "predict_year_month",
@@ -187,11 +190,11 @@ def within_units(pred: DataFrame, by: Keys = (), limits: Sequence[int] = UNIT_LI
 
 
 def abs_error_stats(pred: DataFrame, by: Keys = ()) -> DataFrame:
-    """Mean and exact median of the absolute error, from one count of its values."""
-    counts = value_counts(pred.select(*by, abs_err().alias("_e")), "_e", by)
-    mean = mean_of_counts(counts, "error_mean", by)
-    median = quantiles_of_counts(counts, {"error_median": 0.5}, by)
-    return _beside(mean, median, by)
+    """Mean and exact median of the absolute error; groups with a NULL in their name are left out."""
+    errors = pred.select(*by, abs_err().alias("_e")).filter(F.col("_e").isNotNull())
+    errors = reduce(lambda df, c: df.filter(F.col(c).isNotNull()), by, errors)
+    median = quantile_columns(errors, "_e", {"error_median": 0.5}, by)
+    return _beside(_agg(errors, by, {"error_mean": F.avg("_e")}), median, by)
 
 
 def pred_distribution(pred: DataFrame, by: Keys = ()) -> DataFrame:
@@ -277,11 +280,11 @@ def key_detail(pred: DataFrame, key: str = KEY) -> DataFrame:
             "mean_error_rate": F.avg("_pct"),
             "max_error_rate": F.max("_pct"),
             "min_error_rate": F.min("_pct"),
+            # A key has a row per day: its values fit the aggregation that runs anyway.
+            "median_error_rate": F.percentile("_pct", F.lit(0.5)),
         },
     )
-    median = quantile_columns(rows, "_pct", {"median_error_rate": 0.5}, [key])
-    kept = detail.filter((F.col("actual_sum") != 0) & (F.col("record_count") > 0))
-    return kept.join(median, key, "left")
+    return detail.filter((F.col("actual_sum") != 0) & (F.col("record_count") > 0))
 
 
 def key_metrics(pred: DataFrame, key: str = KEY) -> DataFrame:
@@ -346,6 +349,7 @@ def _partials(pred: DataFrame, by: Keys) -> DataFrame:
     a, p, one = F.when(both, act()), F.when(both, prd()), F.when(both, 1)
     n = F.count(one)
     within = {f"_w{x}": count_where(err_rate() * 100.0 <= x) for x in RECORD_LIMITS}
+    within |= {f"_u{x}": count_where(abs_err() <= x) for x in UNIT_LIMITS}
     return _agg(
         pred,
         by,
@@ -371,15 +375,17 @@ def _partials(pred: DataFrame, by: Keys) -> DataFrame:
     )
 
 
-def _merged(on_zero: str) -> dict[str, Column]:
+def _merged(on_zero: str, centre_a: Column, centre_p: Column) -> dict[str, Column]:
     """Record metrics from partials; the parts' own moments stay exact, so only the
-    spread between the parts is formed from squares of means."""
+    spread between the parts is formed from squares of means. Those are taken from a
+    common centre, so that a large mean costs no digits."""
     n = F.sum("_n")
+    centre = {"_a": centre_a, "_p": centre_p}
 
     def total(within: str, x: str, y: str) -> Column:
-        mean_x = F.sum(F.col("_n") * F.col(x)) / F.nullif(n, F.lit(0))
-        mean_y = F.sum(F.col("_n") * F.col(y)) / F.nullif(n, F.lit(0))
-        between = F.sum(F.col("_n") * F.col(x) * F.col(y)) - n * mean_x * mean_y
+        dx, dy = F.col(x) - centre[x], F.col(y) - centre[y]
+        sum_x, sum_y = F.sum(F.col("_n") * dx), F.sum(F.col("_n") * dy)
+        between = F.sum(F.col("_n") * dx * dy) - sum_x * sum_y / F.nullif(n, F.lit(0))
         return F.sum(within) + between
 
     def spread(within: str, x: str) -> Column:
@@ -395,30 +401,42 @@ def _merged(on_zero: str) -> dict[str, Column]:
         "correlation": total("_cap", "_a", "_p") / F.nullif(F.sqrt(ss_a) * F.sqrt(ss_p), F.lit(0.0)),
         "r2": _r2_of(F.sum("_e2"), ss_a, on_zero),
         **{f"within_{x}_record_pct": share_pct(F.sum(f"_w{x}"), F.sum("_n_positive")) for x in RECORD_LIMITS},
+        **{f"within_{x}_units_pct": share_pct(F.sum(f"_u{x}"), n) for x in UNIT_LIMITS},
     }
 
 
+def _record_metrics(parts: DataFrame, segment: str, on_zero: str) -> DataFrame:
+    """Record metrics of the named segments and of the whole table, rows without a segment included."""
+    centred = with_scalars(parts, parts.agg(F.avg("_a").alias("_ca"), F.avg("_p").alias("_cp")))
+    out = _with_overall(centred, segment, _merged(on_zero, F.col("_ca"), F.col("_cp")))
+    return out.filter(F.col(segment).isNotNull())
+
+
 def metrics_by_segment(pred: DataFrame, segment: str = SEGMENT, on_zero: str = "zero") -> DataFrame:
-    """Record metrics per segment and overall; the total merges the segments' rows."""
-    parts = _partials(pred.filter(F.col(segment).isNotNull()), [segment])
-    return _with_overall(parts, segment, _merged(on_zero))
+    """Record metrics per segment and overall; ``all`` covers every row, also those without a segment."""
+    return _record_metrics(materialise(_partials(pred, [segment]), "segment-parts"), segment, on_zero)
 
 
 def evaluation(pred: DataFrame, run: str, segment: str = SEGMENT, key: str = KEY) -> DataFrame:
     """Long metrics table (run, segment, metric, value) of a run.
 
-    The predictions are reduced to one row per segment and key; record and key metrics
-    of the segments and of the whole table are merged from those rows.
+    The predictions are reduced to one row per segment and key, written once; record and
+    key metrics are merged from those rows. In ``all`` every row counts, also those without a
+    segment or key, and a key of several segments counts once, with the mean over all its rows.
     """
-    known = pred.filter(F.col(segment).isNotNull() & F.col(key).isNotNull())
-    parts = _partials(known, [segment, key]).withColumn("_key_rate", ratio(F.col("_rate"), F.col("_n_rate")))
+    parts = materialise(_partials(pred, [segment, key]), "evaluation-parts")
+    rates = parts.filter(F.col(key).isNotNull()).select(segment, key, "_rate", "_n_rate")
+    whole = rates.groupBy(key).agg(F.sum("_rate").alias("_rate"), F.sum("_n_rate").alias("_n_rate"))
+    named = rates.filter(F.col(segment).isNotNull()).unionByName(whole.withColumn(segment, F.lit(ALL)))
+    named = named.withColumn("_key_rate", ratio(F.col("_rate"), F.col("_n_rate")))
     rated = F.count("_key_rate")
     by_key = {"key_count": rated, "error_rate_mean": F.avg("_key_rate")}
     for x in RECORD_LIMITS:
         by_key[f"within_{x}_percent_ratio"] = ratio(count_where(F.col("_key_rate") <= x / 100.0), rated)
-    merged = _with_overall(parts, segment, {**_merged("zero"), **by_key})
-    median = quantile_columns(parts, "_key_rate", {"error_rate_median": 0.5}, [segment], overall_of=segment)
-    return to_long(merged, run, segment).unionByName(to_long(median, run, segment))
+    keys = named.groupBy(segment).agg(*[c.alias(n) for n, c in by_key.items()])
+    median = quantile_columns(named, "_key_rate", {"error_rate_median": 0.5}, [segment])
+    tables = (_record_metrics(parts, segment, "zero"), keys, median)
+    return reduce(DataFrame.unionByName, [to_long(t, run, segment) for t in tables])
 
 
 def to_long(wide: DataFrame, run: str, segment: str = SEGMENT) -> DataFrame:
@@ -501,7 +519,8 @@ def month_accuracy(pred: DataFrame, key: str = KEY, date: str = PRED_DATE) -> Da
 def grade(mape: Column | str) -> Column:
     """Grade of a MAPE in percent by the bands 10, 20 and 30."""
     m = F.col(mape) if isinstance(mape, str) else mape
-    return F.when(m < 10, "excellent").when(m < 20, "good").when(m < 30, "acceptable").otherwise("needs_work")
+    band = reduce(lambda c, g: c.when(m < g[0], g[1]), GRADES[1:], F.when(m < GRADES[0][0], GRADES[0][1]))
+    return band.otherwise("needs_work")
 
 
 def export_totals(by_key: DataFrame, key: str = KEY) -> DataFrame:
@@ -512,10 +531,9 @@ def export_totals(by_key: DataFrame, key: str = KEY) -> DataFrame:
     def total(mean: str) -> Column:
         return F.col(mean) * days if mean in have else F.lit(0.0)
 
-    kept = ("RMSE", "MAE", "MAPE", "Error_Rate_10", "Error_Rate_20")
     return by_key.select(
         key,
         total("Mean_Actual").alias("actual_sum"),
         total("Mean_Predicted").alias("predicted_sum"),
-        *[(F.col(c) if c in have else F.lit(0.0)).alias(c) for c in kept],
+        *[(F.col(c) if c in have else F.lit(0.0)).alias(c) for c in EXPORT_METRICS],
     )

@@ -4,26 +4,26 @@ from __future__ import annotations
 
 import datetime as dt
 import math
-from collections.abc import Mapping, Sequence
+import random
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandgrid.functions import calendar as cal
-from demandgrid.functions.quantiles import quantile_columns
 from demandgrid.operators.features import LEAKING, feature_columns
 from demandgrid.operators.keys import test_period
 from demandgrid.operators.metrics import key_metrics, rmse_mae
 from demandgrid.schema import ACTUAL, DATE, KEY, PRED_DATE, PREDICTED, SEGMENT, VALUE
 from demandgrid.session import ensure_checkpoint_dir, materialise
 
-# Below every value of a feature, so trees can split missing rows off.
-MISSING = -1.0e6
+# Beside every feature that may be missing stands a 0/1 column that says so; the feature itself is then 0.
+MISSING_FLAG = "_missing"
 
 # Fixed values of the data model.
 WINSOR_TAIL = 0.05
@@ -81,13 +81,17 @@ def hampel(
     value: str = VALUE,
 ) -> DataFrame:
     """Replaces a value by the median of its centred ``n``-row window when it is more
-    than ``k`` robust standard deviations away. The frame holds ``n`` values."""
+    than ``k`` robust standard deviations away. The frame holds ``n`` values.
+
+    Where the deviations have median 0 (half of the window is one value, as with intermittent demand)
+    there is no scale to call anything an outlier by, and the value stays.
+    """
     half = n // 2
     frame = Window.partitionBy(key).orderBy(date).rowsBetween(-half, half)
     near = df.withColumn("_near", F.collect_list(value).over(frame)).withColumn("_med", _middle(F.col("_near")))
     spread = _middle(F.transform("_near", lambda x: F.abs(x - F.col("_med"))))
     with_spread = near.withColumn("_mad", spread)
-    outlier = F.abs(F.col(value) - F.col("_med")) > F.col("_mad") * (k * MAD_TO_STD)
+    outlier = (F.col("_mad") > 0) & (F.abs(F.col(value) - F.col("_med")) > F.col("_mad") * (k * MAD_TO_STD))
     cleaned = F.when(outlier, F.col("_med")).otherwise(F.col(value))
     return with_spread.withColumn(value, cleaned).drop("_near", "_med", "_mad")
 
@@ -100,38 +104,57 @@ def training_features(df: DataFrame, target: str = VALUE) -> list[str]:
     return [c for c in feature_columns(df) if c not in LEAKING and c != target]
 
 
-def _assembled(features: Sequence[str], **params: object) -> Pipeline:
-    regressor = GBTRegressor(labelCol="label", featuresCol="features", predictionCol=PREDICTED)
-    regressor.setParams(**{"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42, **params})
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), regressor])
+def _assembled(inputs: Sequence[str], regressor: str = "trees", **params: object) -> Pipeline:
+    """Gradient-boosted trees, or ``linear``: least squares by the normal equations."""
+    names = {"labelCol": "label", "featuresCol": "features", "predictionCol": PREDICTED}
+    if regressor == "linear":
+        stage = LinearRegression(**names, solver="normal").setParams(**params)
+    else:
+        stage = GBTRegressor(**names).setParams(**{"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42, **params})
+    return Pipeline(stages=[VectorAssembler(inputCols=list(inputs), outputCol="features"), stage])
+
+
+def model_inputs(table: DataFrame, features: Sequence[str]) -> list[str]:
+    """The features and their missing flags that a model input has."""
+    return [*features, *[f for c in features if (f := c + MISSING_FLAG) in table.columns]]
 
 
 def model_input(df: DataFrame, features: Sequence[str], target: str = VALUE) -> DataFrame:
-    """Only what a fit needs: features without NULL and the label."""
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(MISSING)).alias(c) for c in features]
+    """Only what a fit needs: features without NULL, their missing flags and the label."""
+    optional = {f.name for f in df.schema.fields if f.nullable}
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
+    flags = [F.col(c).isNull().cast("double").alias(c + MISSING_FLAG) for c in features if c in optional]
     kept = [c for c in (KEY, DATE, SEGMENT) if c in df.columns]
-    return df.select(*kept, F.col(target).cast("double").alias("label"), *filled)
+    return df.select(*kept, F.col(target).cast("double").alias("label"), *filled, *flags)
 
 
 def _day(day: Day) -> Column:
     return F.lit(str(day)).cast("date")
 
 
-def training_table(df: DataFrame, features: Sequence[str], train_end: Day, until: Day, target: str = VALUE) -> DataFrame:
+def training_table(
+    df: DataFrame,
+    features: Sequence[str],
+    train_end: Day,
+    until: Day,
+    target: str = VALUE,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """Written model input: rows up to ``train_end`` and later rows worth predicting.
 
     Fits read it several times, and several fits share it, so the feature plan runs
-    once.
+    once. Split into folders ``by`` columns, a fit on one value reads its part only.
     """
     rows = model_input(df.filter(F.col(DATE) <= _day(until)), features, target)
     useful = F.col("label").isNotNull() & ((F.col(DATE) <= _day(train_end)) | (F.col("label") > 0))
-    return materialise(rows.filter(useful), "model-input")
+    return materialise(rows.filter(useful), "model-input", by)
 
 
-def importance_of(model: PipelineModel, features: Sequence[str], like: DataFrame) -> DataFrame:
-    """Feature importances (one row per feature name, a bounded list)."""
-    weights = model.stages[-1].featureImportances
-    rows = [(name, float(weights[i])) for i, name in enumerate(features)]
+def importance_of(model: PipelineModel, inputs: Sequence[str], like: DataFrame) -> DataFrame:
+    """Importance of each model input, of a linear model its coefficient (a bounded list)."""
+    fitted = model.stages[-1]
+    weights = fitted.coefficients if hasattr(fitted, "coefficients") else fitted.featureImportances
+    rows = [(name, float(weights[i])) for i, name in enumerate(inputs)]
     return like.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
@@ -142,6 +165,7 @@ def _fit(
     features: list[str],
     clean: Sequence[str],
     params: Mapping[str, object],
+    regressor: str = "trees",
 ) -> Fit:
     """One fit on a training table and its predictions for the period."""
     ensure_checkpoint_dir(rows.sparkSession)
@@ -150,7 +174,8 @@ def _fit(
         train = {"winsorize": winsorize, "hampel": hampel}[name](train, value="label")
     if clean:
         train = materialise(train, "model-input-cleaned")
-    model = _assembled(features, **params).fit(train)
+    inputs = model_inputs(rows, features)
+    model = _assembled(inputs, regressor, **params).fit(train)
     due = rows.filter(F.col(DATE).between(_day(period[0]), _day(period[1])) & (F.col("label") > 0))
     scored = model.transform(due)
     segment = [SEGMENT] if SEGMENT in scored.columns else []
@@ -158,7 +183,7 @@ def _fit(
     return Fit(
         predictions=predictions,
         by_key=key_metrics(predictions),
-        importance=importance_of(model, features, rows),
+        importance=importance_of(model, inputs, rows),
         params={p.name: v for p, v in model.stages[-1].extractParamMap().items()},
         model=model,
         metrics=rmse_mae(predictions),
@@ -173,6 +198,7 @@ def fit_predict(
     features: Sequence[str] | None = None,
     clean: Sequence[str] = (),
     target: str = VALUE,
+    regressor: str = "trees",
     **params: object,
 ) -> Fit:
     """Fits on rows up to ``train_end`` and predicts the next ``step`` months.
@@ -183,28 +209,34 @@ def fit_predict(
     features = list(features or training_features(df, target))
     period = test_period(train_end, step)
     rows = training_table(df, features, train_end, period[1], target)
-    return _fit(rows, train_end, period, features, clean, params)
+    return _fit(rows, train_end, period, features, clean, params, regressor)
 
 
 def walk_forward(
-    df: DataFrame,
+    grid: DataFrame,
     train_end: Day,
     steps: int,
+    build: Callable[[DataFrame, str], DataFrame],
     features: Sequence[str] | None = None,
     clean: Sequence[str] = (),
     target: str = VALUE,
     **params: object,
 ) -> DataFrame:
-    """Month by month: train on everything before the month, predict the month."""
+    """Month by month: train on everything before the month, predict the month.
+
+    ``build(grid, cutoff)`` makes the feature table of each step from the dense grid, such as
+    ``features.forecast_table``; it gets no row after the month to predict.
+    """
     end = cal.to_day(train_end)
-    features = list(features or training_features(df, target))
     # Counted from the first end, so that month ends stay month ends.
     ends = [cal.add_months(end, i) for i in range(steps + 1)]
-    rows = training_table(df, features, ends[-2], ends[-1], target)
     months = []
     for i, (cutoff, last) in enumerate(zip(ends, ends[1:])):
+        table = build(grid.filter(F.col(DATE) <= _day(last)), str(cutoff))
+        names = list(features or training_features(table, target))
+        rows = training_table(table, names, cutoff, last, target)
         period = (cutoff + dt.timedelta(days=1), last)
-        predicted = _fit(rows, cutoff, period, features, clean, params).predictions
+        predicted = _fit(rows, cutoff, period, names, clean, params).predictions
         months.append(predicted.withColumn("step", F.lit(i + 1)))
     return reduce(DataFrame.unionByName, months)
 
@@ -212,19 +244,28 @@ def walk_forward(
 def fit_by_segment(
     df: DataFrame,
     train_end: Day,
-    segments: Sequence[str],
+    segments: Sequence[str | None] | None = None,
     step: int = 1,
     features: Sequence[str] | None = None,
     clean: Sequence[str] = (),
     target: str = VALUE,
     by: str = SEGMENT,
     **params: object,
-) -> tuple[DataFrame, dict[str, Fit]]:
-    """One model per segment; returns the union of predictions and the fits."""
+) -> tuple[DataFrame, dict[str | None, Fit]]:
+    """One model per segment; returns the union of predictions and the fits.
+
+    Without ``segments`` every segment of the table gets a model, rows without one too (``None``).
+    A list that leaves out a segment of the table raises ``ValueError``.
+    """
     features = list(features or training_features(df, target))
     period = test_period(train_end, step)
-    rows = training_table(df, features, train_end, period[1], target)
-    fits = {s: _fit(rows.filter(F.col(by) == s), train_end, period, features, clean, params) for s in segments}
+    rows = training_table(df, features, train_end, period[1], target, [by])
+    found = {r[0] for r in rows.select(by).distinct().collect()}
+    if segments is None:
+        segments = sorted(found, key=lambda s: (s is None, s or ""))
+    elif left := found - set(segments):
+        raise ValueError(f"segments without a model: {sorted(map(str, left))}")
+    fits = {s: _fit(rows.filter(F.col(by).eqNullSafe(F.lit(s))), train_end, period, features, clean, params) for s in segments if s in found}
     return reduce(DataFrame.unionByName, [f.predictions for f in fits.values()]), fits
 
 
@@ -235,8 +276,9 @@ def tune(
     trials: int | None = None,
     features: Sequence[str] | None = None,
     target: str = VALUE,
+    seed: int = 42,
 ) -> DataFrame:
-    """Validation RMSE of each parameter setting; at most ``trials`` settings.
+    """Validation RMSE of each parameter setting, or of a random ``trials`` of them.
 
     Rows are never sampled: the last month up to ``train_end`` is held out and the
     rest trains, like a walk-forward step. All trials read one training table.
@@ -246,11 +288,14 @@ def tune(
     period = (cutoff + dt.timedelta(days=1), train_end)
     rows = training_table(df, features, cutoff, train_end, target)
     names = sorted(grid)
-    settings = [dict(zip(names, values)) for values in product(*[grid[n] for n in names])][:trials]
+    settings = [dict(zip(names, values)) for values in product(*[grid[n] for n in names])]
+    chosen = range(len(settings))
+    if trials is not None and trials < len(settings):
+        chosen = sorted(random.Random(seed).sample(chosen, trials))
     results = []
-    for trial, params in enumerate(settings):
-        rmse = _fit(rows, cutoff, period, features, (), params).metrics.first()["rmse"]
-        results.append((trial, ",".join(f"{n}={v}" for n, v in params.items()), rmse))
+    for trial in chosen:
+        rmse = _fit(rows, cutoff, period, features, (), settings[trial]).metrics.first()["rmse"]
+        results.append((trial, ",".join(f"{n}={v}" for n, v in settings[trial].items()), rmse))
     return df.sparkSession.createDataFrame(results, "trial int, params string, rmse double")
 
 
@@ -311,20 +356,25 @@ def predict_scope(
     key: str = KEY,
     date: str = PRED_DATE,
 ) -> DataFrame:
-    """Predictions of a period, one day or listed keys, optionally aggregated per key."""
-    if mode == "future":
-        scoped = pred.filter(F.col(date).between(_day(start), _day(end)))
+    """Predictions of a period, one day or listed keys, optionally aggregated per key.
+
+    ``walk-forward`` takes the output of ``walk_forward``: a period like ``future``, of all steps.
+    ``start`` and ``end`` may be left open, except for ``single-date``.
+    """
+    inside = F.lit(True)
+    inside = inside if start is None else inside & (F.col(date) >= _day(start))
+    inside = inside if end is None else inside & (F.col(date) <= _day(end))
+    if mode in ("future", "walk-forward"):
+        scoped = pred.filter(inside)
     elif mode == "single-date":
         scoped = pred.filter(F.col(date) == _day(start))
     elif mode == "material-key":
-        scoped = pred.join(keys.select(key), key, "left_semi")
+        scoped = pred.filter(inside).join(keys.select(key), key, "left_semi")
     else:
         raise ValueError(f"unknown mode {mode!r}")
     if agg is None:
         return scoped
     days = F.count(F.lit(1)).alias("day_count")
-    if agg == "median":
-        counts = scoped.groupBy(key).agg(days)
-        return quantile_columns(scoped, PREDICTED, {PREDICTED: 0.5}, [key]).join(counts, key)
-    how = {"sum": F.sum, "mean": F.avg}[agg]
+    # A key has a row per day, so its median fits the aggregation that runs anyway.
+    how = {"sum": F.sum, "mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}[agg]
     return scoped.groupBy(key).agg(how(PREDICTED).alias(PREDICTED), days)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -98,9 +99,17 @@ def first_attr(df: DataFrame, keys: Sequence[str], cols: Sequence[str], order: S
 # --- dense grid ------------------------------------------------------------------
 
 
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _known(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+
+
 def _fill_days(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     date: str,
     value: str,
     lo: Column | None,
@@ -114,13 +123,13 @@ def _fill_days(
     sparse rows are shuffled (once, by key); the grid itself never is, and stays
     partitioned by key for the windows that follow. Generated days hold 0, the
     ``carry`` columns of the row they come from, and NULL elsewhere. ``partitions``
-    sets the number of tasks that hold the grid; by default AQE decides from the size
-    of the sparse rows.
+    sets the number of tasks that hold the grid, by default ``spark.sql.shuffle.partitions``:
+    AQE would merge tasks by the size of the sparse rows, many times smaller than the grid.
     """
-    if partitions is not None:
-        df = df.repartition(partitions, key)
-    series = Window.partitionBy(key).orderBy(date)
-    others = [c for c in df.columns if c not in (key, date, value, "_lo", "_hi")]
+    keys = _keys(key)
+    df = df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    series = Window.partitionBy(*keys).orderBy(date)
+    others = [c for c in df.columns if c not in (*keys, date, value, "_lo", "_hi")]
     own = F.col("_day") == F.col(date)
     previous, following = F.lag(date).over(series), F.lead(date).over(series)
     begin = F.col(date) if lo is None else F.when(previous.isNull(), lo).otherwise(F.col(date))
@@ -130,7 +139,7 @@ def _fill_days(
         df.withColumns({"_begin": begin, "_end": end})
         .withColumn("_day", F.explode(F.sequence("_begin", "_end")))
         .select(
-            key,
+            *keys,
             F.col("_day").alias(date),
             F.when(own, F.coalesce(F.col(value), F.lit(0.0))).otherwise(F.lit(0.0)).alias(value),
             *[F.col(c) if c in carry else F.when(own, F.col(c)).alias(c) for c in others],
@@ -140,7 +149,7 @@ def _fill_days(
 
 def fill_zero_global(
     df: DataFrame,
-    key: str = KEY,
+    key: str | Sequence[str] = KEY,
     date: str = DATE,
     value: str = VALUE,
     carry: Sequence[str] = (),
@@ -149,27 +158,29 @@ def fill_zero_global(
 ) -> DataFrame:
     """Every key on every day between the first and the last date of the table.
 
+    A list of columns, such as segment and key, makes a series of each combination.
+
     ``dates`` may name a cheaper table with the same first and last date, such as the
     raw lines, to read the bounds from.
 
     ``carry`` columns take the latest earlier value of the key, else its first one;
     for columns without NULL that equals ``fill_attributes`` without its window.
     """
-    rows = df.filter(F.col(key).isNotNull() & F.col(date).isNotNull())
+    rows = _known(df, [*_keys(key), date])
     bounds = (rows if dates is None else dates).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
     return _fill_days(with_scalars(rows, bounds), key, date, value, F.col("_lo"), F.col("_hi"), carry, partitions)
 
 
 def fill_zero_per_key(
     df: DataFrame,
-    key: str = KEY,
+    key: str | Sequence[str] = KEY,
     date: str = DATE,
     value: str = VALUE,
     carry: Sequence[str] = (),
     partitions: int | None = None,
 ) -> DataFrame:
     """Every day between the first and the last date of each key."""
-    rows = df.filter(F.col(key).isNotNull() & F.col(date).isNotNull())
+    rows = _known(df, [*_keys(key), date])
     return _fill_days(rows, key, date, value, None, None, carry, partitions)
 
 

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+# Parts of a group that are ranked on their own first.
+PARTS = 32
+
+
 def _order(value: str, key: str, ascending: bool = False) -> list[Column]:
     first = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
     return [first, F.col(key).asc()]
@@ -26,6 +30,13 @@ def ranked_top(df: DataFrame, n: int, value: str, key: str, ascending: bool = Fa
 def top_per_group(
     df: DataFrame, n: int, value: str, key: str, by: Sequence[str], ascending: bool = False, out: str = "rank"
 ) -> DataFrame:
-    """``n`` best rows per group; the rank limit is applied before the shuffle too."""
-    within = Window.partitionBy(*by).orderBy(*_order(value, key, ascending))
-    return df.withColumn(out, F.row_number().over(within)).filter(F.col(out) <= n)
+    """``n`` best rows per group; the rank limit is applied before the shuffle too.
+
+    Ranked first in parts of each group, by key, so that the task of a group sees
+    ``n`` rows of each part at most, however many tasks there were.
+    """
+    best = _order(value, key, ascending)
+    parts = df.withColumn("_part", F.pmod(F.hash(key), F.lit(PARTS)))
+    first = Window.partitionBy(*by, "_part").orderBy(*best)
+    few = parts.withColumn(out, F.row_number().over(first)).filter(F.col(out) <= n).drop("_part")
+    return few.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*best))).filter(F.col(out) <= n)

@@ -13,7 +13,7 @@ from demandgrid.plans.catalog import Catalog
 from demandgrid.plans.driver_tables import DriverTables
 from demandgrid.plans.features_catalog import _lag, _roll
 
-LAGS = (1, 7, 28)
+LAGS = (1, 7, 28, 300)
 STATS = ("mean", "max")
 COLUMNS = (
     ["actual_value"]
@@ -82,13 +82,13 @@ def register(c: Catalog) -> None:
     )
     c.add(
         "I03_high_missing",
-        lambda t: dg.high_missing(_table(t), 0.005, COLUMNS),
+        lambda t: dg.high_missing(_table(t), cols=COLUMNS),
         "SELECT * FROM ("
         + _union(
             "SELECT '{0}' AS feature, avg(CASE WHEN {0} IS NULL THEN CAST(1 AS DOUBLE) ELSE 0 END) "
             "AS missing_rate FROM feats"
         )
-        + ") WHERE missing_rate > 0.005",
+        + ") WHERE missing_rate > 0.1",
         "missing_rate",
     )
     c.add(
@@ -112,6 +112,12 @@ def register(c: Catalog) -> None:
 
     diff = "before after diff improvement_pct"
     c.add("J01_compare_runs", lambda t: cp.compare_runs(t.runs, "a", "b"), "SELECT * FROM run_diff", diff)
+    c.add(
+        "J01_compare_runs_materials",
+        lambda t: cp.compare_runs(t.material_runs, "a", "b"),
+        "SELECT * FROM run_diff_m",
+        diff,
+    )
     c.add(
         "J02_verdict",
         lambda t: cp.verdict(cp.compare_runs(t.runs, "a", "b")),

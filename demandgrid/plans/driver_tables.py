@@ -21,7 +21,6 @@ from demandgrid.sources.readers import normalise
 TRAIN_END = "2000-12-31"
 # Fixed-date holidays (month, day) used to exercise the holiday join.
 HOLIDAYS = ((1, 1), (2, 11), (4, 29), (5, 3), (5, 4), (5, 5), (11, 3), (11, 23))
-HOLIDAY_YEARS = (1992, 2005)
 
 
 @dataclass(frozen=True)
@@ -97,9 +96,11 @@ class DriverTables:
 
     @cached_property
     def holidays(self) -> DataFrame:
-        first, last = HOLIDAY_YEARS
+        """In every year of the order lines."""
+        dates = self.raw.agg(F.year(F.min(DATE)).alias("first"), F.year(F.max(DATE)).alias("last"))
         days = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in HOLIDAYS]))
-        years = self.spark.range(first, last + 1).select(F.col("id").cast("int").alias("y"), days.alias("md"))
+        years = dates.select(F.explode(F.sequence("first", "last")).alias("y"))
+        years = years.select("y", days.alias("md"))
         return years.select(F.make_date("y", "md.m", "md.d").alias("holiday"))
 
     @cached_property
@@ -133,6 +134,21 @@ class DriverTables:
             SEGMENT,
         )
 
+    @cached_property
+    def material_predictions(self) -> DataFrame:
+        """Material x store x day, run ``a``: a material belongs to the segments of all its stores."""
+        miss = ((F.col(KEY) * 7 + F.col(STORE)) % 13 - 6) / F.lit(10.0)
+        guess = F.floor(F.col(VALUE) * (F.lit(1.0) + miss) * 64.0 + 0.5) / F.lit(64.0)
+        columns = F.col(DATE).alias(PRED_DATE), F.col(VALUE).alias(ACTUAL), guess.alias(PREDICTED)
+        return self.material_store_daily.select(KEY, *columns, SEGMENT)
+
+    @cached_property
+    def material_runs(self) -> DataFrame:
+        """Long metrics of run ``a`` of the materials and of a run half as far off."""
+        nearer = F.floor((F.col(ACTUAL) + F.col(PREDICTED)) * 32.0 + 0.5) / F.lit(64.0)
+        b = self.material_predictions.withColumn(PREDICTED, nearer)
+        return mt.evaluation(self.material_predictions, "a").unionByName(mt.evaluation(b, "b"))
+
     @cached_property
     def runs(self) -> DataFrame:
         """Long metrics of both runs."""

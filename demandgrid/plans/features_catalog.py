@@ -66,7 +66,11 @@ CONFIG_SQL = (
     [f"{_lag(n)} AS lag_{n}_f" for n in _CONFIG["lag"]]
     + [_roll("mean", n) for n in _CONFIG["rolling_mean"]]
     + [_roll("std", n) for n in _CONFIG["rolling_std"]]
-    + [_roll("mean", n, f"cumulative_mean_{n}_f") for n in _CONFIG["cumulative_mean"]]
+    + [
+        f"avg(actual_value) OVER (PARTITION BY material_key ORDER BY year(file_date) * 12 + month(file_date) "
+        f"RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING) AS cumulative_mean_{n}_f"
+        for n in _CONFIG["cumulative_mean"]
+    ]
 )
 CONFIG_NAMES = (
     [f"lag_{n}_f" for n in _CONFIG["lag"]]

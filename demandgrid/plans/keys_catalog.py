@@ -67,9 +67,13 @@ def _coverage_sql(table: str, measure: str, ns: list[int]) -> str:
 
 THRESHOLD_STATS = f"""SELECT material_key,
   count(*) FILTER (file_date BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}') AS actual_value_count,
+  count(*) FILTER (file_date BETWEEN DATE '{PERIOD[0]}' AND DATE '{TRAIN_END}') AS train_count,
   count(*) FILTER ({IN_MONTH}) AS test_count
   FROM sd WHERE actual_value > 0 GROUP BY 1"""
-SELECTED = f"SELECT material_key FROM ({THRESHOLD_STATS}) WHERE actual_value_count >= 300 OR test_count > 0"
+SELECTED = (
+    f"SELECT material_key FROM ({THRESHOLD_STATS.replace('FROM sd', 'FROM md')}) "
+    "WHERE actual_value_count >= 20 OR test_count > 0"
+)
 
 
 def register(c: Catalog) -> None:
@@ -114,29 +118,30 @@ def register(c: Catalog) -> None:
     )
     c.add(
         "E05_select_products",
-        lambda t: ks.select_products(t.product_daily.drop("product_key"), TRAIN_END, 3, ks.Preset(10, 80))[0],
+        lambda t: ks.select_products(t.product_daily.drop("product_key"), TRAIN_END, 3, ks.Preset(10, 64))[0],
         f"""SELECT * FROM pd WHERE material_key IN (
         SELECT material_key FROM (SELECT * FROM ({_counts(IN_TRAIN, 'pd')})
           ORDER BY active_count DESC, material_key LIMIT 10)
-        UNION SELECT material_key FROM ({_counts(IN_TEST, 'pd')}) WHERE active_count >= 240)""",
+        UNION SELECT material_key FROM ({_counts(IN_TEST, 'pd')}) WHERE active_count >= 192)""",
         v,
     )
     c.add(
         "E05_product_targets",
-        lambda t: ks.select_products(t.product_daily, TRAIN_END, 3, ks.Preset(10, 80))[1],
-        f"SELECT material_key FROM ({_counts(IN_TEST, 'pd')}) WHERE active_count >= 240",
+        lambda t: ks.select_products(t.product_daily, TRAIN_END, 3, ks.Preset(10, 64))[1],
+        f"SELECT material_key FROM ({_counts(IN_TEST, 'pd')}) WHERE active_count >= 192",
     )
     c.add(
         "E06_select_threshold",
-        lambda t: ks.select_threshold(t.store_daily, 300, TRAIN_END, PERIOD),
-        f"SELECT * FROM sd WHERE material_key IN ({SELECTED})",
+        lambda t: ks.select_threshold(t.material_daily, 20, TRAIN_END, PERIOD),
+        f"SELECT * FROM md WHERE material_key IN ({SELECTED})",
         v,
     )
     c.add(
         "E07_attach_key_stats",
         lambda t: ks.attach_key_stats(t.predictions, _stats(t)),
         f"""SELECT p.*, CAST(coalesce(actual_value_count >= 300, false) AS INTEGER) AS is_over_threshold,
-        coalesce(actual_value_count, 0) AS actual_value_count
+        coalesce(actual_value_count, 0) AS actual_value_count,
+        coalesce(train_count, 0) AS actual_value_count_in_train_period
         FROM pred p LEFT JOIN ({THRESHOLD_STATS}) s ON s.material_key = p.material_key""",
         "actual predicted",
     )

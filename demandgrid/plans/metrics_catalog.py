@@ -9,7 +9,7 @@ from demandgrid.operators import metrics as mt
 from demandgrid.operators import prepare as pp
 from demandgrid.plans.catalog import Catalog
 from demandgrid.plans.driver_tables import TRAIN_END, DriverTables
-from demandgrid.plans.sql_tables import RECORD_METRICS
+from demandgrid.plans.sql_tables import RECORD_METRICS, UNIT_SQL
 from demandgrid.schema import ACTUAL, BUSINESS, HOUSEHOLD, KEY, PREDICTED, SEGMENT
 
 ALL_SEGMENTS = "SELECT * FROM pe UNION ALL SELECT * REPLACE ('all' AS usage_type) FROM pe"
@@ -222,10 +222,18 @@ def register(c: Catalog) -> None:
         coalesce(avg(100 * rate), 0) AS mape_pct, corr(predicted, actual) AS correlation, {main} AS r2,
         100.0 * count(*) FILTER (100 * rate <= 20) / count(rate) AS within_20_record_pct,
         100.0 * count(*) FILTER (100 * rate <= 30) / count(rate) AS within_30_record_pct,
-        100.0 * count(*) FILTER (100 * rate <= 50) / count(rate) AS within_50_record_pct
+        100.0 * count(*) FILTER (100 * rate <= 50) / count(rate) AS within_50_record_pct, {UNIT_SQL}
         FROM ({ALL_SEGMENTS}) GROUP BY 1""",
         " ".join(n for n in RECORD_METRICS if n != "n"),
     )
+    record = ", ".join(f"max(CASE WHEN metric = '{n}' THEN value END) AS {n}" for n in RECORD_METRICS if n != "n")
+    c.add(
+        "G21_metrics_by_segment_materials",
+        lambda t: mt.metrics_by_segment(t.material_predictions),
+        f"""SELECT segment AS usage_type, CAST(max(CASE WHEN metric = 'n' THEN value END) AS BIGINT) AS n, {record}
+        FROM runs_m WHERE run = 'a' GROUP BY segment""",
+        " ".join(n for n in RECORD_METRICS if n != "n"),
+    )
     c.add("G22_combine_segments", _combined, "SELECT * FROM pred", "actual predicted")
     means = "actual_value_mean predict_value_mean error_value_mean"
     c.add("G23_material_summary", lambda t: mt.material_summary(t.predictions), "SELECT * FROM summary", means)
@@ -359,12 +367,12 @@ def _bias(c: Catalog) -> None:
     base = "CASE WHEN actual = 0 THEN 1 ELSE actual END"
     c.add(
         "H08_high_overprediction",
-        lambda t: bs.high_overprediction(t.predictions, 0.45),
+        lambda t: bs.high_overprediction(t.predictions.withColumn(PREDICTED, F.col(PREDICTED) * (F.col(KEY) % 20))),
         f"""SELECT count(*) AS key_count, avg(a) AS mean_actual, avg(p) AS mean_predicted,
         count(*) FILTER (a < 10) AS small_keys, 100.0 * count(*) FILTER (a < 10) / count(*) AS small_pct,
         quantile_cont(a, 0.5) AS median_actual
-        FROM (SELECT material_key, avg(predicted / {base}) AS r, avg(actual) AS a, avg(predicted) AS p
-          FROM pe GROUP BY 1) WHERE r > 0.45""",
+        FROM (SELECT material_key, avg(predicted * (material_key % 20) / {base}) AS r, avg(actual) AS a,
+          avg(predicted * (material_key % 20)) AS p FROM pe GROUP BY 1) WHERE r > 5""",
         "mean_actual mean_predicted small_pct median_actual",
     )
     errors = "SELECT abs(e) AS x FROM pe WHERE abs(e) < (SELECT quantile_cont(abs(e), 0.95) FROM pe)"

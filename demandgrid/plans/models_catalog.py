@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from itertools import product
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from demandgrid.operators import features as ft
 from demandgrid.operators import keys as ks
 from demandgrid.operators import models as md
 from demandgrid.plans.catalog import Catalog
 from demandgrid.plans.driver_tables import TRAIN_END, DriverTables
-from demandgrid.schema import BUSINESS, HOUSEHOLD
+from demandgrid.plans.features_catalog import CONFIG_NAMES
+from demandgrid.schema import KEY, PREDICTED, SEGMENT
 
-SMALL = {"maxIter": 5, "maxDepth": 4}
 SCOPE = ("2001-01-01", "2001-03-31")
+STEPS = 2
+GRID = {"maxDepth": [3, 5], "stepSize": [0.05, 0.1]}
+# A feature that no row misses, for the fit that SQL can repeat.
+LINE = "day_of_month_f"
+
+
+def _build(grid: DataFrame, cutoff: str) -> DataFrame:
+    return ft.forecast_table(grid, "by_usage_type", cutoff)
 
 
 def _table(t: DriverTables) -> DataFrame:
-    return ft.feature_job(t.store_dense_segment, "by_usage_type", TRAIN_END)
+    return _build(t.store_dense_segment, TRAIN_END)
+
+
+def _checked(predictions: DataFrame) -> DataFrame:
+    """Which rows are predicted, with what actual, has an exact answer; of the trees' values only that they are finite numbers."""
+    finite = F.col(PREDICTED).isNotNull() & ~F.isnan(PREDICTED) & (F.abs(PREDICTED) < float("inf"))
+    return predictions.withColumn(PREDICTED, finite).withColumnRenamed(PREDICTED, "is_finite")
+
+
+def _line(t: DriverTables) -> DataFrame:
+    return md.fit_predict(_table(t), TRAIN_END, 1, features=[LINE], regressor="linear").predictions
+
+
+def _tuned(t: DriverTables) -> DataFrame:
+    return md.tune(_table(t), TRAIN_END, GRID).withColumn("rmse", F.col("rmse") > 0).withColumnRenamed("rmse", "is_positive")
 
 
 def _importance(t: DriverTables) -> DataFrame:
-    _, fits = md.fit_by_segment(_table(t), TRAIN_END, [BUSINESS, HOUSEHOLD], **SMALL)
-    return md.importance(fits)
+    """Shares of each segment sum up to 1; which input they belong to has an exact answer, too."""
+    _, fits = md.fit_by_segment(_table(t), TRAIN_END)
+    whole = md.importance(fits)
+    inside = (F.col("importance") >= 0) & (F.col("importance") <= 1)
+    total = F.round(F.sum("importance").over(Window.partitionBy(SEGMENT)), 6)
+    return whole.select("feature", SEGMENT, inside.alias("is_share"), total.alias("total"))
 
 
 def _scope(t: DriverTables) -> DataFrame:
@@ -36,6 +64,9 @@ def _scope(t: DriverTables) -> DataFrame:
     parts.append(
         md.predict_scope(t.predictions, "material-key", "mean", keys=listed).withColumn("scope", F.lit("keys"))
     )
+    parts.append(
+        md.predict_scope(t.predictions, "walk-forward", "mean", *SCOPE).withColumn("scope", F.lit("walk-forward"))
+    )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -55,13 +86,15 @@ CALENDAR_NAMES = (
     + ["container_f"]
 )
 
+FORECAST_NAMES = CONFIG_NAMES + ["change_rate_f"] + CALENDAR_NAMES
+
 HAMPEL = """WITH near AS (
   SELECT *, list(actual_value) OVER (PARTITION BY material_key ORDER BY file_date
     ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS v FROM dense),
 med AS (SELECT *, list_aggregate(v, 'quantile_cont', 0.5) AS m FROM near),
 mad AS (SELECT *, list_aggregate(list_transform(v, lambda x: abs(x - m)), 'quantile_cont', 0.5) AS s FROM med)
 SELECT material_key, file_date,
-  CASE WHEN abs(actual_value - m) > s * 3 * CAST(1.4826 AS DOUBLE) THEN m ELSE actual_value END AS actual_value
+  CASE WHEN s > 0 AND abs(actual_value - m) > s * 3 * CAST(1.4826 AS DOUBLE) THEN m ELSE actual_value END AS actual_value
 FROM mad"""
 
 BASELINE = """WITH ranked AS (
@@ -81,12 +114,25 @@ FROM d"""
 
 
 def register(c: Catalog) -> None:
-    c.add("F01_fit_predict", lambda t: md.fit_predict(_table(t), TRAIN_END, 1, **SMALL).predictions)
-    c.add("F02_walk_forward", lambda t: md.walk_forward(_table(t), TRAIN_END, 2, **SMALL))
+    due = """SELECT material_key, file_date AS date, actual_value AS actual, usage_type, true AS is_finite{}
+        FROM densu WHERE actual_value > 0 AND file_date > DATE '{}' AND file_date <= DATE '{}'"""
+    first = due.format("", TRAIN_END, "2001-01-31")
+    c.add("F01_fit_predict", lambda t: _checked(md.fit_predict(_table(t), TRAIN_END, 1).predictions), first, "actual")
+    c.add(
+        "F01_fit_predict_linear",
+        _line,
+        f"""WITH line AS (SELECT regr_slope(actual_value, day(file_date)) AS a, regr_intercept(actual_value, day(file_date)) AS b
+          FROM densu WHERE file_date <= DATE '{TRAIN_END}')
+        SELECT material_key, date, actual, a * day(date) + b AS predicted, usage_type FROM ({first}), line""",
+        "actual predicted",
+    )
     c.add(
-        "F03_fit_by_segment",
-        lambda t: md.fit_by_segment(_table(t), TRAIN_END, [BUSINESS, HOUSEHOLD], **SMALL)[0],
+        "F02_walk_forward",
+        lambda t: _checked(md.walk_forward(t.store_dense_segment, TRAIN_END, STEPS, _build)),
+        due.format(", 1 AS step", TRAIN_END, "2001-01-31") + " UNION ALL " + due.format(", 2 AS step", "2001-01-31", "2001-02-28"),
+        "actual",
     )
+    c.add("F03_fit_by_segment", lambda t: _checked(md.fit_by_segment(_table(t), TRAIN_END)[0]), first, "actual")
     c.add(
         "F04_winsorize",
         lambda t: md.winsorize(t.store_daily),
@@ -96,11 +142,15 @@ def register(c: Catalog) -> None:
         "actual_value",
     )
     c.add("F05_hampel", lambda t: md.hampel(t.store_dense), HAMPEL, "actual_value")
+    trials = [f"({i}, 'maxDepth={d},stepSize={w}', true)" for i, (d, w) in enumerate(product(*GRID.values()))]
+    c.add("F06_tune", _tuned, f"SELECT * FROM (VALUES {', '.join(trials)}) AS v(trial, params, is_positive)")
+    inputs = FORECAST_NAMES + [f"{n}{md.MISSING_FLAG}" for n in FORECAST_NAMES]
     c.add(
-        "F06_tune",
-        lambda t: md.tune(_table(t), TRAIN_END, {"maxDepth": [2, 4], "maxIter": [2, 4]}, trials=3),
+        "F07_importance",
+        _importance,
+        f"""SELECT unnest({inputs}) AS feature, usage_type, true AS is_share, CAST(1 AS DOUBLE) AS total
+        FROM (SELECT DISTINCT usage_type FROM store_dim)""",
     )
-    c.add("F07_importance", _importance)
     c.add("F08_baseline_forecast", lambda t: md.baseline_forecast(t.store_daily, 31), BASELINE, "predicted")
     scoped = f"FROM pred WHERE date BETWEEN DATE '{SCOPE[0]}' AND DATE '{SCOPE[1]}' GROUP BY 1"
     c.add(
@@ -109,6 +159,7 @@ def register(c: Catalog) -> None:
         f"""SELECT material_key, sum(predicted) AS predicted, count(*) AS day_count, 'future-sum' AS scope {scoped}
         UNION ALL SELECT material_key, avg(predicted), count(*), 'future-mean' {scoped}
         UNION ALL SELECT material_key, quantile_cont(predicted, 0.5), count(*), 'future-median' {scoped}
+        UNION ALL SELECT material_key, avg(predicted), count(*), 'walk-forward' {scoped}
         UNION ALL SELECT material_key, sum(predicted), count(*), 'single-date' FROM pred
           WHERE date = DATE '{SCOPE[0]}' GROUP BY 1
         UNION ALL SELECT material_key, avg(predicted), count(*), 'keys' FROM pred WHERE material_key IN (

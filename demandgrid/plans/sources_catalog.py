@@ -38,9 +38,11 @@ def _fallback(t: DriverTables) -> DataFrame:
 
 
 def _versioned(t: DriverTables) -> DataFrame:
-    paths = wr.write_versioned(t.store_daily, scratch_path(t.spark, "versioned"), "store_daily", "20010101_000000")
-    parts = [rd.read_demand(t.spark, p).withColumn("copy", F.lit(name)) for name, p in paths.items()]
-    return parts[0].unionByName(parts[1])
+    root = scratch_path(t.spark, "versioned")
+    wr.write_versioned(t.store_daily.withColumn(VALUE, F.lit(-1.0)), root, "store_daily", "20001201_000000")
+    paths = wr.write_versioned(t.store_daily, root, "store_daily", "20010101_000000")
+    version, latest = rd.read_demand(t.spark, paths["version"]), rd.read_latest(t.spark, root, "store_daily")
+    return version.withColumn("copy", F.lit("version")).unionByName(latest.withColumn("copy", F.lit("latest")))
 
 
 def _csv_sink(t: DriverTables) -> DataFrame:
@@ -67,14 +69,16 @@ def _newest_version(t: DriverTables) -> DataFrame:
 
 
 def _model_round_trip(t: DriverTables) -> DataFrame:
-    table = ft.feature_job(t.store_dense_segment, "by_usage_type", TRAIN_END)
-    fit = md.fit_predict(table, TRAIN_END, 1, maxIter=3, maxDepth=3)
+    """Predictions of a model before it is saved and after it is loaded."""
+    table = ft.forecast_table(t.store_dense_segment, "by_usage_type", TRAIN_END)
+    fit = md.fit_predict(table, TRAIN_END, 1)
     root = scratch_path(t.spark, "models")
     wr.save_model(fit.model, root, "all")
-    loaded = wr.load_model(root, "all")
-    return loaded.transform(md.model_input(table.filter(F.col(VALUE) > 0), fit.features)).select(
-        KEY, "file_date", F.col("label").alias("actual"), PREDICTED
-    )
+    rows = md.model_input(table.filter(F.col(VALUE) > 0), fit.features)
+    for name, model in (("before", fit.model), ("after", wr.load_model(root, "all"))):
+        rows = model.transform(rows).withColumnRenamed(PREDICTED, name).drop("features")
+    same = F.col("before").isNotNull() & (F.col("before") == F.col("after"))
+    return rows.select(KEY, "file_date", F.col("label").alias("actual"), same.alias("is_same"))
 
 
 def _metrics_document(t: DriverTables) -> DataFrame:
@@ -120,5 +124,10 @@ def register(c: Catalog) -> None:
     c.add("A06_write_metrics_json", _json_sink, "SELECT * FROM runs WHERE run = 'a'", doubles="value")
     c.add("A07_write_features", _features_sink, "SELECT * FROM densu", doubles="actual_value")
     c.add("A08_read_latest", _newest_version, "SELECT * FROM sd", doubles="actual_value")
-    c.add("A09_save_model", _model_round_trip)
+    c.add(
+        "A09_save_model",
+        _model_round_trip,
+        "SELECT material_key, file_date, actual_value AS actual, true AS is_same FROM densu WHERE actual_value > 0",
+        doubles="actual",
+    )
     c.add("A10_read_metrics_json", _metrics_document, "SELECT * FROM runs WHERE run = 'a'", doubles="value")

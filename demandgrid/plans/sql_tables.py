@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from demandgrid.plans.driver_tables import HOLIDAY_YEARS, HOLIDAYS, TRAIN_END
+from demandgrid.operators.metrics import UNIT_LIMITS
+from demandgrid.plans.driver_tables import HOLIDAYS, TRAIN_END
 
+UNIT_METRICS = [f"within_{x}_units_pct" for x in UNIT_LIMITS]
+UNIT_SQL = ", ".join(f"100.0 * count(*) FILTER (abs(e) <= {x}) / count(e) AS within_{x}_units_pct" for x in UNIT_LIMITS)
 RECORD_METRICS = (
     "n rmse mae mape_pct correlation r2 within_20_record_pct within_30_record_pct within_50_record_pct".split()
+    + UNIT_METRICS
 )
 KEY_METRICS = (
     "key_count error_rate_mean within_20_percent_ratio within_30_percent_ratio within_50_percent_ratio "
@@ -15,13 +19,13 @@ KEY_METRICS = (
 
 def _metrics(run: str, table: str) -> str:
     names = RECORD_METRICS + KEY_METRICS
-    record = """
+    record = f"""
       SELECT segment, count(*) AS n, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae,
         coalesce(avg(100 * rate), 0) AS mape_pct, corr(predicted, actual) AS correlation,
         1 - sum(e * e) / (var_pop(actual) * count(*)) AS r2,
         100.0 * count(*) FILTER (100 * rate <= 20) / count(rate) AS within_20_record_pct,
         100.0 * count(*) FILTER (100 * rate <= 30) / count(rate) AS within_30_record_pct,
-        100.0 * count(*) FILTER (100 * rate <= 50) / count(rate) AS within_50_record_pct
+        100.0 * count(*) FILTER (100 * rate <= 50) / count(rate) AS within_50_record_pct, {UNIT_SQL}
       FROM rows_ GROUP BY segment"""
     by_key = """
       SELECT segment, count(*) AS key_count, avg(r) AS error_rate_mean,
@@ -81,7 +85,7 @@ TABLES = {
       LEFT JOIN pd s ON s.material_key = k.material_key AND s.file_date = d.file_date""",
     "holiday_list": f"""
       SELECT make_date(y, m, d) AS holiday
-      FROM (SELECT unnest(generate_series({HOLIDAY_YEARS[0]}, {HOLIDAY_YEARS[1]})) AS y),
+      FROM (SELECT unnest(generate_series(year(min(file_date)), year(max(file_date)))) AS y FROM raw_lines),
         (VALUES {_HOLIDAY_LIST}) AS v(m, d)""",
     "pred": """
       SELECT material_key, file_date AS date, actual_value AS actual,
@@ -98,6 +102,17 @@ TABLES = {
           / CAST(64 AS DOUBLE) AS predicted,
         usage_type
       FROM densu""",
+    # Materials by store: a material is sold in several segments.
+    "pred_m": """
+      SELECT material_key, file_date AS date, actual_value AS actual,
+        floor(actual_value * (CAST(1 AS DOUBLE) + ((material_key * 7 + store_code) % 13 - 6) / CAST(10 AS DOUBLE)) * 64
+          + CAST(0.5 AS DOUBLE)) / CAST(64 AS DOUBLE) AS predicted,
+        usage_type
+      FROM msd""",
+    "pred_m_b": """
+      SELECT material_key, date, actual, floor((actual + predicted) * 32 + CAST(0.5 AS DOUBLE)) / CAST(64 AS DOUBLE) AS predicted,
+        usage_type
+      FROM pred_m""",
     # Predictions with the derived columns most metrics need.
     "pe": """
       SELECT *, predicted - actual AS e,
@@ -147,6 +162,7 @@ TABLES = {
         avg(e) AS absolute_error_mean, sum(predicted) / nullif(sum(actual), 0) AS overprediction_score
       FROM pe GROUP BY material_key""",
     "runs": f"{_metrics('a', 'pred')} UNION ALL SELECT * FROM ({_metrics('b', 'pred_b')})",
+    "runs_m": f"{_metrics('a', 'pred_m')} UNION ALL SELECT * FROM ({_metrics('b', 'pred_m_b')})",
     "active": """
       SELECT material_key, count(*) AS active_count FROM md WHERE actual_value > 0 GROUP BY material_key""",
     "volume": "SELECT material_key, sum(actual_value) AS total_value FROM md GROUP BY material_key",
@@ -156,12 +172,19 @@ _DIRECTIONS = (
     [(m, -1) for m in ("rmse", "mae", "mape_pct", "error_rate_mean", "error_rate_median")]
     + [(f"within_{x}_percent_ratio", 1) for x in (20, 30, 50)]
     + [(f"within_{x}_record_pct", 1) for x in (20, 30, 50)]
-    + [(m, 1) for m in ("correlation", "r2")]
+    + [(m, 1) for m in (*UNIT_METRICS, "correlation", "r2")]
 )
 TABLES["directions"] = "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {s})" for m, s in _DIRECTIONS) + ") AS v(metric, sgn)"
-TABLES["run_diff"] = """
+
+
+def _run_diff(runs: str) -> str:
+    return f"""
       SELECT a.segment, a.metric, a.value AS before, b.value AS after, b.value - a.value AS diff,
         100 * sgn * (b.value - a.value) / nullif(abs(a.value), 0) AS improvement_pct
-      FROM runs a JOIN runs b ON a.segment = b.segment AND a.metric = b.metric AND a.run = 'a' AND b.run = 'b'
+      FROM {runs} a JOIN {runs} b ON a.segment = b.segment AND a.metric = b.metric AND a.run = 'a' AND b.run = 'b'
       JOIN directions d ON d.metric = a.metric
       WHERE a.value IS NOT NULL AND b.value IS NOT NULL"""
+
+
+TABLES["run_diff"] = _run_diff("runs")
+TABLES["run_diff_m"] = _run_diff("runs_m")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,10 +12,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Sparse rows grow many times over when the day grid is filled, so partitions of
-    # sparse rows are kept small enough for the grid made from them.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
@@ -35,19 +32,13 @@ def build_session(master: str | None = None, app: str = "demandgrid", **extra: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can read and write.
+    """Folder that every executor can read and write, whatever the master.
 
-    Taken from ``spark.checkpoint.dir``. Only a local master, where driver and
-    executors are one process, may fall back to a temporary folder.
+    The setting ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse, the one
+    place that Spark itself takes for shared.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="demandgrid-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,15 +46,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes the table to the shared folder and reads it back.
+_written: dict[str, SparkSession] = {}
+
+
+def materialise(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Writes the table to the shared folder and reads it back, split into folders ``by`` columns.
 
     Cuts the lineage for work that reads its input many times, survives the loss of
-    any executor, and keeps column pruning and filter pushdown for the readers.
+    any executor, and keeps column pruning and filter pushdown for the readers. The table
+    stays until ``release`` or the end of the program, since results are read lazily.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.register(release)
+    _written[path] = df.sparkSession
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def release() -> None:
+    """Deletes all tables that ``materialise`` has written; results that still read them end with this."""
+    for path, spark in list(_written.items()):
+        del _written[path]
+        if spark.sparkContext._jsc is not None:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -64,26 +64,34 @@ def read_features(
 
 
 def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The ``latest`` snapshot if written, else the newest ``run_ts`` partition."""
+    """The version that ``latest`` names, else the newest complete one; only that one is read.
+
+    A version is complete once its ``_SUCCESS`` file stands.
+    """
     base = f"{root.rstrip('/')}/{name}"
     if path_exists(spark, f"{base}/{LATEST}"):
-        return read_demand(spark, f"{base}/{LATEST}")
-    versions = spark.read.option("basePath", f"{base}/versions").parquet(f"{base}/versions")
-    newest = versions.agg(F.max("run_ts").alias("run_ts"))
-    return normalise(versions.filter(F.col("run_ts") == newest.scalar()).drop("run_ts"))
+        run = spark.read.text(f"{base}/{LATEST}").first()[0]
+        return read_demand(spark, f"{base}/versions/run_ts={run}")
+    runs = [n for n, _ in listed(spark, f"{base}/versions") if n.startswith("run_ts=")]
+    complete = [r for r in runs if path_exists(spark, f"{base}/versions/{r}/_SUCCESS")]
+    if not complete:
+        raise FileNotFoundError(f"no complete version under {base}/versions")
+    return read_demand(spark, f"{base}/versions/{max(complete)}")
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Name and modification time of what a folder holds, from the file system alone."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return [(f.getPath().getName(), f.getModificationTime()) for f in found]
 
 
 def read_newest_file(spark: SparkSession, path: str, name_contains: str = "") -> DataFrame:
-    """Rows of the most recently modified file whose name holds the given text."""
-    table = spark.read.parquet(path)
-    columns = table.columns
-    seen = table.select(
-        *columns,
-        F.col("_metadata.file_modification_time").alias("_mtime"),
-        F.col("_metadata.file_name").alias("_file"),
-    ).filter(F.col("_file").contains(name_contains))
-    newest = seen.agg(F.max(F.struct("_mtime", "_file")).alias("_newest")).select("_newest._file")
-    return normalise(seen.filter(F.col("_file") == newest.scalar()).select(*columns))
+    """Rows of the most recently modified file of a folder whose name holds the given text; only that file is read."""
+    files = [(at, n) for n, at in listed(spark, path) if name_contains in n and not n.startswith(("_", "."))]
+    if not files:
+        raise FileNotFoundError(f"no file with {name_contains!r} in its name under {path}")
+    return read_demand(spark, f"{path.rstrip('/')}/{max(files)[1]}")
 
 
 def read_metrics_json(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:

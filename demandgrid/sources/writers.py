@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from demandgrid.schema import KEY, SEGMENT
 from demandgrid.sources.readers import LATEST
 
 
 def write_versioned(df: DataFrame, root: str, name: str, run_ts: str) -> dict[str, str]:
-    """One computation, two copies: ``versions/run_ts=…`` and ``latest``.
+    """Writes ``versions/run_ts=…`` and then points ``latest`` at it.
 
-    ``latest`` is copied from the written version, so the plan of ``df`` runs once.
+    ``latest`` is a small file with the run's name, put in place by one rename when the version
+    is complete, so a reader finds the old version or the new one, never half of either.
     """
     base = f"{root.rstrip('/')}/{name}"
     version = f"{base}/versions/run_ts={run_ts}"
-    latest = f"{base}/{LATEST}"
     df.write.mode("overwrite").option("compression", "snappy").parquet(version)
-    df.sparkSession.read.schema(df.schema).parquet(version).write.mode("overwrite").parquet(latest)
-    return {"version": version, "latest": latest}
+    publish_text(df.sparkSession, f"{base}/{LATEST}", run_ts)
+    return {"version": version, "latest": f"{base}/{LATEST}"}
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced as a whole, on the file system that owns the path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place, draft = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(files.makeQualified(draft), files.makeQualified(place), options)
 
 
 def write_csv(df: DataFrame, path: str) -> str:

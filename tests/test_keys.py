@@ -114,4 +114,13 @@ def test_distributions(demand):
 
 def test_top_per_group_limits_before_the_shuffle(demand):
     plan = rk.top_per_group(demand, 2, "actual_value", "material_key", ["file_date"])
-    assert plan._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    assert plan._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 4
+
+
+def test_other_segments_get_the_general_preset(series):
+    from demandgrid.schema import ALL
+
+    presets = {"business": ks.Preset(1, 5), ALL: ks.Preset(2, 5)}
+    rows = [(f"{s or 'none'}{k}", f"2024-01-{d:02d}", 1.0, s) for s in ("business", "other", None) for k in range(3) for d in range(1, 4 + k)]
+    got = ks.select_keys_by_segment(series(rows, "usage_type string"), "2024-01-31", presets=presets)
+    assert {r.material_key for r in got.collect()} == {"business2", "other1", "other2", "none1", "none2"}

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from demandgrid.operators import bias as bs
@@ -162,3 +163,32 @@ def test_histogram_counts_every_kept_record(predictions):
     assert sum(r.n for r in got if r.measure == "abs_error") == 26
     assert sum(r.n for r in got if r.measure == "prediction_ratio") == 28
     assert max(r.bin for r in got) == 49
+
+
+def test_evaluation_covers_every_row_and_counts_a_key_once(predictions):
+    rows = [
+        ("A", "2024-01-01", 10.0, 10.0, "business"),
+        ("A", "2024-01-02", 10.0, 5.0, "household"),
+        ("B", "2024-01-01", 10.0, 12.5, "household"),
+        ("C", "2024-01-01", 4.0, 104.0, None),
+        (None, "2024-01-01", 2.0, 3.0, "business"),
+    ]
+    got = {(r.segment, r.metric): r.value for r in mt.evaluation(predictions(rows), "a").collect()}
+    whole = mt.rmse_mae(predictions(rows)).first()
+    assert got["all", "n"] == whole.n == 5 and got["all", "rmse"] == pytest.approx(whole.rmse)
+    assert got["all", "key_count"] == 3
+    assert got["all", "error_rate_mean"] == pytest.approx((0.25 + 0.25 + 25) / 3)
+    assert got["all", "error_rate_median"] == pytest.approx(0.25)
+    assert (got["business", "key_count"], got["household", "key_count"], got["business", "n"]) == (1, 2, 2)
+    assert got["household", "error_rate_mean"] == pytest.approx(0.375)
+    assert got["all", "within_5_units_pct"] == pytest.approx(80.0)
+    assert {s for s, _ in got} == {"all", "business", "household"}
+    by = {r.usage_type: r.n for r in mt.metrics_by_segment(predictions(rows)).collect()}
+    assert by == {"all": 5, "business": 2, "household": 2}
+
+
+def test_a_large_mean_costs_no_digits(predictions):
+    rows = [(k, f"2024-01-{d:02d}", 1e9 + d + i, 1e9 + d * (1 + i), s) for i, (k, s) in enumerate((("A", "x"), ("B", "y"), ("C", "x"))) for d in range(1, 20)]
+    a, p = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    got = {r.usage_type: r.correlation for r in mt.metrics_by_segment(predictions(rows)).collect()}
+    assert got["all"] == pytest.approx(np.corrcoef(a, p)[0, 1], rel=1e-6)

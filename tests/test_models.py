@@ -1,9 +1,11 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from demandgrid.operators import features as ft
 from demandgrid.operators import models as md
+from demandgrid.sources import readers as rd
 from demandgrid.sources import writers as wr
 
 SMALL = {"maxIter": 2, "maxDepth": 2}
@@ -37,7 +39,8 @@ def test_fit_predicts_only_positive_rows_of_the_test_month(table):
     rows = fit.predictions.collect()
     assert rows and all(r.actual > 0 and r.date.month == 3 for r in rows)
     assert "actual_value" not in fit.features and not set(ft.LEAKING) & set(fit.features)
-    assert fit.importance.count() == len(fit.features)
+    names = [r.feature for r in fit.importance.collect()]
+    assert names[: len(fit.features)] == fit.features and all(n.endswith(md.MISSING_FLAG) for n in names[len(fit.features) :])
     assert fit.by_key.count() == 3 and fit.metrics.first().n == len(rows)
     assert fit.params["maxIter"] == 2
 
@@ -52,20 +55,101 @@ def test_test_rows_do_not_change_the_model(table):
     assert a.split("\n", 1)[1] == b.split("\n", 1)[1]
 
 
+def build(grid, cutoff):
+    return ft.forecast_table(grid, "all", cutoff)
+
+
 def test_walk_forward_predicts_whole_months(series):
     days = [(f"2024-{m:02d}-{d:02d}", m, d) for m in range(1, 5) for d in range(1, (31, 29, 31, 30)[m - 1] + 1)]
-    table = ft.feature_job(series([("A", day, 1.0 + d % 5) for day, _, d in days]), "all", "2024-01-31")
-    got = md.walk_forward(table, "2024-01-31", 3, **SMALL).select("step", "date").collect()
+    grid = series([("A", day, 1.0 + d % 5) for day, _, d in days])
+    got = md.walk_forward(grid, "2024-01-31", 3, build, **SMALL).select("step", "date").collect()
     assert sorted((r.step, r.date.month, r.date.day) for r in got) == [(m - 1, m, d) for _, m, d in days if m > 1]
 
 
+def demand(series, keys=12, months=10):
+    """Weekly demand around a level of the key that rises from month to month."""
+    rows = [
+        (f"K{k:02d}", f"2024-{m:02d}-{d:02d}", float((3 + k) * m * (1 + (d + k) % 7 / 10)))
+        for k in range(keys) for m in range(1, months + 1) for d in range(1, 29)
+    ]
+    return series(rows)
+
+
+def test_features_of_a_month_use_no_value_of_it_or_later(series):
+    grid = demand(series, 3, 6)
+    cutoff = "2024-04-30"
+    table = ft.forecast_table(grid, "all", cutoff)
+    features = md.training_features(table)
+    for first in ("2024-03-01", "2024-05-01"):
+        changed = grid.withColumn("actual_value", F.when(F.col("file_date") >= first, F.rand(1)).otherwise(F.col("actual_value")))
+        last = "2024-03-31" if first < cutoff else "2024-12-31"
+        of_month = F.col("file_date").between(first, last)
+        a, b = (
+            sorted(map(str, t.filter(of_month).select("material_key", "file_date", *features).collect()))
+            for t in (table, ft.forecast_table(changed, "all", cutoff))
+        )
+        assert a == b and len(a) > 50
+    known = {}
+    for name, rows in (("train", table.filter("file_date between '2024-02-01' and '2024-04-30'")), ("test", table.filter("file_date > '2024-04-30'"))):
+        shares = [F.avg(F.col(f).isNull().cast("double")).alias(f) for f in ("lag_1_f", "rolling_mean_6_f", "cumulative_mean_2_f")]
+        known[name] = rows.agg(*shares).first()
+    assert all(abs(known["train"][f] - known["test"][f]) < 0.1 for f in ("lag_1_f", "rolling_mean_6_f", "cumulative_mean_2_f"))
+
+
+def test_the_model_beats_the_mean_of_each_key(series):
+    grid = demand(series)
+    got = md.walk_forward(grid, "2024-08-31", 2, build)
+    means = grid.filter("file_date <= '2024-08-31'").groupBy("material_key").agg(F.avg("actual_value").alias("mean"))
+    both = got.join(means, "material_key").agg(
+        F.sqrt(F.avg((F.col("actual") - F.col("predicted")) ** 2)).alias("model"),
+        F.sqrt(F.avg((F.col("actual") - F.col("mean")) ** 2)).alias("mean"),
+    ).first()
+    assert both.model < both.mean
+
+
+def test_intermittent_demand_survives_hampel(series):
+    values = [0, 0, 5, 0, 0, 0, 7, 0, 0, 9, 0, 0, 0, 0]
+    got = md.hampel(series(month("A", 1, values)), n=7)
+    assert [r.actual_value for r in got.orderBy("file_date").collect()] == values
+
+
+def test_every_segment_gets_a_model(series):
+    rows = [r for k, s in (("A", "business"), ("B", "other"), ("C", None)) for m in (1, 2, 3) for r in month(k, m, range(1, 29), s)]
+    table = ft.calendar_features(series(rows, "usage_type string"))
+    predictions, fits = md.fit_by_segment(table, "2024-02-29", **SMALL)
+    assert set(fits) == {"business", "other", None} and predictions.count() == 3 * 28
+    with pytest.raises(ValueError, match="other"):
+        md.fit_by_segment(table, "2024-02-29", ["business", None], **SMALL)
+
+
+def test_a_linear_fit_is_least_squares(series):
+    table = ft.calendar_features(series([r for m in (1, 2, 3) for r in month("A", m, [2 * d + 5 for d in range(28)])]))
+    got = md.fit_predict(table, "2024-02-29", features=["day_of_month_f"], regressor="linear").predictions.collect()
+    assert all(r.predicted == pytest.approx(r.actual) for r in got) and len(got) == 28
+
+
+def test_missing_features_are_flagged(series):
+    table = series(month("A", 1, [1, 2])).withColumn("x_f", F.when(F.col("actual_value") > 1, F.lit(-5e6)))
+    rows = md.model_input(table, ["x_f"]).orderBy("label").collect()
+    assert [(r.x_f, r.x_f_missing) for r in rows] == [(0.0, 1.0), (-5e6, 0.0)]
+
+
+def test_nothing_stays_in_the_scratch_folder(spark, table):
+    from demandgrid import session as ss
+
+    md.fit_predict(table, "2024-02-29", 1, clean=["winsorize"], **SMALL).predictions.count()
+    assert any("model-input" in n for n, _ in rd.listed(spark, ss.shared_dir(spark)))
+    ss.release()
+    assert not any("model-input" in n for n, _ in rd.listed(spark, ss.shared_dir(spark)))
+
+
 def test_segments_tuning_and_saved_model(table, tmp_path):
     predictions, fits = md.fit_by_segment(table, "2024-02-29", ["business", "household"], **SMALL)
     assert {r.usage_type for r in predictions.select("usage_type").distinct().collect()} == {"business", "household"}
     ranked = md.importance(fits).collect()
     assert [r.usage_type for r in ranked] == sorted(r.usage_type for r in ranked)
     trials = md.tune(table, "2024-02-29", {"maxDepth": [1, 2], "maxIter": [1, 2]}, trials=2).collect()
-    assert [t.trial for t in trials] == [0, 1] and all(math.isfinite(t.rmse) for t in trials)
+    assert len({t.trial for t in trials}) == 2 and all(math.isfinite(t.rmse) for t in trials)
     fit = fits["business"]
     wr.save_model(fit.model, str(tmp_path), "business")
     loaded = wr.load_model(str(tmp_path), "business")
@@ -94,5 +178,7 @@ def test_prediction_scope(spark, predictions):
     assert md.predict_scope(table, "single-date", start="2025-01-03").count() == 1
     keys = spark.createDataFrame([("B",)], "material_key string")
     assert md.predict_scope(table, "material-key", "sum", keys=keys).first().predicted == 9.0
+    assert md.predict_scope(table, "material-key", keys=keys, start="2025-01-02").count() == 0
+    assert md.predict_scope(table, "walk-forward", end="2025-01-01").count() == 2
     with pytest.raises(ValueError):
         md.predict_scope(table, "other")

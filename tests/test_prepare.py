@@ -128,3 +128,9 @@ def test_summaries(series):
     assert pp.top_share(table, 1).first().top_pct == 50.0
     cut = pp.reduction(table, table.filter("material_key = 'A'")).first()
     assert (cut.rows_before, cut.rows_after, cut.keys_after, cut.reduction_pct) == (4, 2, 1, 50.0)
+
+
+def test_a_grid_of_segment_and_key(series):
+    table = series([("A", "2024-01-01", 1.0, "x"), ("A", "2024-01-03", 2.0, "y"), ("A", "2024-01-04", 3.0, "x")], "usage_type string")
+    got = pp.fill_zero_per_key(table, ["usage_type", "material_key"]).collect()
+    assert sorted((r.usage_type, r.file_date.day, r.actual_value) for r in got) == [("x", 1, 1.0), ("x", 2, 0.0), ("x", 3, 0.0), ("x", 4, 3.0), ("y", 3, 2.0)]

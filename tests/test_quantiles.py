@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from demandgrid.functions import quantiles as qt
 
 FIXTURE_OK = [HealthCheck.function_scoped_fixture]
@@ -41,21 +43,32 @@ def test_many_equal_values(spark):
     assert (got.a, got.b, got.c) == (7.0, pytest.approx(7.02), 9.0)
 
 
-def test_mean_of_counts(spark):
-    table = spark.createDataFrame([(1.0,), (1.0,), (4.0,), (None,)], "x double")
-    assert qt.mean_of_counts(qt.value_counts(table, "x"), "m").first().m == 2.0
-
-
 def test_empty(spark):
     table = spark.createDataFrame([], "x double")
     assert qt.quantile_columns(table, "x", {"m": 0.5}).first().m is None
 
 
-def test_the_table_is_read_once(spark, tmp_path):
-    spark.range(2000).selectExpr("id % 3 AS g", "cast(id % 97 AS double) AS x").write.parquet(str(tmp_path / "t"))
-    table = spark.read.parquet(str(tmp_path / "t"))
-    counts = qt.value_counts(table, "x", ["g"])
-    both = qt.mean_of_counts(counts, "m", ["g"]).join(qt.quantiles_of_counts(counts, {"q": 0.5}, ["g"]), "g")
-    assert len(both.collect()) == 3
-    final = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert final.count("FileScan") == 1 and final.count("ReusedExchange") >= 2
+def test_few_rows_are_shuffled(spark):
+    """Values without repetition: only those near a wanted rank leave their task."""
+    table = spark.range(200_000).selectExpr("cast(id % 3 AS string) AS g", "ln(id + 1) * 7.3 AS x")
+    got = qt.quantile_columns(table, "x", {"q": 0.5}, ["g"])
+    kept = [f for f in got.inputFiles() if "quantile-values" in f]
+    assert spark.read.parquet(*kept).count() < 2000 and got.count() == 3
+
+
+def test_values_close_together_are_split(spark):
+    """A million distinct values within 1e-5 of 1: one coarse bin, sorted in many parts."""
+    table = spark.range(1_000_000).selectExpr("1 + id * 1e-11 AS x")
+    codes = table.select(qt._code(F.col("x")).alias("c"))
+    parts = codes.agg(F.countDistinct(F.shiftright("c", qt._COARSE)), F.countDistinct(F.shiftright("c", qt._FINE))).first()
+    assert parts[0] == 1 and parts[1] > 500
+    assert qt.quantile_columns(table, "x", {"m": 0.5}).first().m == pytest.approx(1 + 499_999.5e-11, abs=1e-15)
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=FIXTURE_OK)
+@given(st.lists(st.floats(allow_nan=False), min_size=2, max_size=60))
+def test_codes_keep_the_order(spark, values):
+    edges = [2.0**k * (1 - e) for k in (-3, 0, 50) for e in (0, 2**-53, 2**-52)]
+    rows = spark.createDataFrame([(float(v),) for v in values + edges], "x double").select("x", qt._code(F.col("x")).alias("c"))
+    codes = [r.c for r in sorted(rows.collect(), key=lambda r: r.x)]
+    assert codes == sorted(codes) and None not in codes

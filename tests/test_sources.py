@@ -29,6 +29,20 @@ def test_newest_version_without_latest(spark, series, tmp_path):
     assert same(rd.read_latest(spark, str(tmp_path), "t"), series(ROWS[1:]))
 
 
+def test_an_unfinished_version_is_not_read(spark, series, tmp_path):
+    paths = wr.write_versioned(series(ROWS), str(tmp_path), "t", "20240101_000000")
+    half = tmp_path / "t" / "versions" / "run_ts=20240301_000000"
+    series(ROWS[:1]).write.parquet(str(half))
+    (half / "_SUCCESS").unlink()
+    assert same(rd.read_latest(spark, str(tmp_path), "t"), series(ROWS))
+    (tmp_path / "t" / "latest").unlink()
+    newest = rd.read_latest(spark, str(tmp_path), "t")
+    assert same(newest, series(ROWS)) and all(paths["version"] in f for f in newest.inputFiles())
+    (tmp_path / "t" / "versions" / "run_ts=20240101_000000" / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        rd.read_latest(spark, str(tmp_path), "t")
+
+
 def test_newest_file(spark, series, tmp_path):
     series(ROWS).coalesce(1).write.parquet(str(tmp_path / "f"))
     series(ROWS[:1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
