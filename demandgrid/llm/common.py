@@ -80,3 +80,13 @@ def running_totals(df: DataFrame, key: str, value: str, order: str, rows: int, t
     local = F.coalesce(F.sum(value).over(in_bucket), F.lit(0))
     out = dealt.join(base, [key, "_b1", "_b2"]).withColumn("before", (F.col("_base") + local).cast("long"))
     return out.drop("_b1", "_b2", "_base")
+
+
+def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all, if it has fewer), chosen by a hash of the columns ``by``, which is added as ``k``.
+
+    The rows stay where they are: no task or driver gathers candidates for the sample.
+    """
+    share = min(1.0, rows / max(1, df.count()))
+    keyed = df.withColumn("k", F.xxhash64(F.lit(7), *by))
+    return keyed.where(F.shiftrightunsigned("k", 11) < F.lit(int(share * 2**53)))

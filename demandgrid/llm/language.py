@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import held_out, pick
+from demandgrid.llm.common import bounded_sample, held_out, pick
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 16, 256
 #: Labelled rows to learn from, and windows taken of each.
@@ -87,23 +87,31 @@ def windows_of(data: bytes) -> np.ndarray:
 
 
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], ByteNet | None]:
-    """The languages in order and the network, from at most ``fit_rows`` rows (text, lang), the least by hash of the text.
+    """The languages in order and the network, from about ``fit_rows`` rows (doc_id, text, lang), chosen by hash.
 
-    Null or empty texts and null languages teach nothing. With no row there is no network.
+    The driver gets FIT_WINDOWS windows of each. Null or empty texts and null languages teach nothing; with
+    no row there is no network.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    found = rows.orderBy(F.xxhash64("text", F.lit(7)), "lang").limit(fit_rows).collect()
-    languages = sorted({r["lang"] for r in found})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, text, lang in zip(*(c.to_pylist() for c in batch.columns)):
+                own = windows_of(text.encode()) if text else ()
+                for i in np.random.default_rng(k & (2**63 - 1)).choice(len(own), min(FIT_WINDOWS, len(own)), replace=False) if text else ():
+                    out.append((k, int(i), lang, own[i].tobytes()))
+            columns = zip(*out) if out else [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "i", "lang", "window"])
+
+    rows = bounded_sample(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), fit_rows, "doc_id", "text")
+    found = rows.select("k", "text", "lang").mapInArrow(cut, "k long, i int, lang string, window binary").toArrow()
+    found = sorted(zip(*(found[c].to_pylist() for c in ("k", "i", "lang", "window"))))
+    languages = sorted({lang for _, _, lang, _ in found})
     if not found:
         return [], None
-    rng = np.random.default_rng(7)
-    windows, labels = [], []
-    for r in found:
-        own = windows_of(r["text"].encode())
-        for i in rng.choice(len(own), min(FIT_WINDOWS, len(own)), replace=False):
-            windows.append(own[i])
-            labels.append(languages.index(r["lang"]))
-    return languages, ByteNet(len(languages)).fit(np.stack(windows), np.array(labels))
+    windows = np.stack([np.frombuffer(w, np.uint8) for *_, w in found])
+    return languages, ByteNet(len(languages)).fit(windows, np.array([languages.index(lang) for _, _, lang, _ in found]))
 
 
 def predictor(languages: list[str], net: ByteNet | None):
@@ -156,14 +164,14 @@ def identify(docs: DataFrame, learn: Column | None = None, fit_rows: int = FIT_R
     wins.
     """
     rows = pick(docs, "doc_id", "text", "lang")
-    known = rows.where(~held_out(F.col("doc_id")) if learn is None else learn).select("text", "lang")
+    known = rows.where(~held_out(F.col("doc_id")) if learn is None else learn).select("doc_id", "text", "lang")
     predict = predictor(*train(known, fit_rows))
     return rows.select("doc_id", predict("text").alias("p")).select("doc_id", "p.lang_pred", "p.score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents with a language: not ``und``, and scored ``least`` or more; their columns stay as they are."""
-    known = pick(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id"))).select("text", "lang")
+    known = pick(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     predict = predictor(*train(known))
     judged = docs.withColumn("_p", predict("text"))
     return judged.where((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least)).drop("_p")

@@ -11,16 +11,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import held_out, pick
+from demandgrid.llm.common import bounded_sample, held_out, pick
 
 # Readings of look-alike signs; the letters of the model ("" stands for all others and the word's edge).
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -44,7 +43,7 @@ PREFIXES = (4, 5, 6)
 #: Noisy forms longer than this are keys and the like, not words.
 LONGEST = 40
 #: Labelled rows to learn from; features need so many toxic rows.
-FIT_ROWS, LEAST_ROWS, FEATURES = 12_000, 4, 4000
+FIT_ROWS, LEAST_ROWS, LEAST_EVIDENCE, FEATURES = 8000, 4, 6.0, 4000
 CACHED = 300_000
 
 
@@ -134,68 +133,74 @@ class Restorer:
         return out
 
 
-def features(word: str) -> list[str]:
-    return [word, *(word[:n] + "~" for n in PREFIXES if len(word) > n)]
+def features(word: str) -> list[int]:
+    """Hashes of the word and of its beginnings."""
+    return [zlib.crc32(word.encode()), *(zlib.crc32(f"{word[:n]}~".encode()) for n in PREFIXES if len(word) > n)]
 
 
-def fit(rows: list[tuple[set[str], int]], rounds: int = 300) -> tuple[dict[str, float], float]:
+def fit(flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, rounds: int = 300) -> tuple[dict[int, float], float]:
     """Weights by feature and the intercept of a logistic model over features seen mostly in toxic rows.
 
-    Without rows of both labels there are no weights, and the intercept is the smoothed share of toxic rows.
+    ``flat`` holds the distinct features of the rows, ``lengths`` of them for each row. Without rows of both labels
+    there are no weights, and the intercept is the smoothed share of toxic rows.
     """
-    toxic = sum(y for _, y in rows)
-    base = math.log((toxic + 1) / (len(rows) - toxic + 9))
-    own, with_, without = [], Counter(), Counter()
-    for words, y in rows:
-        own.append({f for w in words for f in features(w)})
-        (with_ if y else without).update(own[-1])
-    clean = len(rows) - toxic
-
-    def evidence(f: str) -> float:
-        p, q = (with_[f] + 0.5) / (toxic + 1), (without[f] + 0.5) / (clean + 1)
-        return math.log(p / q) * math.sqrt(with_[f])
-
-    strong = sorted((f for f, n in with_.items() if n >= LEAST_ROWS and evidence(f) > 6), key=lambda f: (-evidence(f), f))[:FEATURES]
-    if not strong or not clean:
+    rows, positive = len(toxic), int(toxic.sum())
+    clean = rows - positive
+    base = math.log((positive + 1) / (clean + 9))
+    names, column = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(rows, dtype=np.int32), lengths)
+    with_ = np.bincount(column, toxic[row], len(names))
+    without = np.bincount(column, minlength=len(names)) - with_
+    odds = np.log((with_ + 0.5) / (positive + 1)) - np.log((without + 0.5) / (clean + 1))
+    evidence = odds * np.sqrt(with_)
+    strong = np.flatnonzero((with_ >= LEAST_ROWS) & (evidence > LEAST_EVIDENCE))
+    if not len(strong) or not clean:
         return {}, base
-    at = {f: i for i, f in enumerate(strong)}
-    pairs = [(r, at[f]) for r, fs in enumerate(own) for f in fs if f in at]
-    r, c = np.array(pairs).T
-    y = np.array([y for _, y in rows], float)
+    strong = strong[np.lexsort((names[strong], -evidence[strong]))][:FEATURES]
+    at = np.full(len(names), -1, np.int32)
+    at[strong] = np.arange(len(strong))
+    kept = at[column] >= 0
+    r, c = row[kept], at[column[kept]]
     w, b = np.zeros(len(strong)), base
     seen_w, seen_b = np.full(len(strong), 1e-6), 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(np.bincount(r, w[c], len(rows)) + b)))
-        d = p - y
+        d = 1 / (1 + np.exp(-(np.bincount(r, w[c], rows) + b))) - toxic
         g, h = np.bincount(c, d[r], len(strong)) + 0.5 * w, d.sum()
         seen_w += g * g
         seen_b += h * h
         w -= 0.5 * g / np.sqrt(seen_w)
         b -= 0.5 * h / math.sqrt(seen_b)
-    return dict(zip(strong, w.tolist())), float(b)
+    return dict(zip(names[strong].tolist(), w.tolist())), float(b)
 
 
-def train(labelled: DataFrame, restorer: Restorer, fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
-    """Fits on at most ``fit_rows`` rows (text, toxic), the least by hash of the text; null labels teach nothing."""
+def train(labelled: DataFrame, restorer: Restorer, fit_rows: int = FIT_ROWS) -> tuple[dict[int, float], float]:
+    """Fits on about ``fit_rows`` rows (doc_id, text, toxic), chosen by hash; null labels teach nothing.
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"words": [" ".join(sorted(restorer.words(t or ""))) for t in f["text"]], "toxic": f["toxic"]})
+    The driver gets the feature hashes of those rows: a few MB for a thousand of them.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted({f for w in restorer.words(t.as_py() or "") for f in features(w)}) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64())), batch.column(2)], names=["k", "f", "toxic"])
 
-    chosen = labelled.where(F.col("toxic").isin(0, 1)).orderBy(F.xxhash64("text", F.lit(7)), "toxic").limit(fit_rows)
-    chosen = chosen.select("text", F.col("toxic").cast("int").alias("toxic")).repartition(32)
-    found = chosen.mapInPandas(read, "words string, toxic int").orderBy("words", "toxic").collect()
-    return fit([(set(r["words"].split()), r["toxic"]) for r in found])
+    chosen = bounded_sample(labelled.where(F.col("toxic").isin(0, 1)), fit_rows, "doc_id", "text")
+    found = chosen.select("k", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(read, "k long, f array<long>, toxic int").toArrow()
+    order = np.lexsort((found["toxic"].to_numpy(), found["k"].to_numpy()))
+    found = found.take(pa.array(order)).combine_chunks()
+    lists = found["f"].combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int64()))
+    lengths = np.diff(lists.offsets.to_numpy()) if found.num_rows else np.zeros(0, np.int64)
+    return fit(lists.flatten().to_numpy().astype(np.uint32), lengths, found["toxic"].to_numpy().astype(float))
 
 
-def scorer(restorer: Restorer, weights: dict[str, float], base: float):
+def scorer(restorer: Restorer, weights: dict[int, float], base: float):
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, tuple[str, ...]] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for array in texts:
             out = np.zeros(len(array))
             for i, text in enumerate(array):
-                found: set[str] = set()
+                found: set[int] = set()
                 for word in restorer.words(text.as_py() or ""):
                     hit = known.get(word)
                     if hit is None:
@@ -219,6 +224,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: Column | None = N
     rows = pick(docs, "doc_id", "text")
     restorer = Restorer(trigram_counts(rows))
     marked = pick(labels, "doc_id", "toxic")
-    known = rows.where(~held_out(F.col("doc_id")) if learn is None else learn).join(marked, "doc_id").select("text", "toxic")
+    known = rows.where(~held_out(F.col("doc_id")) if learn is None else learn).join(marked, "doc_id").select("doc_id", "text", "toxic")
     weights, base = train(known, restorer, fit_rows)
     return rows.select("doc_id", scorer(restorer, weights, base)("text").alias("score"))
