@@ -144,7 +144,8 @@ def register(c: Catalog) -> None:
     c.add("F05_hampel", lambda t: md.hampel(t.store_dense), HAMPEL, "actual_value")
     trials = [f"({i}, 'maxDepth={d},stepSize={w}', true)" for i, (d, w) in enumerate(product(*GRID.values()))]
     c.add("F06_tune", _tuned, f"SELECT * FROM (VALUES {', '.join(trials)}) AS v(trial, params, is_positive)")
-    inputs = FORECAST_NAMES + [f"{n}{md.MISSING_FLAG}" for n in FORECAST_NAMES]
+    # Only window features can be missing: the grid has every date.
+    inputs = FORECAST_NAMES + [f"{n}{md.MISSING_FLAG}" for n in (*CONFIG_NAMES, "change_rate_f")]
     c.add(
         "F07_importance",
         _importance,
