@@ -76,10 +76,11 @@ def running_totals(df: DataFrame, key: str, value: str, order: str, rows: int, t
     blocks = blocks.select(key, "_b1", F.coalesce(F.sum("_v").over(in_key), F.lit(0)).alias("_block"))
     base = sums.select(key, "_b1", "_b2", F.coalesce(F.sum("_v").over(in_block), F.lit(0)).alias("_in"))
     base = base.join(blocks, [key, "_b1"]).select(key, "_b1", "_b2", (F.col("_in") + F.col("_block")).alias("_base"))
+    # The window comes before the join: rows then move once, whichever join is taken.
     in_bucket = Window.partitionBy(key, "_b1", "_b2").orderBy(order, *ties).rowsBetween(*earlier)
-    local = F.coalesce(F.sum(value).over(in_bucket), F.lit(0))
-    out = dealt.join(base, [key, "_b1", "_b2"]).withColumn("before", (F.col("_base") + local).cast("long"))
-    return out.drop("_b1", "_b2", "_base")
+    local = dealt.withColumn("_local", F.coalesce(F.sum(value).over(in_bucket), F.lit(0)))
+    out = local.join(base, [key, "_b1", "_b2"]).withColumn("before", (F.col("_base") + F.col("_local")).cast("long"))
+    return out.drop("_b1", "_b2", "_base", "_local")
 
 
 def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:

@@ -27,6 +27,7 @@ from demandgrid.llm.common import pick, running_totals, stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 BLOCK_WORDS, SHARD_WORDS = 1 << 16, 1 << 24
+BROADCAST_SOURCES = 100_000
 
 
 @F.arrow_udf(T.LongType())
@@ -128,7 +129,9 @@ def mix(
     columns = dict.fromkeys(("doc_id", "source", "text", *payload))
     sized = pick(docs, *columns).withColumn("size", word_count("text"))
     sized = sized.withColumns({"_h": F.xxhash64(F.lit(seed), "doc_id", "text"), "_crc": F.xxhash64("text")})
-    sized = stored(sized.select("doc_id", "source", "size", "_h", "_crc", *[c for c in columns if c in payload and c != "source"]), "sizes")
+    sized = sized.select("doc_id", "source", "size", "_h", "_crc", *[c for c in columns if c in payload and c != "source"])
+    # Sizes are kept; texts that go along are read and counted again rather than written once more.
+    sized = sized if payload else stored(sized, "sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
@@ -142,6 +145,8 @@ def mix(
         "source string, source_no int, source_size long, target double, cut long",
     )
     named = catalogue.withColumnRenamed("source", "_source")
+    # Few sources go to every task; with very many, rows are shuffled by source.
+    named = F.broadcast(named) if len(found) <= BROADCAST_SOURCES else named
     line = sized.join(named, sized["source"].eqNullSafe(named["_source"])).drop("_source")
     line = running_totals(line, "source_no", "size", "_h", sum(r["rows"] for r in found), ("doc_id", "_crc"))
     blocks = block_shards(spark, quotas, shards, seed)
