@@ -59,8 +59,8 @@ def material_grid_features(t: DriverTables) -> DataFrame:
 
 
 def train(t: DriverTables) -> DataFrame:
-    table = ft.feature_job(t.store_dense_segment, "by_usage_type", TRAIN_END)
-    return md.fit_predict(table, TRAIN_END, 1, maxIter=10, maxDepth=5).predictions
+    table = ft.forecast_table(t.store_dense_segment, "by_usage_type", TRAIN_END)
+    return md.fit_predict(table, TRAIN_END, 1).predictions
 
 
 def run_all(df: DataFrame) -> None:
@@ -74,7 +74,8 @@ def main() -> None:
         f"local[{cpus}]",
         "bench",
         **{
-            "spark.sql.shuffle.partitions": cpus,
+            # A few times the cores, as on a cluster.
+            "spark.sql.shuffle.partitions": str(4 * int(cpus)),
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
             "spark.log.level": "ERROR",
