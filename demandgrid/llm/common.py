@@ -13,9 +13,6 @@ from demandgrid.session import scratch_path
 #: Rows that one window of ``running_totals`` sees, on average.
 ROWS_PER_BUCKET = 1000
 
-#: Rows of an Arrow batch: texts can be long, and a batch is held by the executor and its Python worker alike.
-BATCH_ROWS = 1000
-
 _written: list[str] = []
 
 
@@ -23,9 +20,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, by exact name (of equal names the first), whatever else the table holds.
 
     Columns that differ only in case, or repeat, do not clash. A missing one raises ``ValueError``.
-    The session's Arrow batches are set to BATCH_ROWS.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns: {missing}")
     plain = df.toDF(*(f"_c{i}" for i in range(len(df.columns))))

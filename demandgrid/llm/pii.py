@@ -233,7 +233,6 @@ def replace_in(docs: DataFrame, key: str = KEY) -> DataFrame:
     Null texts stay null, texts without an entity stay as they are. Whole texts are read. Equal entities
     get equal surrogates in all rows, different ones of a kind different ones. Rows repeat as they do in ``docs``.
     """
-    pick(docs, "text")
     place = docs.columns.index("text")
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
