@@ -175,7 +175,8 @@ def cell_links(cell: pd.DataFrame, threshold: float, limits: list[tuple[int, int
     sizes = np.array([len(s) for s in sets])
     sig = np.stack([np.frombuffer(x, np.uint8) for x in cell["sig"]])
     left, right = np.triu_indices(own, 1)
-    if chunk.min() != chunk.max():
+    # Pairs of one chunk belong to its own cell, also where the other chunk got no text.
+    if cell["i"].iloc[0] != cell["j"].iloc[0]:
         across = chunk[left] != chunk[right]
         left, right = left[across], right[across]
     fits = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right])

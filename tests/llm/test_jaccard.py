@@ -70,6 +70,16 @@ def test_a_group_over_many_cells(documents, prose, monkeypatch):
     check(documents, corpus(prose, 50))
 
 
+def test_chunks_without_texts(documents, prose, monkeypatch):
+    """Two very long near copies make two chunks and may share one; their pair counts once."""
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 500)
+    rows = []
+    for pair in range(8):
+        words = prose(pair, 500).split()
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join([*words[:-1], "end"]))]
+    check(documents, rows)
+
+
 def test_hard_texts(documents, hard_texts):
     rows = [(i, t) for i, t in enumerate(hard_texts)]
     check(documents, rows)
