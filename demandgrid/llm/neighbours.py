@@ -66,14 +66,15 @@ class Tree:
             todo += [(int(k), rows[best == j]) for j, k in enumerate(kids)]
         return at
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first leaves of a best-bin-first walk."""
-        out, queue = [], [(0.0, 0)]
+    def visits(self, query: np.ndarray, most: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves of a best-bin-first walk, and more until they hold ``least`` of the ``rows`` per leaf."""
+        out, queue, held = [], [(0.0, 0)], 0
         near = self.centroids @ query
-        while queue and len(out) < most:
+        while queue and (len(out) < most or held < least):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(int(self.leaf[node]))
+                held += 0 if rows is None else int(rows[out[-1]])
             for kid in self.children[node]:
                 heapq.heappush(queue, (-near[kid], kid))
         return out
@@ -134,7 +135,7 @@ def _blocked(rows: DataFrame, by: str, id_: str, vector: str, names: tuple[str,
 def search(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query by inner product, itself left out.
 
-    Fewer than k candidates: all that are found. Vectors that ``usable`` leaves out give and
+    Fewer than k candidates: all of them. Vectors that ``usable`` leaves out give and
     get no rows. Equal vectors all count; a repeated id is one candidate for each of its rows.
     An empty table gives no rows.
     """
@@ -156,13 +157,19 @@ def search(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, rec
     indexed = stored(rows.mapInPandas(assign, "vec_id long, v array<double>, leaf long"), "index")
     queries = indexed.where(is_query)
     most = _calibrated(indexed, queries, tree, k, recall)
+    held = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # a row per leaf: FIT_ROWS bounds them, too
+        held[r["leaf"]] = r["count"]
+    # Rows of the query's own id are no candidates, wherever they lie.
+    repeated = queries.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
+    asked = queries.join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            walks = [tree.visits(v, most) for v in f["v"]]
+            walks = [tree.visits(v, most, held, k + own) for v, own in zip(f["v"], f["own"])]
             yield pd.DataFrame({"query_id": f["vec_id"], "q": f["v"], "leaf": walks}).explode("leaf").dropna(subset=["leaf"]).astype({"leaf": "int64"})
 
-    walks = queries.mapInPandas(visit, "query_id long, q array<double>, leaf long")
+    walks = asked.mapInPandas(visit, "query_id long, q array<double>, leaf long")
     asks = _blocked(walks, "leaf", "query_id", "q", ("qb", "query_ids", "qs"))
     holds = _blocked(indexed, "leaf", "vec_id", "v", ("vb", "vec_ids", "vs"))
 

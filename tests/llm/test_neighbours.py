@@ -54,6 +54,25 @@ def test_copies_tie_by_id(spark):
             assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
 
 
+def test_small_clusters_get_k_rows(spark, monkeypatch):
+    """The nearest leaf of an outlier holds fewer than k vectors; the walk goes on."""
+    monkeypatch.setattr(neighbours, "ROWS_PER_LEAF", 10)
+    axes = np.eye(41)
+    rows = [(i, axes[i % 40].tolist()) for i in range(1200)] + [(5000 + i, (10 * axes[40]).tolist()) for i in range(4)]
+    got = found(neighbours.search(table(spark, [(*r, 0, 1, "a", 2) for r in rows])))
+    assert got.keys() == {i for i, _ in rows if i % 20 == 0}
+    assert all(len(own) == 20 and q not in [i for i, _ in own] for q, own in got.items())
+
+
+def test_walks_pass_the_rows_asked_for():
+    tree = neighbours.Tree(np.repeat(np.eye(6), 30, axis=0), 10)
+    held = np.full(tree.leaves, 15)
+    first = tree.visits(np.eye(6)[2], 1, held, 0)
+    assert len(first) == 1 and tree.visits(np.eye(6)[2], 1, held, 15) == first
+    assert len(tree.visits(np.eye(6)[2], 1, held, 31)) == 3
+    assert len(tree.visits(np.eye(6)[2], 1, held, 10**6)) == tree.leaves
+
+
 def test_unusable_vectors_take_no_part(spark):
     bad = [(20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (100, [None, 1.0]), (120, [1.0]), (None, [1.0, 1.0]), (140, [])]
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (3, [0.5, 0.5]), (2, [0.1, 0.0])]
