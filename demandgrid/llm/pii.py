@@ -42,14 +42,15 @@ ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдеж
 GENDER = {name: key for key, names in NAMES.items() for name in names}
 TITLE = {t: g for g, ts in TITLES.items() for t in ts}
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_EMAIL = r"[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
+    rf"(?P<email>{_EMAIL})"
     r"|\b(?P<label>(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_\-]{12,})"
     r"|\b(?P<access>AKIA[A-Z0-9]{16})\b"
     r"|(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)"
-    r"|(?<!\w)(?P<phone>(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}|\+\d{1,3}(?:[ .\-]?\(\d{2,4}\))?(?:[ .\-]?\d{2,4}){2,4})(?!\w|[.\-]\d)"
+    r"|(?<!\w)(?P<phone>(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}|\+\d{1,3}(?:[ .\-]?\(\d{2,4}\))?(?:[ .\-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4})(?!\w|[.\-]\d)"
     r"|(?<![\w.])(?P<card>\d(?:[ \-]?\d){12,18})(?!\w|\.\d)"
-    rf"|\b(?P<title>{'|'.join(sorted(TITLE))})\.?\s+(?P<name>{_WORD}(?:\s+[^\W\d_a-zа-яα-ω]{_WORD})?)"
+    rf"|\b(?P<title>{'|'.join(sorted(TITLE))})\.?\s+(?P<name>(?!{_EMAIL}){_WORD}(?:\s+(?!{_EMAIL}|(?:{'|'.join(sorted(TITLE))})\b)[^\W\d_a-zа-яα-ω]{_WORD})?)"
 )
 #: What every entity has: without one of these a text has none.
 HINT = re.compile(rf"[0-9@]|(?i:passw|pwd|secret|token|key)|\b(?:{'|'.join(sorted(TITLE))})\b")
@@ -67,12 +68,16 @@ def check_digit(digits: str) -> str:
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form), in order.
 
-    An address is four numbers up to 255; a card has a valid check digit; a name follows a title.
+    An address is four numbers up to 255; a card has a valid check digit; a name follows a title
+    and has a capitalised word. Three, three and four digits with spaces between are a phone.
     """
     out = []
     if not HINT.search(text):
         return out
-    for m in PATTERN.finditer(text):
+    # After a discarded match the search goes on inside it: it may hold the start of an entity.
+    at, no_card = 0, 0
+    while m := PATTERN.search(text, at):
+        at = m.end()
         kind = next(k for k in ("email", "secret", "access", "ip", "phone", "card", "name") if m[k])
         start, end = m.span(kind)
         value = m[kind]
@@ -83,22 +88,25 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 continue
         elif kind in ("phone", "card"):
             value = re.sub(r"\D", "", value)
-            if kind == "card" and check_digit(value[:-1]) != value[-1]:
+            if kind == "card" and (start < no_card or check_digit(value[:-1]) != value[-1]):
+                # Digits of a number that is no card may be a phone, but no other card.
+                at, no_card = start + 1, no_card if start < no_card else end
                 continue
             if kind == "phone" and not 9 <= len(value) <= 15:
                 continue
         elif kind == "name":
             words = [w for w in value.split() if not w[0].islower()]
             if not words:
+                at = m.end("title")
                 continue
             end = start + value.index(words[-1]) + len(words[-1])
             for word in text[start:end].split():
-                at = text.index(word, start)
+                first = text.index(word, start)
                 # The title names the gender of a given name that is not in the lists.
                 given = word == words[0] and len(words) > 1 or word in GENDER
                 gender = GENDER.get(word, ("", TITLE[m["title"]]))[1]
-                out.append((at, at + len(word), f"given-{gender}" if given else "family", word.casefold()))
-                start = at + len(word)
+                out.append((first, first + len(word), f"given-{gender}" if given else "family", word.casefold()))
+                start = first + len(word)
             continue
         out.append((start, end, kind, value))
     return out

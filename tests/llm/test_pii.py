@@ -10,6 +10,24 @@ CARD, PLAIN = "4279055890764913", "4279055890764914"
 SECRET = "0641917ea4e9feb9cda83477b57ac2654884f485"
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Frau anna@example.org schrieb", [("email", "anna@example.org")]),
+        ("Mr john.smith@x.org, Mr John.Smith@x.org", [("email", "john.smith@x.org")] * 2),
+        ("Mr Smith John@x.org", [("family", "smith"), ("email", "john@x.org")]),
+        ("Frau token=abcdefghijkl1234", [("secret", "abcdefghijkl1234")]),
+        ("Mr Smith@home, Mr and Mrs Jones", [("family", "smith"), ("family", "jones")]),
+        ("call 555 123 4567 or (555) 123 4567, 555 123-4567", [("phone", "5551234567")] * 3),
+        ("no 12 555 123 4567 20", [("phone", "5551234567")]),
+        ("+49 301 234 5678 90 and +1 (366) 555 9807", [("phone", "49301234567890"), ("phone", "13665559807")]),
+        (f"{CARD[:4]} {CARD[4:8]} {CARD[8:12]} {CARD[12:]}, 555 123 4567", [("card", CARD), ("phone", "5551234567")]),
+    ],
+)
+def test_entities_beside_others(text, found):
+    assert [(k, v) for *_, k, v in pii.entities(text)] == found
+
+
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [
