@@ -28,20 +28,19 @@ SIZE = len(LETTERS) + 2
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 OTHER = SIZE - 1
 
-#: Costs in nats: reading a sign as a letter, dropping a separator, dropping a repetition beyond the second.
-SIGN, GAP, REPEAT = 1.0, 0.2, 0.3
+#: Costs in nats: reading a sign as a letter, dropping a separator, ending a word at one, dropping a repetition beyond the second.
+SIGN, GAP, END, REPEAT = 1.0, 0.2, 1.0, 0.3
 _SIGNS = re.escape("".join(READINGS))
 _SEP = r"[ .\-_*]"
-#: Words that may be noisy forms: signs beside letters, three equal letters, single letters apart.
+_UNIT = rf"(?:[^\W\d_]|[{_SIGNS}])"
+#: Words that may be noisy forms: single letters or signs apart, signs beside letters, three equal letters.
 NOISY = re.compile(
-    rf"(?<![^\W_])[^\W\d_](?:{_SEP}[^\W\d_]){{3,}}(?![^\W_])"
-    rf"|(?<![\w{_SIGNS}])(?:[\w{_SIGNS}]*[^\W\d_][{_SIGNS}]+(?=[^\W\d_])|[{_SIGNS}](?=[^\W\d_]))[\w{_SIGNS}]*"
+    rf"(?<![^\W_]){_UNIT}(?:{_SEP}{_UNIT}){{2,}}(?![^\W_])"
+    rf"|(?<![\w{_SIGNS}])(?:[\w{_SIGNS}]*[^\W\d_][{_SIGNS}]+|[{_SIGNS}](?=[^\W\d_]))[\w{_SIGNS}]*"
     r"|(?<!\w)\w*([^\W\d_])\1\1\w*"
 )
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-#: Noisy forms longer than this are keys and the like, not words.
-LONGEST = 40
 #: Labelled rows to learn from; features need so many toxic rows.
 FIT_ROWS, LEAST_ROWS, LEAST_EVIDENCE, FEATURES = 8000, 4, 6.0, 4000
 CACHED = 300_000
@@ -89,35 +88,52 @@ class Restorer:
         two = (two + 20 * one) / (two.sum(axis=1, keepdims=True) + 20)
         self.logp = np.log((c + 20 * two) / (c.sum(axis=2, keepdims=True) + 20))
         self.known: dict[str, str] = {}
+        self.cost: list[float] | None = None
 
     def restore(self, noisy: str) -> str:
-        """The likeliest word behind a noisy form; signs that read as no letter end a word."""
-        if len(noisy) > LONGEST:
-            return noisy
-        # state: last two codes -> (score, letters so far, last letter, its run)
-        beam = {(0, 0): (0.0, "", "", 0)}
+        """The likeliest words behind a noisy form; separators and signs that read as no letter end a word.
+
+        Takes time and memory in proportion to the length: paths share their beginnings.
+        """
+        if self.cost is None:
+            self.cost = self.logp.ravel().tolist()
+        cost = self.cost
+        # state: last two codes, as one number -> (score, letters so far as (path before, letter), last letter, its run)
+        beam: dict[int, tuple] = {0: (0.0, None, "", 0)}
         for c in noisy.lower():
-            after: dict = {}
-
-            def offer(state: tuple, value: tuple) -> None:
-                if state not in after or value[0] > after[state][0]:
-                    after[state] = value
-
-            for (x, y), (score, word, last, run) in beam.items():
-                if c in CODE or c.isalpha():
-                    z = CODE.get(c, OTHER)
-                    offer((y, z), (score + self.logp[x, y, z], word + c, c, 1))
+            after: dict[int, tuple] = {}
+            if c in CODE or c.isalpha():
+                read = ((CODE.get(c, OTHER), c, 0.0),)
+            else:
+                read = tuple((CODE[letter], letter, SIGN) for letter in READINGS.get(c, ""))
+            gap, plain = c in " .-_*", not read or read[0][2] > 0
+            for state, (score, path, last, run) in beam.items():
+                at, y = state * SIZE, state % SIZE * SIZE
+                for z, letter, price in read:
+                    value, to = score - price + cost[at + z], y + z
+                    if to not in after or value > after[to][0]:
+                        after[to] = value, (path, letter), letter, 1
+                if not plain:
                     if c == last:
-                        offer((x, y), (score - (REPEAT if run > 1 else 2.0), word, last, run + 1))
+                        value = score - (REPEAT if run > 1 else 2.0)
+                        if state not in after or value > after[state][0]:
+                            after[state] = value, path, last, run + 1
+                    continue
+                if gap and (state not in after or score - GAP > after[state][0]):
+                    after[state] = score - GAP, path, last, run
+                if gap and not state:
                     continue
-                for letter in READINGS.get(c, ""):
-                    offer((y, CODE[letter]), (score - SIGN + self.logp[x, y, CODE[letter]], word + letter, letter, 1))
-                if c in " .-_*":
-                    offer((x, y), (score - GAP, word, last, run))
-                else:
-                    offer((0, 0), (score - 3.0 + self.logp[x, y, 0], word + " ", "", 0))
+                # Marks after the end of a word are part of that end.
+                value = score - (0.5 if c in "!|(+" and not state and path else (END if gap else 3.0) - cost[at])
+                if 0 not in after or value > after[0][0]:
+                    after[0] = value, (path, " "), "", 0
             beam = after
-        return max((score + self.logp[x, y, 0], word) for (x, y), (score, word, _, _) in beam.items())[1]
+        _, path = max(((score + cost[state * SIZE], path) for state, (score, path, _, _) in beam.items()), key=lambda x: x[0])
+        out = []
+        while path:
+            path, letter = path
+            out.append(letter)
+        return "".join(reversed(out))
 
     def words(self, text: str) -> set[str]:
         """The distinct words of the restored text; a noisy form also gives the words it shows as written."""
@@ -125,6 +141,8 @@ class Restorer:
         out = set(WORDS.findall(low))
         for m in NOISY.finditer(low):
             form = m.group()
+            if not WORDS.search(form):
+                continue
             if form not in self.known:
                 if len(self.known) > CACHED:
                     self.known.clear()

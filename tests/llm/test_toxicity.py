@@ -54,6 +54,25 @@ def test_ordinary_words_stay(restorer):
     assert restorer.words(text) == {"river", "stone", "heit", "v", "winter", "s", "a", "b"}
 
 
+@pytest.mark.parametrize(
+    ("form", "found"),
+    [
+        ("i d 1 o t", {"idiot"}),
+        ("l 0 s 3 r", {"loser"}),
+        ("t h e", {"the"}),
+        ("idi0+", {"idiot"}),
+        ("th3", {"the"}),
+        ("cl0wn5", {"clown"}),
+        ("m o r o n i d i o t", {"moron", "idiot"}),
+        ("m o r o n i d i o t c l o w n m o r o n i d i o t", {"moron", "idiot", "clown"}),
+        ("idi" + "o" * 60 + "t", {"idiot"}),
+        ("lo5" + "e" * 50 + "r", {"loser"}),
+    ],
+)
+def test_forms_of_several_words_and_any_length(restorer, form, found):
+    assert found <= restorer.words(f"river {form}, stone")
+
+
 def test_the_search_finds_the_best_reading(restorer):
     """Against every reading of short forms."""
     from itertools import product
