@@ -170,8 +170,14 @@ def identify(docs: DataFrame, learn: Column | None = None, fit_rows: int = FIT_R
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents with a language: not ``und``, and scored ``least`` or more; their columns stay as they are."""
+    """The documents with a language: not ``und``, and scored ``least`` or more; their columns stay as they are.
+
+    Where there is nothing to learn from, every document whose text has a letter stays.
+    """
     known = pick(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    predict = predictor(*train(known))
+    languages, net = train(known)
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    predict = predictor(languages, net)
     judged = docs.withColumn("_p", predict("text"))
     return judged.where((F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least)).drop("_p")

@@ -42,6 +42,12 @@ def test_labels_of_held_out_rows_are_not_used(documents):
     assert sorted(map(str, language.identify(docs).collect())) == sorted(map(str, language.identify(spoilt).collect()))
 
 
+def test_without_labels_texts_with_letters_stay(documents):
+    docs = documents([(1, "words here", None), (2, None, None), (3, "", None), (4, "12 ?!", None), (5, "Привет", None)])
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5]
+
+
 def test_rejected_documents_go(documents):
     kept = language.keep_identified(table(documents))
     assert {r.doc_id for r in kept.collect()} == set(range(240)) | {243}
