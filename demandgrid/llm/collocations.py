@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandgrid.llm.common import pick
+from demandgrid.llm.common import bounded_batches, pick
 from demandgrid.llm.shingling import BASE, mixed
 from demandgrid.session import materialise
 
@@ -175,6 +175,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     ``docs`` has text and lang; a null language is ``und``, a null text is empty. Runs a few jobs per scan.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = pick(docs, "lang", "text").where(F.length("text") > 0)
     dealt = rows.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
     corpus = materialise(dealt, "llm-shards", ["shard"])

@@ -13,9 +13,23 @@ from demandgrid.session import scratch_path
 #: Rows that one window of ``running_totals`` sees, on average.
 ROWS_PER_BUCKET = 1000
 
+#: Bytes of the rows that a Python worker gets at once, unless a single row is larger.
+BATCH_BYTES = 2 << 20
+
 _written: list[str] = []
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by bytes: texts differ in length, so a number of rows bounds nothing.
+
+    The setting stays, since results are computed when they are read. A smaller one is left as it is.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("bB"))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, by exact name (of equal names the first), whatever else the table holds.
 

@@ -16,8 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +29,8 @@ BLOCK_WORDS, SHARD_WORDS = 1 << 16, 1 << 24
 BROADCAST_SOURCES = 100_000
 
 
-@F.arrow_udf(T.LongType())
-def word_count(text: pa.Array) -> pa.Array:
-    return pc.fill_null(pc.cast(pc.count_substring_regex(text, WORD), pa.int64()), 0)
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[int], weights: list[float], total: float, repeats: int) -> list[float]:

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import pick, stored
+from demandgrid.llm.common import bounded_batches, pick, stored
 
 #: Vectors to fit the tree on; leaves per fitted vector; children of a node.
 FIT_ROWS, ROWS_PER_LEAF, BRANCHES = 20_000, 100, 8
@@ -106,47 +107,49 @@ def usable(table: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (sizes["n"] if sizes else 0))
 
 
-def nearest(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, q: np.ndarray, v: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(row of q, id, score) of the k largest per query, ties to smaller ids.
+def nearest(scores: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, v: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(index of the query, index of the candidate, score) of the k largest per query, ties to smaller ids.
 
-    Candidates come from the product of the blocks; their scores are summed anew row by row,
+    ``own`` and ``rows`` are the row numbers of queries and candidates: a query is no candidate of itself. Candidates come from the product of the blocks; their scores are summed anew row by row,
     so that equal vectors score equally wherever they stand.
     """
     out = []
     for i in range(len(q)):
-        s = np.where(ids == own[i], -np.inf, scores[i])
+        s = np.where(rows == own[i], -np.inf, scores[i])
         few = min(k, len(s))
         least = np.partition(s, len(s) - few)[len(s) - few]
-        at = np.flatnonzero((s >= least - 1e-9 * (1 + abs(least))) & (ids != own[i]))
+        at = np.flatnonzero((s >= least - 1e-9 * (1 + abs(least))) & (rows != own[i]))
         exact = (v[at] * q[i]).sum(axis=1)
-        first = np.lexsort((ids[at], -exact))[:k]
-        out += [(i, int(ids[at[j]]), float(exact[j])) for j in first]
+        first = np.lexsort((rows[at], ids[at], -exact))[:k]
+        out += [(i, int(at[j]), float(exact[j])) for j in first]
     return out
 
 
-def _blocked(rows: DataFrame, by: str, id_: str, vector: str, names: tuple[str, str, str]) -> DataFrame:
-    """Rows of each ``by`` in blocks of about BLOCK_ROWS: (by, block, ids, vectors)."""
-    counts = rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_n"))
-    block, ids, vectors = names
-    dealt = rows.join(counts, by).withColumn(block, F.pmod(F.xxhash64(id_), "_n"))
-    return dealt.groupBy(by, block).agg(F.collect_list(id_).alias(ids), F.flatten(F.collect_list(vector)).alias(vectors))
+def _blocked(rows: DataFrame, side: str) -> DataFrame:
+    """(row, vec_id, v) of each leaf in blocks of about BLOCK_ROWS: leaf, and ``side`` with block, rows, ids, vectors."""
+    counts = rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_n"))
+    dealt = rows.join(counts, "leaf").withColumn("block", F.pmod(F.xxhash64("row"), "_n"))
+    members = dealt.groupBy("leaf", "block").agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("m"))
+    return members.select("leaf", F.struct("block", F.col("m.row").alias("rows"), F.col("m.vec_id").alias("ids"), F.flatten("m.v").alias("vectors")).alias(side))
 
 
 def search(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query by inner product, itself left out.
 
     Fewer than k candidates: all of them. Vectors that ``usable`` leaves out give and
-    get no rows. Equal vectors all count; a repeated id is one candidate for each of its rows.
-    An empty table gives no rows.
+    get no rows. Equal vectors all count; a repeated id is one candidate for each of its rows, and each of
+    its rows asks for itself, finding the others. An empty table gives no rows.
     """
     spark = table.sparkSession
-    rows = stored(usable(table), "vectors")
+    bounded_batches(spark)
+    # Rows are told apart by a number of their own, given once, when they are written.
+    rows = stored(usable(table).withColumn("row", F.monotonically_increasing_id()), "vectors")
     total = rows.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not total:
         return empty
     order = F.xxhash64("vec_id", F.lit(7))
-    sample = np.array([r["v"] for r in rows.orderBy(order, "vec_id").limit(FIT_ROWS).select("v").collect()])
+    sample = np.array([r["v"] for r in rows.orderBy(order, "vec_id", "row").limit(FIT_ROWS).select("v").collect()])
     tree = Tree(sample, ROWS_PER_LEAF)
     # The tree goes to the tasks with the code: FIT_ROWS bounds its size, whatever the data.
 
@@ -154,36 +157,44 @@ def search(table: DataFrame, is_query: str = "vec_id % 20 = 0", k: int = 20, rec
         for f in frames:
             yield f.assign(leaf=tree.assign(np.stack(f["v"].to_numpy())) if len(f) else [])
 
-    indexed = stored(rows.mapInPandas(assign, "vec_id long, v array<double>, leaf long"), "index")
+    indexed = stored(rows.mapInPandas(assign, "vec_id long, v array<double>, row long, leaf long"), "index")
     queries = indexed.where(is_query)
     most = _calibrated(indexed, queries, tree, k, recall)
     held = np.zeros(tree.leaves, np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # a row per leaf: FIT_ROWS bounds them, too
         held[r["leaf"]] = r["count"]
-    # Rows of the query's own id are no candidates, wherever they lie.
-    repeated = queries.groupBy("vec_id").agg(F.count("*").alias("own")).where("own > 1")
-    asked = queries.join(repeated, "vec_id", "left").select("vec_id", "v", F.coalesce("own", F.lit(1)).alias("own"))
 
-    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            walks = [tree.visits(v, most, held, k + own) for v, own in zip(f["v"], f["own"])]
-            yield pd.DataFrame({"query_id": f["vec_id"], "q": f["v"], "leaf": walks}).explode("leaf").dropna(subset=["leaf"]).astype({"leaf": "int64"})
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                # One more than asked for: the query lies in one of the leaves itself.
+                leaves = tree.visits(np.asarray(v.as_py()), most, held, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(leaves), pa.int64()), pa.array(leaves, pa.int64())], names=["row", "leaf"])
+
+    # Walks are pairs of numbers; vectors join them where blocks are made.
+    walks = queries.select("row", "v").mapInArrow(visit, "row long, leaf long")
+    asks = _blocked(walks.join(queries.select("row", "vec_id", "v"), "row"), "q")
+    holds = _blocked(indexed, "c")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                (own, own_ids, q), (rows_, ids, v) = (_block(batch.column(side)[at]) for side in (0, 1))
+                found = nearest(q @ v.T, own, rows_, ids, q, v, k)
+                i, j, s = zip(*found) if found else ((), (), ())
+                i, j = np.array(i, np.int64), np.array(j, np.int64)
+                arrays = [pa.array(x) for x in (own[i], own_ids[i], rows_[j], ids[j], np.array(s, float))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", "query_id", "at", "vec_id", "score"])
+
+    cells = asks.join(holds, "leaf").select("q", "c").repartition(F.xxhash64("q.rows", "c.rows"))
+    found = cells.mapInArrow(meet, "row long, query_id long, at long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "at"))
+    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
-    walks = asked.mapInPandas(visit, "query_id long, q array<double>, leaf long")
-    asks = _blocked(walks, "leaf", "query_id", "q", ("qb", "query_ids", "qs"))
-    holds = _blocked(indexed, "leaf", "vec_id", "v", ("vb", "vec_ids", "vs"))
 
-    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for asked, qs, ids, vs in zip(f["query_ids"], f["qs"], f["vec_ids"], f["vs"]):
-                q, v = (np.asarray(x, float).reshape(len(n), -1) for x, n in ((qs, asked), (vs, ids)))
-                found = nearest(q @ v.T, np.asarray(asked), np.asarray(ids), q, v, k)
-                yield pd.DataFrame([(asked[i], n, s) for i, n, s in found], columns=["query_id", "vec_id", "score"])
-
-    cells = asks.join(holds, "leaf").select("query_ids", "qs", "vec_ids", "vs").repartition(F.xxhash64("query_ids", "vec_ids"))
-    found = cells.mapInPandas(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+def _block(cell: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, ids, vectors = (cell[name].values.to_numpy(zero_copy_only=False) for name in ("rows", "ids", "vectors"))
+    return rows, ids, vectors.reshape(len(rows), -1)
 
 
 def _calibrated(indexed: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float) -> int:
@@ -191,21 +202,20 @@ def _calibrated(indexed: DataFrame, queries: DataFrame, tree: Tree, k: int, reca
 
     Their true neighbours come from one pass over all vectors, block by block.
     """
-    trial = queries.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(CALIBRATION).select("vec_id", "v").collect()
+    trial = queries.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "row").limit(CALIBRATION).select("row", "v").collect()
     if not trial:
         return 1
-    own, q = np.array([r["vec_id"] for r in trial]), np.array([r["v"] for r in trial])
+    own, q = np.array([r["row"] for r in trial]), np.array([r["v"] for r in trial])
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                v, ids = np.stack(f["v"].to_numpy()), f["vec_id"].to_numpy()
-                leaf = dict(zip(ids, f["leaf"]))
-                found = nearest(q @ v.T, own, ids, q, v, k)
-                yield pd.DataFrame([(i, n, leaf[n], s) for i, n, s in found], columns=["i", "vec_id", "leaf", "score"])
+                v, ids, rows, leaf = np.stack(f["v"].to_numpy()), *(f[c].to_numpy() for c in ("vec_id", "row", "leaf"))
+                found = nearest(q @ v.T, own, rows, ids, q, v, k)
+                yield pd.DataFrame([(i, rows[j], ids[j], leaf[j], s) for i, j, s in found], columns=["i", "row", "vec_id", "leaf", "score"])
 
-    found = indexed.mapInPandas(scan, "i long, vec_id long, leaf long, score double")
-    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "vec_id"))
+    found = indexed.mapInPandas(scan, "i long, row long, vec_id long, leaf long, score double")
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "vec_id", "row"))
     truth = found.withColumn("r", rank).where(F.col("r") <= k).select("i", "leaf").collect()
     walks = [{leaf: n for n, leaf in enumerate(tree.visits(v, tree.leaves), 1)} for v in q]
     needed = np.sort([walks[r["i"]][r["leaf"]] for r in truth])

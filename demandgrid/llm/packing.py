@@ -54,7 +54,7 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to those of the tokenizer file.
 
     A faster encoder works on the file's own vocabulary. Texts with characters whose class could be
-    seen differently go to the tokenizer of the file itself.
+    seen differently, or with an added token of the file, go to the tokenizer of the file itself.
     """
 
     def __init__(self, path: str):
@@ -63,9 +63,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.fast = tiktoken.Encoding("file", pat_str=WORD_PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={})
-        self.odd = re.compile(ODD).search
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.odd = re.compile("|".join([ODD, *added])).search
 
     def __call__(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids if self.odd(text) else self.fast.encode_ordinary(text)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandgrid.llm.common import bounded_sample, held_out, pick
+from demandgrid.llm.common import bounded_batches, bounded_sample, held_out, pick
 
 #: Labelled rows to learn from, half of them of each label; all lines of these rows are used.
 FIT_ROWS = 4000
@@ -252,6 +252,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, learn: Column | None = N
     label the score is 0.5. Null, empty and blank texts score the share of good rows among those learned from. Whole texts are
     read, however long; repeated rows score alike; an empty table gives no rows; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     score = scorer(train(docs, labels, learn, fit_rows))
     return pick(docs, "doc_id", "text").select("doc_id", score("text").alias("score"))
 

@@ -84,16 +84,26 @@ def _fill(totals: dict[int, tuple[int, int]], ranges: Ranges, shards: int) -> li
         own = list(range(ranges.first[i], ranges.first[i + 1]))
         size = sum(totals.get(r, (0, 0))[0] for r in own)
         units += [(size, own)] if size <= capacity else [(totals.get(r, (0, 0))[0], [r]) for r in own]
+    # A range that is still overfull holds one row or key that nothing divides: it is placed like a single key.
+    light = range(len(ranges.splitters) + 1)
+    whole = {r for r in light if totals.get(r, (0, 0))[0] > OVERFULL * capacity / RANGES_PER_SHARD}
+    units += [(totals[r][0], [r]) for r in whole]
     for size, own in sorted(units, key=lambda u: (-u[0], u[1])):
         s = int(np.argmin(load))
         load[s] += size
         for r in own:
             out[r] = s
-    room = np.cumsum(np.maximum(0, capacity - load))
+    # The rest raises the shards to one level, beside those that a single row lifts above it.
+    rest = sum(totals.get(r, (0, 0))[0] for r in light if r not in whole)
+    low = np.sort(load)
+    level = next((x for n in range(1, shards + 1) if (x := (rest + low[:n].sum()) / n) <= (low[n] if n < shards else np.inf)), capacity)
+    room = np.cumsum(np.maximum(0, level - load))
     line = 0
-    for r in range(len(ranges.splitters) + 1):
+    for r in light:
+        if r in whole:
+            continue
         size = totals.get(r, (0, 0))[0]
-        middle = (line + size / 2) * (room[-1] / max(1e-9, room[-1]))
+        middle = (line + size / 2) * (room[-1] / max(1e-9, rest))
         out[r] = min(int(np.searchsorted(room, middle, side="right")), shards - 1)
         line += size
     return out

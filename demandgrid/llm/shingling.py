@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 WORDS = 5
+#: Bytes of a text that are worked through at once, up to the end of a word.
+PIECE = 1 << 18
+_SEPARATOR = re.compile(rb"[\x09-\x0d ]")
 #: Odd multipliers of the hashes, fixed values.
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 2**64)
@@ -23,17 +28,32 @@ with np.errstate(over="ignore"):
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS.get(base, ())) < n:
-        factors = np.full(max(n, 1 << 16), base, np.uint64)
+    """The first powers of a base; those of a piece are kept, longer rows (of a very long word) are not."""
+    if n > len(_POWERS.get(base, ())):
+        factors = np.full(max(n, PIECE), base, np.uint64)
         factors[0] = 1
-        _POWERS[base] = np.cumprod(factors)
+        powers = np.cumprod(factors)
+        if n > PIECE:
+            return powers
+        _POWERS[base] = powers
     return _POWERS[base][:n]
 
 
 def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word (run of bytes above the space) of a text, in order.
+    """A hash of each word (run of bytes above the space) of a text, in order."""
+    if len(data) <= PIECE:
+        return _piece_hashes(data)
+    parts, at = [], 0
+    while at < len(data):
+        cut = _SEPARATOR.search(data, at + PIECE)
+        end = cut.start() if cut else len(data)
+        parts.append(_piece_hashes(data[at:end]))
+        at = end
+    return np.concatenate(parts)
+
 
-    The bytes of a word are digits of a number to an odd base, modulo 2**64; prefix sums give
+def _piece_hashes(data: bytes) -> np.ndarray:
+    """The bytes of a word are digits of a number to an odd base, modulo 2**64; prefix sums give
     all words at once, and the inverse of the base takes a word's place out of its sum.
     """
     if not data:

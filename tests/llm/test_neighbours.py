@@ -73,6 +73,13 @@ def test_walks_pass_the_rows_asked_for():
     assert len(tree.visits(np.eye(6)[2], 1, held, 10**6)) == tree.leaves
 
 
+def test_rows_of_one_id_find_each_other(spark):
+    """Each row of a repeated id asks for itself; only that row is no candidate."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(table(spark, [(*r, 0, 1, "a", 2) for r in rows])).collect())
+    assert got == sorted([(0, 1, 1, 0.5), (0, 2, 1, 0.5), (0, 3, 0, 0.0), (0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 0, 0.0)])
+
+
 def test_unusable_vectors_take_no_part(spark):
     bad = [(20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (100, [None, 1.0]), (120, [1.0]), (None, [1.0, 1.0]), (140, [])]
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (3, [0.5, 0.5]), (2, [0.1, 0.0])]

@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def ids(tokenizer, text):
@@ -51,6 +49,15 @@ def test_sequences_are_full_and_gapless(documents, prose):
     assert sum(r.length for r in rows) > 0.98 * 256 * len(by)
 
 
+def test_added_tokens_are_those_of_the_file(documents, tokenizer):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext", "x <|ENDOFTEXT|>"]
+    assert len(ids(tokenizer, texts[1])) == 2
+    rows = packing.pack(documents(list(enumerate(texts))), PATH).collect()
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in rows}
+    want = [ids(tokenizer, t) for t in texts]
+    assert got == {i: (len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want)}
+
+
 def test_empty_table(documents):
     assert packing.pack(documents([]), PATH).collect() == []
 
@@ -67,8 +74,7 @@ def test_patterns_hold_every_length_once(lengths):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=80), st.text(alphabet=st.sampled_from("ab's T\n\t é12ß!_<|>"), max_size=60)))
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "\n", "<|"])).map("".join), st.text(alphabet=st.sampled_from("ab's T\n\t é12ß!_<|>"), max_size=60)))
 def test_any_text_gets_the_same_ids(text):
     encoder, tokenizer = test_any_text_gets_the_same_ids.__dict__.setdefault("pair", (packing.Encoder(PATH), Tokenizer.from_file(PATH)))
-    tokenizer.encode_special_tokens = True
     assert encoder(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

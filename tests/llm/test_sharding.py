@@ -5,6 +5,7 @@ from demandgrid.llm import sharding
 
 
 def check(docs, most):
+    """``most``: the largest share of a shard, in even shares, and the spread of the shards without a row larger than that."""
     rows, texts = sharding.shard(docs).collect(), docs.collect()
     assert len(rows) == len(texts)
     assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in texts)
@@ -33,8 +34,24 @@ def test_an_overfull_group_is_divided(documents, prose):
     assert len({r.shard for r in rows if r.doc_id >= 1000}) > 2
 
 
+def test_one_row_of_half_of_all_bytes(documents, prose):
+    """It fills a shard; the seven others share the rest evenly, none stays empty."""
+    small = [(i, prose(i, 25)) for i in range(3000)]
+    half = sum(len(t) + 1 for _, t in small)
+    rows = check(documents([*small, (9999, "x" * half)]), 4.1)
+    load = defaultdict(int)
+    for r in rows:
+        load[r.shard] += r.size
+    alone = next(r.shard for r in rows if r.doc_id == 9999)
+    assert load[alone] == half + 1
+    others = [load[s] for s in range(8) if s != alone]
+    assert max(others) <= 1.02 * min(others)
+
+
 def test_hard_texts(documents, hard_texts):
-    check(documents(list(enumerate(hard_texts))), 8)
+    """The largest row sets the largest load; the rest lies beside it."""
+    sizes = [len((t or "").encode()) + 1 for t in hard_texts]
+    check(documents(list(enumerate(hard_texts))), 8 * max(sizes) / sum(sizes) + 0.01)
     assert sharding.shard(documents([])).collect() == []
     check(documents([(1, None)] * 50), 2)
 
