@@ -10,6 +10,7 @@ from demandgrid.functions.quantiles import quantile_columns
 from demandgrid.operators.metrics import abs_err, act, err, prd
 from demandgrid.operators.ranking import ranked_top
 from demandgrid.schema import ACTUAL, KEY, PRED_DATE, PREDICTED
+from demandgrid.session import materialise
 
 # Fixed values of the data model.
 RULE_LIMITS = {"mean_ratio": 1.2, "band_spread": 0.5, "keys_over_2": 0.0}
@@ -39,9 +40,9 @@ def scale_band(value: Column | str = ACTUAL) -> Column:
 
 def prediction_ratio(pred: DataFrame) -> DataFrame:
     """Mean and exact median of predicted / actual over non-zero actuals."""
-    ratios = pred.select(pred_ratio().alias("_r"))
+    ratios = materialise(pred.select(pred_ratio().alias("_r")), "ratios")
     mean = ratios.agg(F.avg("_r").alias("ratio_mean"), F.count("_r").alias("ratio_count"))
-    return with_scalars(mean, quantile_columns(ratios, "_r", {"ratio_median": 0.5}))
+    return with_scalars(mean, quantile_columns(ratios, "_r", {"ratio_median": 0.5}, written=True))
 
 
 def direction_counts(pred: DataFrame) -> DataFrame:
@@ -63,13 +64,14 @@ def bias_by_scale(pred: DataFrame) -> DataFrame:
         err().alias("_e"),
         rel_err().alias("_rel"),
     ).filter(F.col("actual_scale").isNotNull())
+    banded = materialise(banded, "banded")
     means = banded.groupBy("actual_scale").agg(
         F.avg("_r").alias("ratio_mean"),
         F.count("_r").alias("ratio_count"),
         F.avg("_e").alias("error_mean"),
         F.avg("_rel").alias("relative_error_mean"),
     )
-    return means.join(quantile_columns(banded, "_r", {"ratio_median": 0.5}, ["actual_scale"]), "actual_scale", "left")
+    return means.join(quantile_columns(banded, "_r", {"ratio_median": 0.5}, ["actual_scale"], written=True), "actual_scale", "left")
 
 
 def bias_by_key(pred: DataFrame, key: str = KEY) -> DataFrame:
@@ -147,11 +149,11 @@ def high_overprediction(pred: DataFrame, above: float = 5.0, key: str = KEY) ->
 def error_histogram(pred: DataFrame, bins: int = BINS, tail: float = 0.95, ratio_below: float = 10.0) -> DataFrame:
     """Counts behind the two error charts: trimmed absolute error and ratio.
 
-    Equal-width bins between the smallest and the largest value of each measure. One pass finds
-    the limits of both, one counts both; only the cut of the errors needs passes of its own.
+    Equal-width bins between the smallest and the largest value of each measure. The two measures are
+    written once: predictions are evaluated once, however many passes read them.
     """
-    values = pred.select(abs_err().alias("_e"), pred_ratio().alias("_r"))
-    cut = quantile_columns(values, "_e", {"_cut": tail}).scalar()
+    values = materialise(pred.select(abs_err().alias("_e"), pred_ratio().alias("_r")), "errors")
+    cut = quantile_columns(values, "_e", {"_cut": tail}, written=True).scalar()
     error = F.when(F.col("_e") < cut, F.col("_e"))
     share = F.when(F.col("_r") < ratio_below, F.col("_r"))
     measures = {"abs_error": error, "prediction_ratio": share}

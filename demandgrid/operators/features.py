@@ -18,6 +18,7 @@ from demandgrid.functions import calendar as cal
 from demandgrid.functions.numeric import count_where, numeric_columns, ratio, share_pct
 from demandgrid.functions.quantiles import quantile_columns
 from demandgrid.schema import DATE, KEY, SEGMENT, SPLIT, STORE, TEST, TRAIN, VALUE
+from demandgrid.session import materialise
 
 # Fixed values of the data model.
 LAGS = (1, 2, 3, 7, 14, 21, 28)
@@ -231,7 +232,8 @@ def null_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def describe_features(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles and max per feature."""
     cols = list(cols or feature_columns(df))
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "_x")
+    wide = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "described")
+    long = wide.unpivot([], cols, "feature", "_x")
     basic = long.groupBy("feature").agg(
         F.count("_x").alias("count"),
         F.avg("_x").alias("mean"),
@@ -239,7 +241,7 @@ def describe_features(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
         F.min("_x").alias("min"),
         F.max("_x").alias("max"),
     )
-    quartiles = quantile_columns(long, "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=["feature"])
+    quartiles = quantile_columns(long, "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=["feature"], written=True)
     return basic.join(quartiles, "feature", "left")
 
 

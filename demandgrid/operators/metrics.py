@@ -192,14 +192,15 @@ def within_units(pred: DataFrame, by: Keys = (), limits: Sequence[int] = UNIT_LI
 def abs_error_stats(pred: DataFrame, by: Keys = ()) -> DataFrame:
     """Mean and exact median of the absolute error; groups with a NULL in their name are left out."""
     errors = pred.select(*by, abs_err().alias("_e")).filter(F.col("_e").isNotNull())
-    errors = reduce(lambda df, c: df.filter(F.col(c).isNotNull()), by, errors)
-    median = quantile_columns(errors, "_e", {"error_median": 0.5}, by)
+    errors = materialise(reduce(lambda df, c: df.filter(F.col(c).isNotNull()), by, errors), "errors")
+    median = quantile_columns(errors, "_e", {"error_median": 0.5}, by, written=True)
     return _beside(_agg(errors, by, {"error_mean": F.avg("_e")}), median, by)
 
 
 def pred_distribution(pred: DataFrame, by: Keys = ()) -> DataFrame:
-    spread = _agg(pred, by, {"pred_mean": F.avg(prd()), "pred_std": F.stddev_samp(prd())})
-    median = quantile_columns(pred, PREDICTED, {"pred_median": 0.5}, by)
+    values = materialise(pred.select(*by, PREDICTED), "predicted")
+    spread = _agg(values, by, {"pred_mean": F.avg(prd()), "pred_std": F.stddev_samp(prd())})
+    median = quantile_columns(values, PREDICTED, {"pred_median": 0.5}, by, written=True)
     return _beside(spread, median, by)
 
 
@@ -222,12 +223,13 @@ def key_error_rate(pred: DataFrame, key: str = KEY, by: Keys = ()) -> DataFrame:
 
 def error_rate_stats(rates: DataFrame, by: Keys = (), rate: str = "error_rate_mean") -> DataFrame:
     """Mean, median and population std over the keys' error rates."""
+    rates = materialise(rates.select(*by, rate), "rates")
     spread = _agg(
         rates,
         by,
         {"key_count": F.count(rate), "error_rate_mean": F.avg(rate), "error_rate_std": F.stddev_pop(rate)},
     )
-    median = quantile_columns(rates, rate, {"error_rate_median": 0.5}, by)
+    median = quantile_columns(rates, rate, {"error_rate_median": 0.5}, by, written=True)
     return _beside(spread, median, by)
 
 

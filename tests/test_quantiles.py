@@ -43,6 +43,19 @@ def test_many_equal_values(spark):
     assert (got.a, got.b, got.c) == (7.0, pytest.approx(7.02), 9.0)
 
 
+@pytest.mark.parametrize("margin", [0.0, 0.2])
+def test_brackets_that_miss_their_rank(spark, monkeypatch, margin):
+    """Sketches of eight values: some brackets are wrong, which the counts must notice."""
+    monkeypatch.setattr(qt, "_SKETCH", 8)
+    monkeypatch.setattr(qt, "_MARGIN", margin)
+    rng = np.random.default_rng(5)
+    groups = {g: rng.normal(0, 10, n).round(r).tolist() for g, n, r in (("a", 20, 1), ("b", 57, 0), ("c", 200, 2), ("d", 7, 1))}
+    table = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, x double")
+    ps = {"q0": 0.0, "q1": 0.05, "q2": 0.25, "q3": 0.5, "q4": 0.95, "q5": 1.0}
+    got = {r.g: [r[n] for n in ps] for r in qt.quantile_columns(table, "x", ps, ["g"]).collect()}
+    assert {g: pytest.approx(list(np.quantile(v, list(ps.values()))), rel=1e-9, abs=1e-9) for g, v in groups.items()} == got
+
+
 def test_empty(spark):
     table = spark.createDataFrame([], "x double")
     assert qt.quantile_columns(table, "x", {"m": 0.5}).first().m is None
