@@ -26,6 +26,8 @@ WINDOWS = (7, 14, 28)
 TRENDS = (7, 28)
 # Built from the current target, or (the profile) from later ones.
 LEAKING = ("trend_7d_f", "trend_28d_f") + tuple(f"product_{x}_f" for x in ("mean", "std", "median", "min", "max"))
+# Rows of one entity and day, on average, for each sampled cut between its buckets; and the most cuts.
+ROWS_PER_CUT, MOST_CUTS = 50_000, 256
 DEFAULT_CONFIG = {
     KEY: {
         "lag": [1, 2, 3],
@@ -122,18 +124,21 @@ def entity_dow_mean(
     """``dow_mean`` for an entity with many rows per day, in (date, tie) order.
 
     A store may hold a large part of the table, so its rows are never put into one
-    (entity, weekday) window. Earlier days enter as day totals; only the rows of one
-    entity and day share a window.
+    (entity, weekday) window. Earlier days enter as day totals. The rows of one entity and day share a window, unless
+    they are many: then they are cut at sampled values of ``tie`` into buckets, whose totals are added up
+    first. Rows of equal ``tie`` stay together. Day totals are written when this is called.
     """
     if entity not in df.columns:
         return df
     out = out or f"{entity}_dow_mean_f"
     weekday = cal.day_of_week_f(date)
+    sampled = F.when(F.pmod(F.xxhash64(tie), F.lit(ROWS_PER_CUT)) == 0, F.col(tie))
     days = (
         df.filter(F.col(entity).isNotNull() & weekday.isNotNull())
         .groupBy(entity, date)
-        .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_sum"), F.count(value).alias("_n"))
+        .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_sum"), F.count(value).alias("_n"), F.array_sort(F.collect_set(sampled)).alias("_sample"))
     )
+    days = materialise(days, "entity-days")
     before = Window.partitionBy(entity, weekday).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
     past = days.select(
         entity,
@@ -141,13 +146,30 @@ def entity_dow_mean(
         F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_past_sum"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_past_n"),
     )
-    today = Window.partitionBy(entity, date).orderBy(tie).rowsBetween(Window.unboundedPreceding, -1)
-    with_today = df.withColumns(
+    today = [entity, date]
+    every = F.ceil(F.size("_sample") / MOST_CUTS)
+    cuts = days.filter(F.size("_sample") > 0).select(entity, date, F.filter("_sample", lambda x, i: i % every == 0).alias("_cuts"))
+    divided = not cuts.isEmpty()
+    rows = df
+    if divided:
+        placed = df.join(cuts, [entity, date], "left")
+        bucket = F.size(F.filter("_cuts", lambda cut: cut <= F.col(tie)))
+        rows = placed.withColumn("_bucket", F.when(F.col("_cuts").isNull() | F.col(tie).isNull(), 0).otherwise(bucket)).drop("_cuts")
+        today.append("_bucket")
+    so_far = Window.partitionBy(*today).orderBy(tie).rowsBetween(Window.unboundedPreceding, -1)
+    with_today = rows.withColumns(
         {
-            "_today_sum": F.coalesce(F.sum(value).over(today), F.lit(0.0)),
-            "_today_n": F.count(value).over(today),
+            "_today_sum": F.coalesce(F.sum(value).over(so_far), F.lit(0.0)),
+            "_today_n": F.count(value).over(so_far),
         }
     )
+    if divided:
+        earlier = Window.partitionBy(entity, date).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        totals = rows.groupBy(*today).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_s"), F.count(value).alias("_c"))
+        base = totals.select(*today, F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_c"))
+        with_today = with_today.join(base, today, "left").withColumns(
+            {"_today_sum": F.col("_today_sum") + F.col("_s"), "_today_n": F.col("_today_n") + F.col("_c")}
+        )
     mean = ratio(F.col("_past_sum") + F.col("_today_sum"), F.col("_past_n") + F.col("_today_n"))
     return (
         with_today.join(past, [entity, date], "left")

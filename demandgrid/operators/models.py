@@ -7,7 +7,7 @@ import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,8 +19,9 @@ from demandgrid.functions import calendar as cal
 from demandgrid.operators.features import LEAKING, feature_columns
 from demandgrid.operators.keys import test_period
 from demandgrid.operators.metrics import key_metrics, rmse_mae
+from demandgrid.operators.search import Range, minimise
 from demandgrid.schema import ACTUAL, DATE, KEY, PRED_DATE, PREDICTED, SEGMENT, VALUE
-from demandgrid.session import ensure_checkpoint_dir, materialise
+from demandgrid.session import concurrently, ensure_checkpoint_dir, materialise
 
 # Beside every feature that may be missing stands a 0/1 column that says so; the feature itself is then 0.
 MISSING_FLAG = "_missing"
@@ -81,7 +82,7 @@ def hampel(
     value: str = VALUE,
 ) -> DataFrame:
     """Replaces a value by the median of its centred ``n``-row window when it is more
-    than ``k`` robust standard deviations away. The frame holds ``n`` values.
+    than ``k`` robust standard deviations away. The frame holds ``n // 2`` rows on each side of the row.
 
     Where the deviations have median 0 (half of the window is one value, as with intermittent demand)
     there is no scale to call anything an outlier by, and the value stays.
@@ -224,17 +225,22 @@ def walk_forward(
 ) -> DataFrame:
     """Month by month: train on everything before the month, predict the month.
 
-    ``build(grid, cutoff)`` makes the feature table of each step from the dense grid, such as
-    ``features.forecast_table``; it gets no row after the month to predict.
+    ``build(grid, cutoff)`` makes the feature table of a step from the dense grid, such as
+    ``features.forecast_table``; it gets no row after the month to predict. The model input is written in blocks: all rows up
+    to the first cutoff once, then the month of each step as it looks at its own cutoff, which later steps
+    train on. So a row is written once, however many steps there are. Step fits run one after another, as each
+    table grows by the month before.
     """
     end = cal.to_day(train_end)
     # Counted from the first end, so that month ends stay month ends.
     ends = [cal.add_months(end, i) for i in range(steps + 1)]
-    months = []
+    months, blocks, names = [], [], list(features or [])
     for i, (cutoff, last) in enumerate(zip(ends, ends[1:])):
         table = build(grid.filter(F.col(DATE) <= _day(last)), str(cutoff))
-        names = list(features or training_features(table, target))
-        rows = training_table(table, names, cutoff, last, target)
+        names = names or training_features(table, target)
+        block = model_input(table.filter(F.col(DATE) > _day(cutoff)) if blocks else table, names, target)
+        blocks.append(materialise(block.filter(F.col("label").isNotNull() & (F.col(DATE) <= _day(last))), "model-input-block"))
+        rows = reduce(DataFrame.unionByName, blocks)
         period = (cutoff + dt.timedelta(days=1), last)
         predicted = _fit(rows, cutoff, period, names, clean, params).predictions
         months.append(predicted.withColumn("step", F.lit(i + 1)))
@@ -250,10 +256,13 @@ def fit_by_segment(
     clean: Sequence[str] = (),
     target: str = VALUE,
     by: str = SEGMENT,
+    at_once: int = 4,
     **params: object,
 ) -> tuple[DataFrame, dict[str | None, Fit]]:
     """One model per segment; returns the union of predictions and the fits.
 
+    ``at_once`` segments are fitted at the same time. A fit that fails raises ``RuntimeError`` with its segment.
+
     Without ``segments`` every segment of the table gets a model, rows without one too (``None``).
     A list that leaves out a segment of the table raises ``ValueError``.
     """
@@ -265,7 +274,12 @@ def fit_by_segment(
         segments = sorted(found, key=lambda s: (s is None, s or ""))
     elif left := found - set(segments):
         raise ValueError(f"segments without a model: {sorted(map(str, left))}")
-    fits = {s: _fit(rows.filter(F.col(by).eqNullSafe(F.lit(s))), train_end, period, features, clean, params) for s in segments if s in found}
+    ensure_checkpoint_dir(df.sparkSession)
+
+    def fit(s: str | None) -> Fit:
+        return _fit(rows.filter(F.col(by).eqNullSafe(F.lit(s))), train_end, period, features, clean, params)
+
+    fits = concurrently(df.sparkSession, {s: partial(fit, s) for s in segments if s in found}, at_once)
     return reduce(DataFrame.unionByName, [f.predictions for f in fits.values()]), fits
 
 
@@ -281,7 +295,7 @@ def tune(
     """Validation RMSE of each parameter setting, or of a random ``trials`` of them.
 
     Rows are never sampled: the last month up to ``train_end`` is held out and the
-    rest trains, like a walk-forward step. All trials read one training table.
+    rest trains, like a walk-forward step. All trials read one training table; some run at once.
     """
     features = list(features or training_features(df, target))
     cutoff = cal.add_months(cal.to_day(train_end), -1)
@@ -292,13 +306,65 @@ def tune(
     chosen = range(len(settings))
     if trials is not None and trials < len(settings):
         chosen = sorted(random.Random(seed).sample(chosen, trials))
-    results = []
-    for trial in chosen:
-        rmse = _fit(rows, cutoff, period, features, (), settings[trial]).metrics.first()["rmse"]
-        results.append((trial, ",".join(f"{n}={v}" for n, v in settings[trial].items()), rmse))
+    ensure_checkpoint_dir(df.sparkSession)
+
+    def rmse(trial: int) -> float:
+        return _fit(rows, cutoff, period, features, (), settings[trial]).metrics.first()["rmse"]
+
+    losses = concurrently(df.sparkSession, {trial: partial(rmse, trial) for trial in chosen})
+    results = [(trial, ",".join(f"{n}={v}" for n, v in settings[trial].items()), loss) for trial, loss in losses.items()]
     return df.sparkSession.createDataFrame(results, "trial int, params string, rmse double")
 
 
+#: Ranges of the tree models, for ``search``.
+TREE_RANGES = {"maxDepth": Range(2, 8, whole=True), "stepSize": Range(0.01, 0.4, log=True), "subsamplingRate": Range(0.5, 1.0)}
+
+
+def search(
+    df: DataFrame,
+    train_end: Day,
+    space: Mapping[str, Range] = TREE_RANGES,
+    trials: int = 20,
+    features: Sequence[str] | None = None,
+    target: str = VALUE,
+    seed: int = 42,
+    max_iter: int = 20,
+) -> DataFrame:
+    """Validation RMSE of ``trials`` settings (trial, params, rmse, trees), each chosen from the ones before.
+
+    The last month up to ``train_end`` is held out, as in ``tune``, and all trials read one training table. ``trees`` is
+    ``max_iter``, or the share of it after which a poor trial was given up.
+    """
+    features = list(features or training_features(df, target))
+    cutoff = cal.add_months(cal.to_day(train_end), -1)
+    period = (cutoff + dt.timedelta(days=1), train_end)
+    rows = training_table(df, features, cutoff, train_end, target)
+
+    def trees(share: float) -> int:
+        return max(1, round(max_iter * share))
+
+    def loss(params: dict[str, float | int], share: float) -> float:
+        return _fit(rows, cutoff, period, features, (), {**params, "maxIter": trees(share)}).metrics.first()["rmse"]
+
+    done = minimise(loss, space, trials, seed)
+    told = [(t.number, ",".join(f"{n}={v}" for n, v in t.params.items()), t.loss, trees(t.share)) for t in done]
+    return df.sparkSession.createDataFrame(told, "trial int, params string, rmse double, trees int")
+
+
+def against_mean(df: DataFrame, predictions: DataFrame, train_end: Day, key: str = KEY, target: str = VALUE) -> DataFrame:
+    """(n, rmse, mean_rmse): the error of the predictions, and that of each key's mean up to ``train_end`` on the same rows.
+
+    Rows of keys without an earlier value have no mean and do not count.
+    """
+    means = df.filter((F.col(DATE) <= _day(train_end)) & F.col(target).isNotNull()).groupBy(key).agg(F.avg(target).alias("_mean"))
+    rows = predictions.join(means, key)
+
+    def root(guess: str) -> Column:
+        return F.sqrt(F.avg(F.pow(F.col(guess) - F.col(ACTUAL), 2)))
+
+    return rows.agg(F.count(F.lit(1)).alias("n"), root(PREDICTED).alias("rmse"), root("_mean").alias("mean_rmse"))
+
+
 def importance(fits: Mapping[str, Fit], by: str = SEGMENT) -> DataFrame:
     """Importances of all segments, sorted within each."""
     parts = [fit.importance.withColumn(by, F.lit(name)) for name, fit in fits.items()]

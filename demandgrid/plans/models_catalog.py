@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from demandgrid.functions import calendar as cal
+from demandgrid.functions.numeric import with_scalars
 from demandgrid.operators import features as ft
 from demandgrid.operators import keys as ks
 from demandgrid.operators import models as md
 from demandgrid.plans.catalog import Catalog
 from demandgrid.plans.driver_tables import TRAIN_END, DriverTables
 from demandgrid.plans.features_catalog import CONFIG_NAMES
-from demandgrid.schema import KEY, PREDICTED, SEGMENT
+from demandgrid.schema import DATE, KEY, PREDICTED, SEGMENT, VALUE
 
 SCOPE = ("2001-01-01", "2001-03-31")
 STEPS = 2
+TRIALS = 7
+# The quantities of the test tables are drawn at random: no model can do better than the mean there, but a useful one is within 5 %.
+NEAR = 1.05
 GRID = {"maxDepth": [3, 5], "stepSize": [0.05, 0.1]}
 # A feature that no row misses, for the fit that SQL can repeat.
 LINE = "day_of_month_f"
@@ -43,6 +49,31 @@ def _tuned(t: DriverTables) -> DataFrame:
     return md.tune(_table(t), TRAIN_END, GRID).withColumn("rmse", F.col("rmse") > 0).withColumnRenamed("rmse", "is_positive")
 
 
+def _searched(t: DriverTables) -> DataFrame:
+    """All trials made; the best one comes near the error of each key's mean on the month held out (see ``NEAR``)."""
+    table = _table(t)
+    cutoff = cal.add_months(cal.to_day(TRAIN_END), -1)
+    told = md.search(table, TRAIN_END, trials=TRIALS, max_iter=8)
+    held_out = table.filter((F.col(DATE) > F.lit(str(cutoff)).cast("date")) & (F.col(DATE) <= F.lit(TRAIN_END).cast("date")) & (F.col(VALUE) > 0))
+    mean = md.against_mean(table, held_out.select(KEY, F.col(VALUE).alias("actual"), F.col(VALUE).alias(PREDICTED)), cutoff)
+    best = told.agg(F.count(F.lit(1)).alias("trials"), F.min("rmse").alias("_best"), (F.max("trees") == 8).alias("some_in_full"))
+    return with_scalars(best, mean.select("n", "mean_rmse")).select(
+        "trials", "n", "mean_rmse", (F.col("_best") < F.col("mean_rmse") * NEAR).alias("best_is_near"), "some_in_full"
+    )
+
+
+def _compared(t: DriverTables) -> DataFrame:
+    """Errors of the models of F01, F02 and F03 beside the error of each key's mean, on the rows they predict."""
+    table = _table(t)
+    tried = {
+        "one": md.fit_predict(table, TRAIN_END, 1).predictions,
+        "by segment": md.fit_by_segment(table, TRAIN_END)[0],
+        "walk": md.walk_forward(t.store_dense_segment, TRAIN_END, 1, _build),
+    }
+    parts = [md.against_mean(table, p, TRAIN_END).withColumn("model", F.lit(n)) for n, p in tried.items()]
+    return reduce(DataFrame.unionByName, parts).select("model", "n", "mean_rmse", (F.col("rmse") < F.col("mean_rmse") * NEAR).alias("is_near"))
+
+
 def _importance(t: DriverTables) -> DataFrame:
     """Shares of each segment sum up to 1; which input they belong to has an exact answer, too."""
     _, fits = md.fit_by_segment(_table(t), TRAIN_END)
@@ -132,6 +163,22 @@ def register(c: Catalog) -> None:
         due.format(", 1 AS step", TRAIN_END, "2001-01-31") + " UNION ALL " + due.format(", 2 AS step", "2001-01-31", "2001-02-28"),
         "actual",
     )
+    mean = """SELECT count(*) AS n, sqrt(avg(power(m - actual_value, 2))) AS mean_rmse FROM densu JOIN (
+          SELECT material_key, avg(actual_value) AS m FROM densu WHERE file_date <= DATE '{0}' GROUP BY 1) k
+          ON k.material_key = densu.material_key
+        WHERE actual_value > 0 AND file_date > DATE '{0}' AND file_date <= DATE '{1}'"""
+    c.add(
+        "F01_models_against_mean",
+        _compared,
+        f"SELECT model, n, mean_rmse, true AS is_near FROM ({mean.format(TRAIN_END, '2001-01-31')}), (VALUES ('one'), ('by segment'), ('walk')) v(model)",
+        "mean_rmse",
+    )
+    c.add(
+        "F06_search",
+        _searched,
+        f"SELECT CAST({TRIALS} AS BIGINT) AS trials, n, mean_rmse, true AS best_is_near, true AS some_in_full FROM ({mean.format('2000-11-30', TRAIN_END)})",
+        "mean_rmse",
+    )
     c.add("F03_fit_by_segment", lambda t: _checked(md.fit_by_segment(_table(t), TRAIN_END)[0]), first, "actual")
     c.add(
         "F04_winsorize",

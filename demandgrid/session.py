@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+K, V = TypeVar("K"), TypeVar("V")
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Jobs that run at once share the executors evenly.
+    "spark.scheduler.mode": "FAIR",
 }
 
 
@@ -77,3 +84,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Gives iterative fits a checkpoint folder unless the session has one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def concurrently(spark: SparkSession, work: Mapping[K, Callable[[], V]], most: int = 4) -> dict[K, V]:
+    """Results of ``work`` by name, in its order; at most ``most`` of its Spark jobs run at once, each in a pool of its own.
+
+    A small job leaves most executors idle between its stages; the others use them. What fails is
+    raised as a ``RuntimeError`` that names it, once the others have ended.
+    """
+    if not work:
+        return {}
+    context = spark.sparkContext
+
+    def run(turn: int, task: Callable[[], V]) -> V:
+        context.setLocalProperty("spark.scheduler.pool", f"concurrent-{turn % most}")
+        try:
+            return task()
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(min(most, len(work))) as pool:
+        started = {name: pool.submit(inheritable_thread_target(spark)(run), turn, task) for turn, (name, task) in enumerate(work.items())}
+        out, failed = {}, None
+        for name, future in started.items():
+            try:
+                out[name] = future.result()
+            except Exception as error:
+                failed = failed or (name, error)
+    if failed:
+        raise RuntimeError(f"{failed[0]!r} failed: {failed[1]}") from failed[1]
+    return out

@@ -64,7 +64,10 @@ def test_weekday_mean(series):
     assert got == {1: None, 8: 1.0, 15: 2.0, 6: None}
 
 
-def test_entity_weekday_mean_equals_one_window_over_all_rows(series):
+@pytest.mark.parametrize("rows_per_cut", [50_000, 3, 1])
+def test_entity_weekday_mean_equals_one_window_over_all_rows(series, monkeypatch, rows_per_cut):
+    """Also where a store's day is cut into buckets."""
+    monkeypatch.setattr(ft, "ROWS_PER_CUT", rows_per_cut)
     rows = [
         (f"m{m}", f"2024-01-{d:02d}", float((m * d) % 7), f"s{(m + d) % 2}") for m in range(6) for d in range(1, 22)
     ]
@@ -81,6 +84,21 @@ def test_entity_weekday_mean_equals_one_window_over_all_rows(series):
         assert got[(k, d)] == (pytest.approx(want) if want is not None else None)
 
 
+def test_a_store_day_of_most_rows_is_divided(spark, series, monkeypatch):
+    """One store and day holds nearly all rows; no window does."""
+    monkeypatch.setattr(ft, "ROWS_PER_CUT", 200)
+    hot = spark.range(20_000).selectExpr("lpad(id, 6, '0') AS material_key", "date'2024-01-08' AS file_date", "cast(id % 7 AS double) AS actual_value", "'s' AS store_code")
+    table = hot.unionByName(series([("a", "2024-01-01", 10.0, "s")], "store_code string").select(*hot.columns))
+    got = ft.entity_dow_mean(table)
+    rows = {r.material_key: r.store_code_dow_mean_f for r in got.collect()}
+    total = 10.0
+    for i in range(20_000):
+        assert rows[f"{i:06d}"] == pytest.approx(total / (i + 1))
+        total += i % 7
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan
+
+
 def test_entity_weekday_mean_skips_a_missing_entity(series):
     table = series(FIVE)
     assert ft.entity_dow_mean(table, "store_code").columns == table.columns

@@ -1,10 +1,14 @@
 import math
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from demandgrid.operators import features as ft
 from demandgrid.operators import models as md
+from demandgrid.operators.search import Range, minimise
+from demandgrid.session import concurrently
 from demandgrid.sources import readers as rd
 from demandgrid.sources import writers as wr
 
@@ -182,3 +186,69 @@ def test_prediction_scope(spark, predictions):
     assert md.predict_scope(table, "walk-forward", end="2025-01-01").count() == 2
     with pytest.raises(ValueError):
         md.predict_scope(table, "other")
+
+
+def test_search_reaches_the_best_grid_point_in_fewer_trials():
+    """A known surface with one valley; a grid of 9 x 9 points against 25 trials."""
+    space = {"a": Range(0.0, 1.0), "b": Range(1e-3, 1.0, log=True)}
+
+    def surface(a, b):
+        return (a - 0.63) ** 2 + 0.05 * (np.log10(b) + 1.4) ** 2
+
+    grid = min(surface(a, b) for a in np.linspace(0, 1, 9) for b in np.logspace(-3, 0, 9))
+    for seed in range(5):
+        done = minimise(lambda p, share: surface(p["a"], p["b"]) + (1 - share), space, 25, seed)
+        assert len(done) == 25 and min(t.loss for t in done if t.share == 1.0) <= grid
+        assert any(t.share < 1.0 for t in done)
+    again = [minimise(lambda p, share: surface(p["a"], p["b"]), space, 8, 3) for _ in range(2)]
+    assert again[0] == again[1]
+
+
+def test_ranges_are_kept():
+    assert [Range(2, 8, whole=True).at(u) for u in (0.0, 0.5, 1.0)] == [2, 5, 8]
+    assert Range(0.01, 1.0, log=True).at(0.5) == pytest.approx(0.1)
+
+
+def test_work_at_once(spark):
+    """In order, together, and a failure is named."""
+    begin = time.time()
+    got = concurrently(spark, {i: lambda i=i: time.sleep(0.5) or spark.range(i).count() for i in range(8)}, 8)
+    assert got == {i: i for i in range(8)} and list(got) == list(range(8))
+    assert time.time() - begin < 3.0
+    with pytest.raises(RuntimeError, match="'b' failed"):
+        concurrently(spark, {"a": lambda: 1, "b": lambda: 1 / 0})
+    assert concurrently(spark, {}) == {}
+
+
+def test_a_walk_writes_each_row_once(series, monkeypatch):
+    """Blocks: the first holds all up to its month, each later one its month."""
+    written = []
+    kept = md.materialise
+    monkeypatch.setattr(md, "materialise", lambda df, name, by=(): written.append((name, df.count())) or kept(df, name, by))
+    rows = [r for m in range(1, 5) for r in month("A", m, range(1, 29))]
+    md.walk_forward(series(rows), "2024-01-31", 3, build, **SMALL)
+    assert [n for name, n in written if name == "model-input-block"] == [2 * 28, 28, 28]
+
+
+def test_a_failed_fit_names_its_segment(table, monkeypatch):
+    kept = md._fit
+
+    def fit(rows, *more):
+        if rows.select("usage_type").first()[0] == "household":
+            raise ValueError("no")
+        return kept(rows, *more)
+
+    monkeypatch.setattr(md, "_fit", fit)
+    with pytest.raises(RuntimeError, match="'household' failed: no"):
+        md.fit_by_segment(table, "2024-02-29", **SMALL)
+
+
+def test_search_on_a_table(table):
+    told = md.search(table, "2024-03-31", {"maxDepth": Range(1, 3, whole=True), "stepSize": Range(0.1, 0.5)}, trials=2, max_iter=4).collect()
+    assert [r.trial for r in told] == [0, 1] and all(r.rmse > 0 and r.trees == 4 for r in told)
+
+
+def test_error_beside_that_of_the_mean(series):
+    rows = series([("A", "2024-01-01", 2.0), ("A", "2024-01-02", 4.0), ("A", "2024-02-01", 9.0), ("B", "2024-02-01", 1.0)])
+    guess = rows.where("file_date > '2024-01-31'").selectExpr("material_key", "actual_value AS actual", "8.0 AS predicted")
+    assert tuple(md.against_mean(rows, guess, "2024-01-31").first()) == (1, 1.0, 6.0)
