@@ -41,11 +41,16 @@ def build_session(master: str | None = None, app: str = "demandgrid", **extra: s
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read and write, whatever the master.
 
-    The setting ``spark.checkpoint.dir``; where that is unset, a folder in the warehouse, the one
-    place that Spark itself takes for shared.
+    The setting ``spark.checkpoint.dir``. A session without a cluster may do without it and gets a folder in its
+    warehouse; on a cluster that could be a folder of one machine, so there it is a ``ValueError``.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+    if configured:
+        return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
