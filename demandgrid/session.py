@@ -73,16 +73,33 @@ def materialise(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
         atexit.register(release)
     _written[path] = df.sparkSession
     df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._scratch = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    if spark.sparkContext._jsc is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table as ``materialise`` returned it, once nothing reads it any more.
+
+    Shuffle files of jobs that are done go with the plans that made them, when the driver collects
+    garbage; a loop that writes and discards asks for that, as it may otherwise not happen for long.
+    """
+    if getattr(table, "_scratch", None) in _written:
+        _delete(table._scratch)
+        table.sparkSession._jvm.System.gc()
 
 
 def release() -> None:
     """Deletes all tables that ``materialise`` has written; results that still read them end with this."""
-    for path, spark in list(_written.items()):
-        del _written[path]
-        if spark.sparkContext._jsc is not None:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    for path in list(_written):
+        _delete(path)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
