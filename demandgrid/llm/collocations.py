@@ -21,31 +21,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from demandgrid.llm.common import bounded_batches, pick
 from demandgrid.llm.shingling import BASE, mixed
-from demandgrid.session import materialise
+from demandgrid.session import discard, materialise
 
 #: Fixed values of the report.
 SHORTEST, LONGEST, LEAST, COVERED, FIRST = 2, 5, 100, 100, 2000
-SHARDS = 3
+SHARDS = 2
+#: Up to so many rows, phrases that reach the threshold are broadcast, and their hashes sent to the driver; with more, they are shuffled.
+SMALL = 200_000
 NO_LANG = "und"
 #: A-Z in lower case, tab as space, and `.` for all that ends a piece.
 LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 10)
 #: Text of a language that a task counts at once; of a longer text, all of it.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits per active phrase, and the most bits: beyond that more phrases are counted in vain.
 BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 #: Bits of one bitmap of Spark's bitmap functions.
 BITMAP = 32768
 
 
-def bit_array(rows: DataFrame, hash_: str, bits: int) -> np.ndarray:
-    """The hashes of the rows as set bits. ``bits`` / 8 bytes reach the driver, whatever the number of rows."""
+def bit_array(rows: DataFrame, hash_: str, bits: int, few: bool = False) -> np.ndarray:
+    """The hashes of the rows as set bits. ``bits`` / 8 bytes reach the driver, whatever the number of rows, or of ``few`` rows the hashes."""
     at = rows.select(F.col(hash_).bitwiseAND(bits - 1).alias("p"))
+    if few:
+        out = np.zeros(bits // 8, np.uint8)
+        p = at.toArrow()["p"].to_numpy()
+        np.bitwise_or.at(out, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+        return out
     maps = at.groupBy(F.expr(f"p div {BITMAP}").alias("b")).agg(F.expr(f"bitmap_construct_agg(p % {BITMAP})").alias("m"))
     out = np.zeros(bits // 8, np.uint8)
     for row in maps.toLocalIterator():
@@ -80,39 +88,52 @@ def phrase_hash(lang: bytes, phrase: bytes) -> int:
     return int(h.view(np.int64)[0])
 
 
-def count_block(lang: bytes, text: bytes, words_too: bool, reached: np.ndarray | None, recent: np.ndarray | None, longest: int) -> Iterator[tuple[bytes, int]]:
-    """(phrase, count) of the words (if wanted) and active phrases of a text: those with both subphrases in ``reached``,
+def _phrases(names: pa.Array, lang: bytes, ids: np.ndarray, at: np.ndarray, length: int) -> pa.Array:
+    """The keys (language, line feed, phrase) of ``length`` words each, from ``at`` on."""
+    words = [names.take(pa.array(ids[at + j])) for j in range(length)]
+    phrase = words[0] if length == 1 else pc.binary_join_element_wise(*words, pa.scalar(" ", names.type))
+    return pc.binary_join_element_wise(pa.scalar(lang.decode(), names.type), phrase, pa.scalar("\n", names.type))
+
+
+def count_block(lang: bytes, text: bytes, words_too: bool, reached: np.ndarray | None, recent: np.ndarray | None, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(keys, counts) of the words (if wanted) and active phrases of a text: those with both subphrases in ``reached``,
     and one of them in ``recent``."""
-    words = text.translate(LETTERS).replace(b".", b" . ").split()
-    number = {w: i for i, w in enumerate(dict.fromkeys([b".", *words]))}
-    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    names = list(number)
+    # The first word is the end of a piece, so that it has number 0.
+    plain = (b". " + text.translate(LETTERS).replace(b".", b" . ")).rstrip(b" ")
+    words = pc.ascii_split_whitespace(pa.array([plain], pa.large_binary()).cast(pa.large_string())).flatten().dictionary_encode()
+    ids, names = words.indices.to_numpy().astype(np.int64), words.dictionary
     if words_too:
         counts = np.bincount(ids, minlength=len(names))
         counts[0] = 0
-        yield from ((names[i], int(counts[i])) for i in np.flatnonzero(counts))
+        some = np.flatnonzero(counts)
+        yield _phrases(names, lang, some, np.arange(len(some)), 1), counts[some]
     if reached is None:
         return
-    own = word_hashes(names)[ids]
-    hashes = longer(np.repeat(word_hashes([lang]), len(ids)), own)
-    inside = ids > 0
+    # Of words, the bits are looked up once per name; of longer phrases, where both subphrases stand.
+    own = word_hashes(names.cast(pa.large_binary()).to_pylist())
+    hashes = longer(np.repeat(word_hashes([lang]), len(names)), own)
+    known_names = holds(reached, hashes)
+    known_names[0] = False
+    known, late = known_names[ids], holds(recent, hashes)[ids]
+    at, hashes = np.flatnonzero(known), hashes[ids[known]]
     for length in range(2, longest + 1):
-        most = len(ids) - length + 1
-        if most <= 0:
-            return
-        known = inside & holds(reached, hashes)
-        inside = known[:-1] & known[1:] & (ids[length - 1 :] > 0)
-        late = holds(recent, hashes)
-        at = np.flatnonzero(inside & (late[:-1] | late[1:]))
-        code = ids[at]
+        # ``at``: where known phrases of one word less begin.
+        after = known[np.minimum(at + 1, len(ids) - 1)] & (at + 1 < len(ids))
+        at, hashes = at[after], hashes[after]
+        new = at[late[at] | late[at + 1]]
+        code = ids[new]
         for j in range(1, length):
             # Numbered anew before each step, a code and a word fit 64 bits.
-            code = np.unique(code, return_inverse=True)[1] * len(names) + ids[at + j]
+            code = np.unique(code, return_inverse=True)[1] * len(names) + ids[new + j]
         _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        yield from ((b" ".join(words[i : i + length]), n) for i, n in zip(at[first].tolist(), counts.tolist()))
-        if not inside.any():
+        yield _phrases(names, lang, ids, new[first], length), counts
+        if not len(at) or length == longest:
             return
-        hashes = longer(hashes[:-1], own[length - 1 :])
+        hashes = longer(hashes, own[ids[at + length - 1]])
+        here = holds(reached, hashes)
+        at, hashes = at[here], hashes[here]
+        known, late = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        known[at], late[at] = True, holds(recent, hashes)
 
 
 def scan(texts: DataFrame, words_too: bool, reached: np.ndarray | None, recent: np.ndarray | None, longest: int) -> DataFrame:
@@ -124,12 +145,8 @@ def scan(texts: DataFrame, words_too: bool, reached: np.ndarray | None, recent:
 
         def counted() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                rows = list(count_block(lang, b".".join(parts), words_too, *bits.value, longest))
-                if rows:
-                    keys, counts = zip(*rows)
-                    start = lang + b"\n"
-                    made = pa.array([start + k for k in keys], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([made, pa.array(counts, pa.int64())], names=["key", "c"])
+                for keys, counts in count_block(lang, b".".join(parts), words_too, *bits.value, longest):
+                    yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(counts, pa.int64())], names=["key", "c"])
             held.clear()
 
         size = 0
@@ -182,29 +199,36 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     counted: list[DataFrame] = []
     complete, totals = [], []
     reached = spark.createDataFrame([], "key string, reach int, words int, h long")
-    at, bits = 0, (None, None)
+    at, bits, active = 0, (None, None), 0
     while True:
         texts = corpus.where(F.col("shard") == at % shards).select("lang", "text")
         table = scan(texts, at < shards, *bits, longest).withColumn("x", F.xxhash64("key"))
-        counted = [*counted, materialise(table, "llm-scan")][-shards:]
+        counted.append(materialise(table, "llm-scan"))
+        if len(counted) > shards:
+            # No phrase that is still counted has counts as old as these.
+            discard(counted.pop(0))
         if at < shards:
             words = counted[-1].where(F.instr(_phrase(F.col("key")), " ") == 0)
             sums = words.groupBy(F.expr("left(key, length(key) - length(substring_index(key, '\\n', -1)) - 1)").alias("lang")).agg(F.sum("c").alias("n"))
             totals.append(materialise(sums, "llm-totals"))
         summed = _summed(counted, least, shards)
-        started = _started(summed, reached, at, shards, least)
+        known = F.broadcast(reached) if active <= SMALL else reached
+        started = _started(summed, known, at, shards, least)
         now = materialise(started, "llm-reached")
         # A phrase whose cycle ends with this scan has its count.
         complete.append(now.where(F.col("start") == at - shards + 1).select("key", "words", "f"))
-        new = now.join(reached, "key", "left_anti").select("key", F.lit(at).alias("reach"), "words", key_hash("key").alias("h"))
+        new = now.join(known, "key", "left_anti").select("key", F.lit(at).alias("reach"), "words", key_hash("key").alias("h"))
         reached = materialise(reached.unionByName(new), "llm-active")
+        active = reached.count()
         at += 1
         # Only phrases reached within the last cycle can have extensions that are still counted.
         extended = reached.where(F.col("words") < longest)
-        size, last = extended.agg(F.count("*"), F.coalesce(F.max("reach"), F.lit(-shards - 1))).first()
-        if at >= shards and last < at - shards:
+        late = extended.where(F.col("reach") >= at - shards)
+        if at >= shards and late.isEmpty():
             break
-        bits = tuple(bit_array(some, "h", bits_for(size)) for some in (extended, extended.where(F.col("reach") >= at - shards)))
+        bits = tuple(bit_array(some, "h", bits_for(active), active <= SMALL) for some in (extended, late))
+    for table in (corpus, *counted):
+        discard(table)
     whole = complete[0]
     for part in complete[1:]:
         whole = whole.unionByName(part)
@@ -222,14 +246,18 @@ def _summed(counted: list[DataFrame], least: int, shards: int) -> DataFrame:
     all_ = tables[0]
     for t in tables[1:]:
         all_ = all_.unionByName(t)
-    likely = all_.where(F.col("c") >= share)
-    bits = all_.sparkSession.sparkContext.broadcast(bit_array(likely, "x", bits_for(likely.count())))
-
-    @F.arrow_udf(T.BooleanType())
-    def is_likely(x: pa.Array) -> pa.Array:
-        return pa.array(holds(bits.value, x.to_numpy().view(np.uint64)))
-
-    kept = all_.where(is_likely("x"))
+    likely = all_.where(F.col("c") >= share).select("x")
+    rows = likely.count()
+    if rows <= SMALL:
+        kept = all_.join(F.broadcast(likely), "x", "left_semi")
+    else:
+        bits = all_.sparkSession.sparkContext.broadcast(bit_array(likely, "x", bits_for(rows)))
+
+        @F.arrow_udf(T.BooleanType())
+        def is_likely(x: pa.Array) -> pa.Array:
+            return pa.array(holds(bits.value, x.to_numpy().view(np.uint64)))
+
+        kept = all_.where(is_likely("x"))
     per_scan = [F.sum(F.when(F.col("ago") == i, F.col("c")).otherwise(0)) for i in range(len(counted))]
     return kept.groupBy("key").agg(F.array(*per_scan).alias("by_scan"), F.sum("c").alias("total")).where(F.col("total") >= least)
 

@@ -63,8 +63,10 @@ def test_equals_counting_everything(documents, shards):
 
 
 def test_full_bit_arrays_change_nothing(documents, monkeypatch):
+    """And nothing is broadcast or collected, as with very many phrases."""
     monkeypatch.setattr(collocations, "bits_for", lambda rows: collocations.BITMAP)
     monkeypatch.setattr(collocations, "holds", lambda bits, hashes: np.ones(len(hashes), bool))
+    monkeypatch.setattr(collocations, "SMALL", -1)
     docs = documents(corpus(7, 40))
     want = brute([(r["lang"], r["text"]) for r in docs.collect()], 3)
     assert found(docs, least=3, first=9, covered=60) == brute([(r["lang"], r["text"]) for r in docs.collect()], 3, covered=60, first=9)
