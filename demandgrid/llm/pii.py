@@ -1,7 +1,9 @@
 """Personal data replaced by surrogates of the same kind.
 
 An entity is a kind and a value in a normal form (digits of a number, an address in lower
-case), so the same entity is replaced alike wherever it stands. A surrogate is drawn from a
+case), so the same entity is replaced alike wherever it stands. Names are found after a
+title or as a listed given name before a capitalised word; every further mention of a name
+found in a document, alone or in part, is the same entity. A surrogate is drawn from a
 keyed hash of the entity and an attempt number, and keeps the format: letters stay letters
 of their script and case, digits digits, card numbers pass their check digit, given names
 keep gender and script. Attempt 0 serves nearly all. The distinct entities are checked
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -36,24 +39,61 @@ NAMES = {
     ("greek", "f"): "Αθηνά Ελένη Ειρήνη Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Νίκος Παύλος".split(),
 }
-TITLES = {"f": "Mrs Ms Miss Madame Mme Frau Señora Sra Госпожа Κυρία".split(), "m": "Mr Monsieur Herr Señor Sr Господин Κύριος".split()}
+TITLES = {
+    "f": "Mrs Ms Miss Madame Mme Frau Señora Sra Госпожа Κυρία".split(),
+    "m": "Mr Monsieur Herr Señor Sr Господин Κύριος".split(),
+    "u": "Dr Prof Professor Доктор Профессор".split(),
+}
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
+# Parts that names are built from, by script: beginnings, middles, endings of family and of given names by gender.
+PARTS = {
+    "latin": ("ald bar brem cal dor eld far gar hal hold kel lam lor mar mel nor ost pell ras rol sal stan tal tor ulm val wal wen".split(), "a el en er i in o ol or u".split()),
+    "cyrillic": ("бел вол гор дем жар зим кал кор лес мор нов ор пет род сав тар ул чер".split(), "ан ел ен ик ин ов ол ор".split()),
+    "greek": ("αλ βασ γαλ δαν ζερ θεμ καλ λαμπ μαρ νικ παπ ροδ σταμ τριαντ φιλ χατζ".split(), "αν ελ ερ ιν ον ορ".split()),
+}
+FAMILY = {
+    ("latin", "u"): "berg don feld ford gren ham hart ini ley lund man mark mont nes rand sen son stein ter ton vale well wick wood".split(),
+    ("cyrillic", "m"): "ев енко ин ов ский".split(),
+    ("cyrillic", "f"): "ева енко ина ова ская".split(),
+    ("greek", "m"): "άκης έας ίδης όπουλος".split(),
+    ("greek", "f"): "άκη έα ίδου οπούλου".split(),
+}
+GIVEN = {
+    ("latin", "f"): "a ella ette ina ine issa".split(),
+    ("latin", "m"): "ard en in o on us".split(),
+    ("cyrillic", "f"): "ана ина ия".split(),
+    ("cyrillic", "m"): "ан ей ир ислав".split(),
+    ("greek", "f"): "ία ίνα ούλα".split(),
+    ("greek", "m"): "ας ης ος".split(),
+}
+
 GENDER = {name: key for key, names in NAMES.items() for name in names}
 TITLE = {t: g for g, ts in TITLES.items() for t in ts}
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _EMAIL = r"[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
+_TITLES = "|".join(sorted(TITLE))
+_LISTED = "|".join(sorted(GENDER))
+_CAPITAL = r"[^\W\d_a-zа-яα-ω]"
+_FAMILY = rf"(?={_CAPITAL}(?:[^\W\d_]|['’])){_WORD}"
 PATTERN = re.compile(
-    rf"(?P<email>{_EMAIL})"
+    r"://(?P<login>[^\s/:@]+:[^\s/@]+)(?=@)"
+    rf"|(?P<email>{_EMAIL})"
     r"|\b(?P<label>(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_\-]{12,})"
-    r"|\b(?P<access>AKIA[A-Z0-9]{16})\b"
+    r"|\b(?P<access>AKIA[A-Z0-9]{16}\b|(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-)[A-Za-z0-9_\-]{16,})"
+    r"|\b(?P<iban>[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"
+    r"|(?<![\w:.])(?P<ip6>(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4})(?![\w:])"
     r"|(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)"
+    r"|(?<![\w\-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w]|-\d)"
     r"|(?<!\w)(?P<phone>(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\-]\d{4}|\+\d{1,3}(?:[ .\-]?\(\d{2,4}\))?(?:[ .\-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4})(?!\w|[.\-]\d)"
     r"|(?<![\w.])(?P<card>\d(?:[ \-]?\d){12,18})(?!\w|\.\d)"
-    rf"|\b(?P<title>{'|'.join(sorted(TITLE))})\.?\s+(?P<name>(?!{_EMAIL}){_WORD}(?:\s+(?!{_EMAIL}|(?:{'|'.join(sorted(TITLE))})\b)[^\W\d_a-zа-яα-ω]{_WORD})?)"
+    rf"|\b(?P<title>{_TITLES})\.?\s+(?P<name>(?!{_EMAIL}){_WORD}(?:\s+(?!{_EMAIL}|(?:{_TITLES})\b){_FAMILY})?)"
+    rf"|\b(?P<full>(?:(?:{_LISTED})\s+)+(?!{_EMAIL}|(?:{_TITLES})\b){_FAMILY})"
 )
+KINDS = ("login", "email", "secret", "access", "iban", "ip6", "ip", "ssn", "phone", "card", "name", "full")
 #: What every entity has: without one of these a text has none.
-HINT = re.compile(rf"[0-9@]|(?i:passw|pwd|secret|token|key)|\b(?:{'|'.join(sorted(TITLE))})\b")
+HINT = re.compile(rf"[0-9@]|(?i:passw|pwd|secret|token|key)|\b(?:{_TITLES}|{_LISTED})\b")
+_MENTION = re.compile(_WORD)
 
 
 def check_digit(digits: str) -> str:
@@ -65,11 +105,51 @@ def check_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def iban_digits(value: str) -> str:
+    """The check digits of an account number (ISO 13616), whatever stands in their place."""
+    number = "".join(str(int(c, 36)) for c in value[4:] + value[:2] + "00")
+    return f"{98 - int(number) % 97:02d}"
+
+
+def _mentions(text: str, out: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """``out`` with every further mention of the names in it, in order.
+
+    A mention is the word in capitals or with a capital first, also as part of a compound or before a possessive. A word that the
+    text has in lower case too is an ordinary word: it is a name only where it was found. A given name whose title
+    leaves the gender open takes the one that the text shows elsewhere.
+    """
+    names: dict[str, str] = {}
+    for *_, kind, value in out:
+        if kind == "family" or kind.startswith("given") and names.get(value, "family") in ("family", "given-u"):
+            names.setdefault(value, kind) if kind == "family" else names.update({value: kind})
+    if not names:
+        return out
+    words, ordinary = [], set()
+    for m in _MENTION.finditer(text):
+        word, at = m[0], m.start()
+        parts = [(at, word)] if word.lower() in names else [(at + p.start(), p[0]) for p in re.finditer(r"[^-'’]+", word)]
+        for start, part in parts:
+            if (low := part.lower()) in names:
+                if part[0].islower():
+                    ordinary.add(low)
+                else:
+                    words.append((start, start + len(part), low))
+    done = [(s, e, names[v] if k == "given-u" else k, v) for s, e, k, v in out]
+    taken, i = [], 0
+    for start, end, low in words:
+        while i < len(out) and out[i][1] <= start:
+            i += 1
+        if low not in ordinary and (i == len(out) or end <= out[i][0]):
+            taken.append((start, end, names[low], low))
+    return sorted(done + taken)
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form), in order.
 
-    An address is four numbers up to 255; a card has a valid check digit; a name follows a title
-    and has a capitalised word. Three, three and four digits with spaces between are a phone.
+    An address is four numbers up to 255, or a version 6 address of three groups or more; a card, an account number has
+    valid check digits; a name follows a title and has a capitalised word, or is a listed given name and a capitalised
+    word. Three, three and four digits with spaces between are a phone.
     """
     out = []
     if not HINT.search(text):
@@ -78,14 +158,38 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     at, no_card = 0, 0
     while m := PATTERN.search(text, at):
         at = m.end()
-        kind = next(k for k in ("email", "secret", "access", "ip", "phone", "card", "name") if m[k])
+        kind = next(k for k in KINDS if m[k])
         start, end = m.span(kind)
         value = m[kind]
         if kind == "email":
             value = value.lower()
+        elif kind == "access":
+            if not re.search(r"\d", value):
+                at = start + 1
+                continue
+        elif kind == "iban":
+            # Words in capitals may follow: the longest beginning with valid check digits counts.
+            while (value := re.sub(" ", "", text[start:end])) and len(value) >= 15 and iban_digits(value) != value[2:4]:
+                end = max(start, text.rfind(" ", start, end))
+            at = end
+            if len(value) < 15:
+                at = start + 1
+                continue
+        elif kind == "ip6":
+            try:
+                if len(re.findall(r"[^:]+", value)) < 3 or not re.search(r"\d", value):
+                    raise ValueError(value)
+                value = ipaddress.IPv6Address(value).exploded
+            except ValueError:
+                at = start + 1
+                continue
         elif kind == "ip":
             if any(int(p) > 255 for p in value.split(".")):
                 continue
+        elif kind == "ssn":
+            value = value.replace("-", "")
+            if value[:3] in ("000", "666") or value[0] == "9" or value[3:5] == "00" or value[5:] == "0000":
+                continue
         elif kind in ("phone", "card"):
             value = re.sub(r"\D", "", value)
             if kind == "card" and (start < no_card or check_digit(value[:-1]) != value[-1]):
@@ -94,22 +198,25 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "phone" and not 9 <= len(value) <= 15:
                 continue
-        elif kind == "name":
+        elif kind in ("name", "full"):
             words = [w for w in value.split() if not w[0].islower()]
             if not words:
                 at = m.end("title")
                 continue
             end = start + value.index(words[-1]) + len(words[-1])
+            titled = TITLE[m["title"]] if kind == "name" else GENDER[words[0]][1]
             for word in text[start:end].split():
                 first = text.index(word, start)
+                # A family name before a possessive is the name alone.
+                bare = re.sub(r"['’]s$", "", word)
                 # The title names the gender of a given name that is not in the lists.
-                given = word == words[0] and len(words) > 1 or word in GENDER
-                gender = GENDER.get(word, ("", TITLE[m["title"]]))[1]
-                out.append((first, first + len(word), f"given-{gender}" if given else "family", word.casefold()))
+                given = word == words[0] and len(words) > 1 or bare in GENDER
+                gender = GENDER.get(bare, ("", titled))[1]
+                out.append((first, first + len(bare), f"given-{gender}" if given else "family", bare.lower()))
                 start = first + len(word)
             continue
         out.append((start, end, kind, value))
-    return out
+    return _mentions(text, out)
 
 
 def _script(c: str) -> str:
@@ -149,11 +256,23 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
     """The normal form of the surrogate of an entity in normal form."""
     s = Stream(key, kind, value, str(attempt))
     if kind == "email":
+        # With many short addresses a longer name keeps surrogates distinct.
         name, _, domain = value.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_like(name, s)}@{_like(host, s)}.{top}"
+        return f"{_like(name + 'a' * (attempt // 4), s)}@{_like(host, s)}.{top}"
+    if kind == "login":
+        return ":".join(_like(p + "a" * (attempt // 4), s) for p in value.split(":"))
     if kind == "ip":
         return ".".join(str(1 + s.below(254)) for _ in range(4))
+    if kind == "ip6":
+        # Groups of zeros stay, others keep their length (any length past some attempts).
+        groups = [g if attempt < 4 else g and "ffff" for g in (g.lstrip("0") for g in value.split(":"))]
+        return ":".join((f"{1 + s.below(15):x}" + "".join(f"{s.below(16):x}" for _ in g[1:]) if g else "0").zfill(4) for g in groups)
+    if kind == "ssn":
+        return f"{(100 + s.below(566)):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
+    if kind == "iban":
+        body = value[:2] + "00" + "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in value[4:])
+        return value[:2] + iban_digits(body) + body[4:]
     if kind == "card":
         body = value[0] + "".join(str(s.below(10)) for _ in value[1:-1])
         return body + check_digit(body)
@@ -161,27 +280,58 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: str = KEY) -> str:
         # The country prefix stays: it is format.
         keep = max(0, len(value) - 10)
         return value[:keep] + "".join(str(s.below(10)) for _ in value[keep:])
-    if kind == "access":
+    if kind == "access" and value.startswith("AKIA"):
         return value[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[s.below(32)] for _ in value[4:])
+    if kind == "access":
+        prefix = re.match("github_pat_|[a-z]+[_-]", value)[0]
+        return prefix + _like(value[len(prefix):], s)
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
         return "".join("0123456789abcdef"[s.below(16)] for _ in value)
     if kind.startswith("given"):
-        names = NAMES[_script(value[0]), kind[-1]]
-        # Past the list, a name of the list with an ending keeps surrogates distinct.
-        name = names[s.below(len(names))]
-        return (name if attempt < 3 else name + _like("a" * attempt, s)).casefold()
+        script, gender = _script(value[0]), "fm"[s.below(2)] if kind[-1] == "u" else kind[-1]
+        # Past the list, names built by rule keep surrogates distinct.
+        if attempt == 0:
+            return NAMES[script, gender][s.below(len(NAMES[script, gender]))].lower()
+        return _built(script, GIVEN[script, gender], attempt, s)
+    if kind == "family":
+        # Parts of one or two letters grow with the attempts: there are few of them.
+        return re.sub("[^-'’]+", lambda m: _family(m[0], attempt, s) if len(m[0]) > 2 else _like(m[0] + "a" * (attempt // 4), s), value)
     return _like(value, s)
 
 
+def _built(script: str, endings: list[str], middles: int, s: Stream) -> str:
+    """A name of a beginning, some middles and an ending; each middle makes many more."""
+    first, middle = PARTS[script]
+    return first[s.below(len(first))] + "".join(middle[s.below(len(middle))] for _ in range(middles)) + endings[s.below(len(endings))]
+
+
+def _family(part: str, attempt: int, s: Stream) -> str:
+    """A family name of the same script, with the ending of the same gender where the script shows it."""
+    script = _script(part[0])
+    feminine = part.endswith(("а", "я")) if script == "cyrillic" else part.endswith(("α", "η", "ου", "ά", "ή"))
+    gender = "u" if script == "latin" else "f" if feminine else "m"
+    return _built(script, FAMILY[script, gender], s.below(2) + attempt, s)
+
+
 def written(kind: str, replacement: str, original: str) -> str:
     """A surrogate in the writing of the original: its separators, its case."""
-    if kind in ("phone", "card"):
+    if kind in ("phone", "card", "ssn"):
         digits = iter(replacement)
         return "".join(next(digits) if c.isdigit() else c for c in original)
+    if kind == "iban":
+        signs = iter(replacement)
+        return "".join(c if c == " " else next(signs) for c in original)
+    if kind == "ip6":
+        groups, new = original.split(":"), replacement.split(":")
+        gap = groups.index("") if "" in groups else len(groups)
+        shown = [new[i] if i < gap else new[i - len(groups)] for i in range(len(groups))]
+        return ":".join(n.lstrip("0").rjust(max(1, len(g)), "0") if g else "" for g, n in zip(groups, shown))
     if kind == "email":
         return "".join(r.upper() if o.isupper() else r for r, o in zip(replacement, original)) if len(replacement) == len(original) else replacement
     if kind.startswith("given") or kind == "family":
-        return replacement.upper() if original.isupper() and len(original) > 1 else replacement[:1].upper() + replacement[1:]
+        if original.isupper() and len(original) > 1:
+            return replacement.upper()
+        return re.sub(r"(^|[-'’])(\w)", lambda m: m[1] + m[2].upper(), replacement)
     return replacement
 
 
@@ -219,14 +369,15 @@ def attempts(known: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, value, attempt, new) of distinct entities (kind, value), such that every ``new`` is one entity's alone and none's value.
 
     Among entities with the same surrogate the one with fewer attempts, then the least value, keeps it.
-    Given names are drawn from short lists: there surrogates may be names of the corpus.
+    Given and family names are one group here: no surrogate of either is a name of the corpus.
     """
     now = stored(_drawn(known.withColumn("attempt", F.lit(0)), key), "surrogates")
-    free = F.col("kind").startswith("given") | (F.col("kind") == "family")
+    group = F.when(F.col("kind").startswith("given") | (F.col("kind") == "family"), "name").otherwise(F.col("kind")).alias("group")
+    real = known.select(group, F.col("value").alias("new"), F.lit(True).alias("real")).distinct()
     while True:
-        first = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "value")).alias("first"))
-        real = known.where(~free).select("kind", F.col("value").alias("new"), F.lit(True).alias("real"))
-        judged = now.join(first, ["kind", "new"]).join(real, ["kind", "new"], "left")
+        grouped = now.select("*", group)
+        first = grouped.groupBy("group", "new").agg(F.min(F.struct("attempt", "value")).alias("first"))
+        judged = grouped.join(first, ["group", "new"]).join(real, ["group", "new"], "left")
         bad = F.col("real").isNotNull() | (F.col("first.value") != F.col("value"))
         judged = stored(judged.select("kind", "value", (F.col("attempt") + bad.cast("int")).alias("attempt"), "new", bad.alias("bad")), "surrogates")
         if judged.where("bad").isEmpty():

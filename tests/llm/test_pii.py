@@ -50,6 +50,53 @@ def test_entities(text, kinds):
     assert [k for *_, k, _ in pii.entities(text)] == kinds
 
 
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("id 123-45-6789, not 000-12-3456, 666-12-3456, 123-00-4567", ["ssn"]),
+        ("DE89 3704 0044 0532 0130 00 PAID and GB82WEST12345698765432, not DE88 3704 0044 0532 0130 00", ["iban", "iban"]),
+        ("2001:db8::8a2e:370:7334, 12:30:45, std::vector, a::b", ["ip6"]),
+        ("ghp_16C7e42F292c6912E7710c838347Ae178B4a but sk-words-joined-by-many-hyphens", ["access"]),
+        ("https://bob:hunter2@host.example.com/x", ["login"]),
+        ("Dr. Kim Lee and Mrs Kim Lee", ["given-f", "family"] * 2),
+        ("Karl O'Brien and Anna Weber-Klein, Anna went", ["given-m", "family", "given-f", "family", "given-f"]),
+        ("Mr Brown saw brown bears. Brown too.", ["family"]),
+        ("Mr Jones met Jones's dog, JONES and the Jones-Smith house", ["family"] * 4),
+        ("Anna writes of Maria and a Smith", []),
+    ],
+)
+def test_formats_and_mentions(text, kinds):
+    assert [k for *_, k, _ in pii.entities(text)] == kinds
+
+
+def test_no_mention_of_a_replaced_name_stays():
+    text = "Mr John Smith called. Later Smith left, and John Smith came back. Госпожа Мария Иванова; Иванова."
+    new, _ = pii.replace(text, {}, "key")
+    assert not re.search("John|Smith|Мария|Иванова", new)
+    words = re.findall(r"[^\W_]+", new)
+    assert words[2] == words[5] == words[9] and words[1] == words[8] and words[-1] == words[-2]
+    assert words[-1][-1] in "ая" or words[-1].endswith("енко")
+
+
+def test_formats_of_numbers_stay_valid():
+    text = "123-45-6789, DE89 3704 0044 0532 0130 00, fe80::1ff:fe23:4567:890a, ghp_16C7e42F292c6912E7710c838347Ae178B4a"
+    new, kinds = pii.replace(text, {}, "key")
+    assert [k for *_, k, _ in pii.entities(new)] == kinds == ["ssn", "iban", "ip6", "access"]
+    assert all(a != b for (*_, a), (*_, b) in zip(pii.entities(text), pii.entities(new)))
+    assert [len(x) for x in new.split(", ")] == [len(x) for x in text.split(", ")] and "::" in new
+
+
+def test_names_are_distinct_and_none_of_the_corpus(spark):
+    """More given names than the list has, and family names of two letters, all at once."""
+    given = [("given-f", n.lower()) for n in pii.NAMES["latin", "f"]] + [("given-f", f"zz{chr(97 + i)}") for i in range(26)]
+    family = [("family", chr(97 + i) + chr(97 + j)) for i in range(5) for j in range(26)] + [("family", "halberg"), ("family", "anna")]
+    rows = pii.attempts(spark.createDataFrame(given + family, "kind string, value string")).collect()
+    values = {v for _, v in given + family}
+    news = {(r.kind, r.value): r.new for r in rows}
+    assert len(rows) == len(given + family) and not values & set(news.values())
+    assert len({new for (_, v), new in news.items() if v != "anna"}) == len(news) - 2
+
+
 def test_surrogates_keep_type_and_format():
     text = f"Frau Greta Müller, GRETA@Mail7.example.com, +1 (366) 555-9807, {CARD[:4]}-{CARD[4:8]}-{CARD[8:12]}-{CARD[12:]}, 17.252.227.210, token = \"{SECRET}\", Госпожа Мария Иванова"
     new, kinds = pii.replace(text, {}, "key")

@@ -55,4 +55,4 @@ def test_stages_follow_a_brute_force_version(spark, folder):
 def test_every_operator_has_a_query():
     contract = importlib.import_module("__spark_entry__")
     names = {n.split("_")[0] for n in contract.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in contract.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in contract.queries()
