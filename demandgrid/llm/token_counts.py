@@ -29,7 +29,8 @@ CACHED_WORDS, CACHED_LENGTH = 400_000, 64
 class Vocabulary:
     """Pieces with scores of a sentencepiece file, spaces marked and one mark put before a text.
 
-    The scores are those of the file; a piece of no use as text (control, unused) has its score too.
+    The scores are those of the file. Only normal and user-defined pieces stand for text; control, unknown, unused
+    and byte pieces match nothing, so their names in a text count as the characters they are made of.
     """
 
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True):
@@ -54,7 +55,8 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
-        pieces = [(model.id_to_piece(i), float(model.get_score(i))) for i in range(n)]
+        names = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+        pieces = [(model.id_to_piece(i), float(model.get_score(i))) for i in names]
         return cls(pieces, any(model.is_byte(i) for i in range(n)))
 
     def path_count(self, text: str) -> int:

@@ -42,7 +42,7 @@ NOISY = re.compile(
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 #: Labelled rows to learn from; features need so many toxic rows.
-FIT_ROWS, LEAST_ROWS, LEAST_EVIDENCE, FEATURES = 8000, 4, 6.0, 4000
+FIT_ROWS, LEAST_ROWS, LEAST_EVIDENCE = 8000, 4, 6.0
 CACHED = 300_000
 
 
@@ -174,7 +174,7 @@ def fit(flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, rounds: int =
     strong = np.flatnonzero((with_ >= LEAST_ROWS) & (evidence > LEAST_EVIDENCE))
     if not len(strong) or not clean:
         return {}, base
-    strong = strong[np.lexsort((names[strong], -evidence[strong]))][:FEATURES]
+    strong = strong[np.lexsort((names[strong], -evidence[strong]))]
     at = np.full(len(names), -1, np.int32)
     at[strong] = np.arange(len(strong))
     kept = at[column] >= 0
