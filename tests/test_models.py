@@ -252,3 +252,40 @@ def test_error_beside_that_of_the_mean(series):
     rows = series([("A", "2024-01-01", 2.0), ("A", "2024-01-02", 4.0), ("A", "2024-02-01", 9.0), ("B", "2024-02-01", 1.0)])
     guess = rows.where("file_date > '2024-01-31'").selectExpr("material_key", "actual_value AS actual", "8.0 AS predicted")
     assert tuple(md.against_mean(rows, guess, "2024-01-31").first()) == (1, 1.0, 6.0)
+
+
+def test_first_trials_of_a_search_are_fitted_once(table, monkeypatch):
+    """Their early losses come from the first trees of the whole model."""
+    made, kept = [], md._fit
+    monkeypatch.setattr(md, "_fit", lambda *a, **k: made.append(a[5]["maxIter"]) or kept(*a, **k))
+    md.search(table, "2024-03-31", {"maxDepth": Range(1, 3, whole=True), "stepSize": Range(0.1, 0.5)}, trials=2, max_iter=4).collect()
+    assert made == [4, 4]
+
+
+@pytest.mark.parametrize("rate", [1.0, 0.6])
+def test_first_trees_are_those_of_a_shorter_fit(table, rate):
+    features = md.training_features(table)
+    rows = md.training_table(table, features, "2024-02-29", "2024-03-31")
+    period, params = ("2024-03-01", "2024-03-31"), {"maxDepth": 2, "subsamplingRate": rate}
+    few, many = (md._fit(rows, "2024-02-29", period, features, (), {**params, "maxIter": n}) for n in (1, 4))
+    due = rows.filter("file_date > '2024-02-29' AND label > 0")
+    assert md._rmse_of_first(many.model, due, 1) == pytest.approx(few.metrics.first()["rmse"])
+    assert md._rmse_of_first(many.model, due, 4) == pytest.approx(many.metrics.first()["rmse"])
+
+
+def test_written_vectors_give_the_same_model(table):
+    features = md.training_features(table)
+    rows = md.training_table(table, features, "2024-02-29", "2024-03-31")
+    vectors = md.training_vectors(rows, "2024-02-29", features)
+    period = ("2024-03-01", "2024-03-31")
+    one, other = (md._fit(rows, "2024-02-29", period, features, (), {"maxIter": 2, "maxDepth": 2}, vectors=v) for v in (None, vectors))
+    assert one.model.stages[-1].toDebugString.split("\n")[1:] == other.model.stages[-1].toDebugString.split("\n")[1:]
+
+
+@pytest.mark.parametrize("allowed, most", [(10**9, 4), (1, 1)])
+def test_trials_at_once_are_bounded_by_rows(table, monkeypatch, allowed, most):
+    asked, kept = [], md.concurrently
+    monkeypatch.setattr(md, "ROWS_AT_ONCE", allowed)
+    monkeypatch.setattr(md, "concurrently", lambda spark, work, n=4: asked.append(n) or kept(spark, work, n))
+    assert md.tune(table, "2024-02-29", {"maxDepth": [1, 2], "maxIter": [1]}).count() == 2
+    assert asked == [most]
