@@ -12,9 +12,11 @@ value, so that values that lie close together (ratios near 1, prices around one
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandgrid.schema import ALL
@@ -101,6 +103,56 @@ def _counted(rows: DataFrame, brackets: DataFrame, by: Sequence[str], n: int) ->
     return kept.groupBy(*by, "_region", "_v").agg(F.count(F.lit(1)).alias("_n"))
 
 
+def _counted_by_column(wide: DataFrame, brackets: DataFrame, feature: str, n: int) -> DataFrame:
+    """``_counted`` for the columns of a wide table, named in ``feature``.
+
+    Each task counts whole batches, column by column, so that a row per region and distinct value inside a
+    bracket leaves a batch, instead of a row per value being joined and hashed.
+    """
+    names = wide.columns
+    # As many rows as there are columns.
+    bounds = {r[feature]: [(r[f"_lo{i}"], r[f"_hi{i}"]) for i in range(n)] for r in brackets.collect()}
+    limits = [
+        [(-np.inf if lo is None else lo, np.inf if hi is None else hi, hi is None) for lo, hi in bounds.get(c, ())] for c in names
+    ]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for c, around in enumerate(limits):
+                x = batch.column(c).drop_null().to_numpy(zero_copy_only=False)
+                if not len(x) or not around:
+                    continue
+                # Spark takes NaN for the largest value: inside a bracket only where that has no upper bound.
+                nan = np.isnan(x)
+                x = x + 0.0
+                region, inside = np.zeros(len(x), np.int32), np.zeros(len(x), bool)
+                for lo, hi, open_ in around:
+                    low, high = (x >= lo) | nan, (x <= hi) | (nan & open_)
+                    region += low.astype(np.int32) + ~high
+                    inside |= low & high
+                for r, k in zip(*np.unique(region[~inside], return_counts=True)):
+                    parts.append((c, np.array([r]), np.array([0.0]), np.array([k]), np.array([True])))
+                for r in np.unique(region[inside]):
+                    v, k = np.unique(x[inside & (region == r)], return_counts=True)
+                    parts.append((c, np.full(len(v), r), v, k, np.zeros(len(v), bool)))
+            if parts:
+                number = np.concatenate([np.full(len(p[1]), p[0]) for p in parts])
+                r, v, k, outside = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
+                arrays = [pa.array(number, pa.int32()), pa.array(r, pa.int32()), pa.array(v, pa.float64(), mask=outside), pa.array(k, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["c", "_region", "_v", "_n"])
+
+    labels = F.array(*[F.lit(c) for c in names])
+    counts = wide.mapInArrow(count, "c int, _region int, _v double, _n long").groupBy("c", "_region", "_v").agg(F.sum("_n").alias("_n"))
+    return counts.select(F.get(labels, F.col("c")).alias(feature), "_region", "_v", "_n")
+
+
+def quantiles_by_column(wide: DataFrame, named: Mapping[str, float], feature: str = "feature") -> DataFrame:
+    """``quantile_columns`` of each column of a written table of doubles: one row per column that has a value."""
+    long = wide.unpivot([], wide.columns, feature, "_x")
+    return quantile_columns(long, "_x", named, [feature], written=True, count=lambda brackets, n: _counted_by_column(wide, brackets, feature, n))
+
+
 def quantile_columns(
     df: DataFrame,
     value: str,
@@ -108,12 +160,14 @@ def quantile_columns(
     by: Sequence[str] = (),
     overall_of: str | None = None,
     written: bool = False,
+    count: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per group with a column per wanted quantile, exact and linearly interpolated.
 
     Rows with a NULL group or value do not count. ``overall_of`` names one of ``by``; groups with that
     column set to ``all`` are added. The table is evaluated once, unless it is ``written`` already and cheap to
-    read. Runs its jobs when called; only the last one is left to the reader of the result.
+    read. ``count`` may count what ``_counted`` does in a way that suits the table. Runs its jobs when called; only
+    the last one is left to the reader of the result.
     """
     by = list(by)
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, value]])
@@ -130,7 +184,8 @@ def quantile_columns(
     brackets = materialise(_brackets(sketches, by, ps), "quantile-brackets")
     coarse = counts = None
     for bounds in (brackets, brackets.select(*by, *[F.lit(None).cast("double").alias(c) for c in brackets.columns if c not in by])):
-        counts = _counted(rows, _few(bounds), by, len(ps)).withColumn("_c", F.when(F.col("_v").isNotNull(), _code(F.col("_v"))))
+        counted = count(bounds, len(ps)) if count else _counted(rows, _few(bounds), by, len(ps))
+        counts = counted.withColumn("_c", F.when(F.col("_v").isNotNull(), _code(F.col("_v"))))
         bin_ = F.struct("_region", F.shiftright("_c", _COARSE).alias("bits"))
         counts = materialise(counts.withColumn("_bin", bin_), "quantile-counts")
         bins = counts.groupBy(*by, "_bin").agg(F.sum("_n").alias("_n"))

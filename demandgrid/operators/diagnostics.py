@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from demandgrid.functions.numeric import numeric_columns
-from demandgrid.functions.quantiles import quantile_columns
+from demandgrid.functions.quantiles import quantiles_by_column
 from demandgrid.session import materialise
 
 # Fixed values of the data model.
@@ -50,7 +50,8 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     """Moments, extremes, exact median and missing / zero rates per column."""
     names = list(cols or numeric_columns(df))
     # Written once, column by column; the passes unpivot what they read.
-    long = _long(materialise(df.select(*[F.col(c).cast("double").alias(c) for c in names]), "profiled"), names)
+    wide = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in names]), "profiled")
+    long = _long(wide, names)
     profile = long.groupBy("feature").agg(
         F.avg("_x").alias("mean"),
         F.stddev_samp("_x").alias("std"),
@@ -61,7 +62,7 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         _missing_rate().alias("missing_rate"),
         F.avg(F.when(F.col("_x") == 0, 1.0).otherwise(0.0)).alias("zero_rate"),
     )
-    return profile.join(quantile_columns(long, "_x", {"median": 0.5}, ["feature"], written=True), "feature", "left")
+    return profile.join(quantiles_by_column(wide, {"median": 0.5}), "feature", "left")
 
 
 def profile_flags(profile: DataFrame) -> DataFrame:

@@ -85,3 +85,29 @@ def test_codes_keep_the_order(spark, values):
     rows = spark.createDataFrame([(float(v),) for v in values + edges], "x double").select("x", qt._code(F.col("x")).alias("c"))
     codes = [r.c for r in sorted(rows.collect(), key=lambda r: r.x)]
     assert codes == sorted(codes) and None not in codes
+
+
+def test_columns_of_a_wide_table_equal_the_general_way(spark, monkeypatch):
+    """Ties, NULL, NaN, infinities and a column without values; also where a bracket misses its rank."""
+    wide = spark.range(30_000, numPartitions=5).selectExpr(
+        "cast(id % 7919 AS double) AS a",
+        "IF(id % 5 = 0, id * 0.37D, 0.0D) AS b",
+        "IF(id % 3 = 0, NULL, -id / 7) AS c",
+        "CASE WHEN id % 4 = 0 THEN double('NaN') WHEN id % 97 = 1 THEN -double('inf') WHEN id % 89 = 2 THEN double('inf') ELSE id * 1.5 END AS d",
+        "cast(NULL AS double) AS e",
+    )
+    ps = {"lo": 0.01, "m": 0.5, "hi": 0.7}
+    long = wide.unpivot([], wide.columns, "feature", "_x")
+    for margin in (qt._MARGIN, -0.01):
+        monkeypatch.setattr(qt, "_MARGIN", margin)
+        want = {r.feature: tuple(r) for r in qt.quantile_columns(long, "_x", ps, ["feature"]).collect()}
+        got = {r.feature: tuple(r) for r in qt.quantiles_by_column(wide, ps).collect()}
+        assert got == want and set(got) == set("abcd")
+
+
+def test_values_of_a_wide_table_are_not_shuffled(spark):
+    """A batch leaves a row per region, and one per distinct value inside a bracket."""
+    wide = spark.range(40_000, numPartitions=4).selectExpr("cast(id AS double) AS a")
+    brackets = spark.createDataFrame([("a", 19_990.0, 20_010.0)], "feature string, _lo0 double, _hi0 double")
+    counts = {(r._region, r._v): r._n for r in qt._counted_by_column(wide, brackets, "feature", 1).collect()}
+    assert counts == {(0, None): 19_990, (2, None): 19_989} | {(1, float(v)): 1 for v in range(19_990, 20_011)}
