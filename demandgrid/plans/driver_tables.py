@@ -16,6 +16,7 @@ from demandgrid.operators import features as ft
 from demandgrid.operators import metrics as mt
 from demandgrid.operators import prepare as pp
 from demandgrid.schema import ACTUAL, DATE, KEY, PRED_DATE, PREDICTED, SEGMENT, STORE, VALUE
+from demandgrid.session import spread
 from demandgrid.sources.readers import normalise
 
 TRAIN_END = "2000-12-31"
@@ -55,7 +56,8 @@ class DriverTables:
     @cached_property
     def material_store_daily(self) -> DataFrame:
         """Material x store x day with the store's segment."""
-        daily = self.raw.groupBy(KEY, STORE, DATE).agg(F.sum(VALUE).alias(VALUE))
+        # Nearly every line is a group of its own.
+        daily = spread(self.raw, KEY, STORE, DATE).groupBy(KEY, STORE, DATE).agg(F.sum(VALUE).alias(VALUE))
         return daily.join(self.stores, STORE)
 
     @cached_property

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 K, V = TypeVar("K"), TypeVar("V")
 
+#: Rows of a task of ``spread``, on average.
+ROWS_PER_TASK = 500_000
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -102,6 +105,18 @@ def release() -> None:
         _delete(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt by hash of ``by`` to tasks of about ``ROWS_PER_TASK``, where a task a core would get more than that.
+
+    A group-by after it needs no other exchange. AQE sizes tasks by compressed bytes and merges them down to one a core, so that the
+    hash table of a task over many small groups grows with the table. Counts the rows: meant for tables read from files.
+    """
+    rows = df.count()
+    if rows <= ROWS_PER_TASK * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(-(-rows // ROWS_PER_TASK), *by)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Gives iterative fits a checkpoint folder unless the session has one."""
     if spark.sparkContext.getCheckpointDir() is None:
