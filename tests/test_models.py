@@ -289,3 +289,28 @@ def test_trials_at_once_are_bounded_by_rows(table, monkeypatch, allowed, most):
     monkeypatch.setattr(md, "concurrently", lambda spark, work, n=4: asked.append(n) or kept(spark, work, n))
     assert md.tune(table, "2024-02-29", {"maxDepth": [1, 2], "maxIter": [1]}).count() == 2
     assert asked == [most]
+
+
+def test_flags_that_repeat_are_left_out(spark, monkeypatch):
+    """Constant ones, and those equal to an earlier flag on every row; also beyond the flags of one mask."""
+    names = [f"{n}_missing" for n in "abcdef"]
+    rows = spark.createDataFrame([(5.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0), (5.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0)], ["x", *names])
+    inputs = ["x", *names]
+    assert md.tree_inputs(rows, inputs) == ["x", "a_missing", "e_missing"]
+    monkeypatch.setattr(md, "FLAGS_AT_ONCE", 3)
+    assert md.tree_inputs(rows, inputs) == ["x", "a_missing", "d_missing", "e_missing"]
+    assert md.tree_inputs(rows.limit(0), inputs) == inputs and md.tree_inputs(rows, ["x"]) == ["x"]
+
+
+def test_trees_without_repeated_flags_are_the_same(table):
+    features = md.training_features(table)
+    rows = md.training_table(table, features, "2024-02-29", "2024-03-31")
+    inputs, period = md.model_inputs(rows, features), ("2024-03-01", "2024-03-31")
+    fit = md._fit(rows, "2024-02-29", period, features, (), {"maxIter": 4, "maxDepth": 4})
+    assert len(fit.model.stages[0].getInputCols()) < len(inputs)
+    whole = md._assembled(inputs, maxIter=4, maxDepth=4).fit(rows.filter("file_date <= '2024-02-29'"))
+    told = {r.feature: r.importance for r in fit.importance.collect()}
+    assert list(told) == inputs and list(told.values()) == list(whole.stages[-1].featureImportances.toArray())
+    due = rows.filter("file_date > '2024-02-29' AND label > 0").orderBy("material_key", "file_date")
+    one, other = ([r.predicted for r in m.transform(due).collect()] for m in (fit.model, whole))
+    assert one == other and len(one) > 0
