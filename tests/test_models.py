@@ -314,3 +314,13 @@ def test_trees_without_repeated_flags_are_the_same(table):
     due = rows.filter("file_date > '2024-02-29' AND label > 0").orderBy("material_key", "file_date")
     one, other = ([r.predicted for r in m.transform(due).collect()] for m in (fit.model, whole))
     assert one == other and len(one) > 0
+
+
+@pytest.mark.parametrize("allowed, most", [(10**9, 4), (1, 1)])
+def test_segments_at_once_are_bounded_by_rows(table, monkeypatch, allowed, most):
+    asked, kept = [], md.concurrently
+    monkeypatch.setattr(md, "ROWS_AT_ONCE", allowed)
+    monkeypatch.setattr(md, "concurrently", lambda spark, work, n=4: asked.append(n) or kept(spark, work, n))
+    predictions, fits = md.fit_by_segment(table, "2024-02-29", **SMALL)
+    assert set(fits) == {"business", "household"} and predictions.count() > 0
+    assert asked == [most]
