@@ -16,6 +16,11 @@ ROWS_PER_BUCKET = 1000
 #: Bytes of the rows that a Python worker gets at once, unless a single row is larger.
 BATCH_BYTES = 2 << 20
 
+#: Bits of a bit array per entry, and the fewest and most bits: beyond that, more is hit in vain.
+BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+#: Bits of one bitmap of Spark's bitmap functions.
+BITMAP = 32768
+
 _written: list[str] = []
 
 
@@ -65,6 +70,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bits_for(rows: int) -> int:
+    return min(MOST_BITS, max(FEWEST_BITS, 1 << math.ceil(math.log2(max(1, rows * BITS_EACH)))))
+
+
+def marked(rows: DataFrame, hash_: Column, among: DataFrame, name: str) -> DataFrame:
+    """Adds the boolean ``name``: false only where ``hash_`` is not in the one column of hashes of ``among``.
+
+    A wrong hit is possible, so an exact join has to follow; it then moves the rows that hit, not all. Every
+    task gets a bit array of at most ``MOST_BITS`` bits. ``among`` is read twice: a stored table.
+    """
+    bits = bits_for(among.count())
+    at = among.select(F.col(among.columns[0]).bitwiseAND(bits - 1).alias("p"))
+    maps = at.groupBy(F.expr(f"p div {BITMAP}").alias("_block")).agg(F.expr(f"bitmap_construct_agg(p % {BITMAP})").alias("_map"))
+    placed = rows.withColumn("_p", hash_.bitwiseAND(bits - 1)).withColumn("_block", F.expr(f"_p div {BITMAP}"))
+    byte = F.conv(F.hex(F.expr(f"substring(_map, cast(_p % {BITMAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_byte, cast(_p % 8 as int))").bitwiseAND(1) == 1, F.lit(False))
+    found = placed.join(F.broadcast(maps), "_block", "left").withColumn("_byte", byte).withColumn(name, hit)
+    return found.drop("_p", "_block", "_map", "_byte")
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the documents that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandgrid.llm.common import pick, stored
+from demandgrid.llm.common import marked, pick, stored
 from demandgrid.llm.shingling import WORDS, mixed, shingle_set
 
 THRESHOLD, TOLERANCE = 0.8, 1e-6
@@ -102,16 +102,22 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def leaders(texts: DataFrame) -> DataFrame:
-    """(tid, leaders): of each text the least keys of the buckets it shares with another text."""
-    bands = texts.select("tid", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("tid").alias("leader"), F.max("tid").alias("_last")).where("leader < _last")
-    met = bands.join(shared.select("key", "leader"), "key").select("tid", "leader")
-    return met.groupBy("tid").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    """(tid, doc_id, copies, n, sig, leaders) of the texts that share a bucket: the least text keys of these buckets, as 64-bit hashes.
+
+    Of equal hashes, two buckets share a leader: more pairs meet, none is missed.
+    """
+    bands = texts.select(F.xxhash64("tid").alias("t"), F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("t").alias("leader"), F.count("*").alias("m")).where("m > 1")
+    shared = stored(shared.select("key", "leader"), "buckets")
+    # Most buckets hold one text; those do not move again.
+    again = marked(bands, F.col("key"), shared.select("key"), "_hit").where("_hit").drop("_hit")
+    own = again.join(shared, "key").groupBy("t").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    return texts.drop("bands").withColumn("t", F.xxhash64("tid")).join(own, "t").drop("t")
 
 
-def cells(texts: DataFrame, led: DataFrame, bodies: DataFrame) -> DataFrame:
+def cells(led: DataFrame, bodies: DataFrame) -> DataFrame:
     """The texts of each cell (leader, i, j), i <= j: chunk, tid, copies, sig, text, leaders."""
-    member = led.join(texts.select("tid", "copies", "n", "sig"), "tid").withColumn("leader", F.explode("leaders"))
+    member = led.drop("doc_id").withColumn("leader", F.explode("leaders"))
     size = member.groupBy("leader").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     chunks = F.ceil(F.greatest(F.col("m") / CHUNK_TEXTS, F.col("total") / CHUNK_SHINGLES)).cast("int")
     dealt = member.join(size.select("leader", chunks.alias("chunks")), "leader")
@@ -122,9 +128,9 @@ def cells(texts: DataFrame, led: DataFrame, bodies: DataFrame) -> DataFrame:
     return dealt.select("leader", i, j, "chunk", "tid", "copies", "sig", "text", "leaders")
 
 
-def _counted_before(leader: bytes, lists: list[list[bytes]]) -> np.ndarray | None:
+def _counted_before(leader: int, lists: list[list[int]]) -> np.ndarray | None:
     """Which of the texts have which leaders less than this one: two texts that share one met there."""
-    columns: dict[bytes, int] = {}
+    columns: dict[int, int] = {}
     places = [(r, columns.setdefault(x, len(columns))) for r, own in enumerate(lists) for x in own if x < leader]
     if not columns:
         return None
@@ -239,16 +245,18 @@ def join_documents(docs: DataFrame, threshold: float = THRESHOLD, tolerance: flo
     rows = pick(docs, "doc_id", "text")
     texts = stored(features(rows), "texts")
     led = stored(leaders(texts), "leaders")
-    wanted = led.join(texts, "tid").select("tid", "doc_id")
+    wanted = led.select("tid", "doc_id")
     keyed = rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tid"), "text")
-    first = keyed.join(wanted, (keyed["tid"] == wanted["tid"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    # Only texts that may be wanted move to the join; most have no candidates.
+    hit = marked(keyed, F.xxhash64("tid", "doc_id"), wanted.select(F.xxhash64("tid", "doc_id")), "_hit").where("_hit").drop("_hit")
+    first = hit.join(wanted, (hit["tid"] == wanted["tid"]) & hit["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     bodies = first.groupBy("tid").agg(F.first("text").alias("text"))
     limits = least_matches(threshold, tolerance, BANDS * BAND_VALUES, STEP_VALUES)
 
     def link(cell: pd.DataFrame) -> pd.DataFrame:
         return cell_links(cell, threshold, limits)
 
-    found = cells(texts, led, bodies).groupBy("leader", "i", "j").applyInPandas(link, "tid binary, links long, near binary")
+    found = cells(led, bodies).groupBy("leader", "i", "j").applyInPandas(link, "tid binary, links long, near binary")
     found = stored(found, "links")
     roots = components(found.select(F.col("tid").alias("a"), F.col("near").alias("b")))
     links = found.groupBy("tid").agg(F.sum("links").alias("others"))
@@ -271,11 +279,14 @@ def first_of_classes(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each class; all columns stay. Of repeated rows one stays, too."""
     judged = join_documents(docs).select("doc_id", "tid", "is_first")
     judged = judged.groupBy("doc_id", "tid").agg(F.first("is_first").alias("is_first"), F.count("*").alias("rows"))
-    judged = stored(judged.where("not is_first or rows > 1").withColumn("is_first", F.col("is_first") & F.col("tid").isNotNull()), "dropped")
+    judged = stored(judged.where("not is_first or rows > 1"), "dropped")
     keyed = docs.withColumn("_tid", F.unhex(F.md5(F.col("text").cast("binary"))))
+    # Documents that are surely neither dropped nor repeated stay where they are; only the others move.
+    keyed = marked(keyed, F.xxhash64("doc_id", "_tid"), judged.select(F.xxhash64("doc_id", "tid")), "_hit")
     gone = judged.where("not is_first").withColumnsRenamed({"doc_id": "_d", "tid": "_t"})
-    same = keyed["doc_id"].eqNullSafe(gone["_d"]) & keyed["_tid"].eqNullSafe(gone["_t"])
-    kept = keyed.join(gone.where("_t is not null"), same, "left_anti")
+    hit = keyed.where("_hit")
+    same = hit["doc_id"].eqNullSafe(gone["_d"]) & hit["_tid"].eqNullSafe(gone["_t"])
+    kept = hit.join(gone, same, "left_anti")
     if not judged.where("is_first").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_tid"])
-    return kept.drop("_tid")
+    return keyed.where("not _hit").unionByName(kept).drop("_tid", "_hit")

@@ -2,8 +2,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from demandgrid.llm import jaccard
+from demandgrid.llm.common import marked
 from demandgrid.llm.shingling import shingle_set, word_hashes
 
 
@@ -130,3 +132,35 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(60)] + [(b"\xf0", b"\xf1")], "a binary, b binary")
     got = {bytes(r.tid): bytes(r.root) for r in jaccard.components(edges).collect()}
     assert got == {bytes([i]): b"\0" for i in range(1, 61)} | {b"\xf1": b"\xf0"}
+
+
+def test_texts_without_candidates_do_not_move(spark, documents, prose):
+    """Neither where bodies are fetched nor where copies are dropped, also when nothing is small enough to broadcast."""
+    rows = [*corpus(prose, 20), *((1000 + i, prose(200 + i, 40)) for i in range(50))]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.first_of_classes(documents([*rows, rows[0]]))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        stays, moves = plan[plan.index("Union") :].split("Scan", 1)
+        assert "BroadcastHashJoin" in stays and "hashpartitioning" not in stays.split("BroadcastExchange")[0]
+        assert "hashpartitioning" in moves
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute_force(rows)})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_marks_miss_nothing(spark):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("h"), "id")
+    some = rows.where("id % 4 = 0").select("h")
+    found = marked(rows, F.col("h"), some, "hit").groupBy(F.expr("id % 4 = 0").alias("own")).agg(F.sum(F.col("hit").cast("int")).alias("hits")).collect()
+    hits = {r.own: r.hits for r in found}
+    assert hits[True] == 5000 and hits[False] < 1500
+    assert marked(rows, F.col("h"), some.limit(0), "hit").where("hit").isEmpty()
+
+
+def test_repeated_rows_without_text(documents):
+    """One stays, whether or not other rows repeat."""
+    for more in ([], [(2, "a b c"), (2, "a b c")]):
+        kept = jaccard.first_of_classes(documents([(1, None), (1, None), (3, "d e f"), *more]))
+        assert sorted(r.doc_id for r in kept.collect()) == sorted({1, 3, *(d for d, _ in more)})
