@@ -16,7 +16,6 @@ against their subphrases.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from demandgrid.llm.common import bounded_batches, pick
+from demandgrid.llm.common import BITMAP, bits_for, bounded_batches, pick
 from demandgrid.llm.shingling import BASE, mixed
 from demandgrid.session import discard, materialise
 
@@ -40,10 +39,10 @@ NO_LANG = "und"
 LETTERS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"." * 10)
 #: Text of a language that a task counts at once; of a longer text, all of it.
 BLOCK_BYTES = 8 << 20
-#: Bits per active phrase, and the most bits: beyond that more phrases are counted in vain.
-BITS_EACH, FEWEST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
-#: Bits of one bitmap of Spark's bitmap functions.
-BITMAP = 32768
+#: A word that is at least one in so many is followed by many others: its phrases are dealt to parts.
+HOT_SHARE, HOT_PARTS, WORD_PARTS = 1000, 64, 1024
+#: Tasks that add up the counts of a scan, per task that counts.
+SUMS_EACH = 2
 
 
 def bit_array(rows: DataFrame, hash_: str, bits: int, few: bool = False) -> np.ndarray:
@@ -61,10 +60,6 @@ def bit_array(rows: DataFrame, hash_: str, bits: int, few: bool = False) -> np.n
     return out
 
 
-def bits_for(rows: int) -> int:
-    return min(MOST_BITS, max(FEWEST_BITS, 1 << math.ceil(math.log2(max(1, rows * BITS_EACH)))))
-
-
 def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes.astype(np.uint64) & np.uint64(len(bits) * 8 - 1)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -95,22 +90,38 @@ def _phrases(names: pa.Array, lang: bytes, ids: np.ndarray, at: np.ndarray, leng
     return pc.binary_join_element_wise(pa.scalar(lang.decode(), names.type), phrase, pa.scalar("\n", names.type))
 
 
-def count_block(lang: bytes, text: bytes, words_too: bool, reached: np.ndarray | None, recent: np.ndarray | None, longest: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(keys, counts) of the words (if wanted) and active phrases of a text: those with both subphrases in ``reached``,
-    and one of them in ``recent``."""
+def _grouped(group: np.ndarray, lasts: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(order, last words, counts) of each group of rows: where its first row is, its last words with blanks between, and their counts."""
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    ends = pa.array(np.append(first, len(order)), pa.int32())
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, lasts.take(pa.array(order)).cast(pa.string())), " ")
+    return order[first], joined, pa.ListArray.from_arrays(ends, pa.array(counts[order], pa.int64()))
+
+
+def count_block(
+    lang: bytes, text: bytes, words_too: bool, reached: np.ndarray | None, recent: np.ndarray | None, longest: int, hot: tuple[str, ...] = ()
+) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array, pa.Array]]:
+    """(heads, parts, last words, counts) of the words (if wanted) and active phrases of a text: those with both subphrases in
+    ``reached``, and one of them in ``recent``. A head and one of its last words make a key; a key is always in the same part,
+    which is 0 unless the head is a language or one of the ``hot`` words."""
     # The first word is the end of a piece, so that it has number 0.
     plain = (b". " + text.translate(LETTERS).replace(b".", b" . ")).rstrip(b" ")
     words = pc.ascii_split_whitespace(pa.array([plain], pa.large_binary()).cast(pa.large_string())).flatten().dictionary_encode()
     ids, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+    own = word_hashes(names.cast(pa.large_binary()).to_pylist())
+    parts = np.zeros(len(names), np.int64)
+    parts[pc.index_in(pa.array(hot, names.type), value_set=names).drop_null().to_numpy()] = HOT_PARTS
     if words_too:
         counts = np.bincount(ids, minlength=len(names))
         counts[0] = 0
         some = np.flatnonzero(counts)
-        yield _phrases(names, lang, some, np.arange(len(some)), 1), counts[some]
+        part = (own[some] % np.uint64(WORD_PARTS)).astype(np.int64)
+        first, lasts, each = _grouped(part, names.take(pa.array(some)), counts[some])
+        yield pa.array([lang.decode() + "\n"] * len(first), names.type), part[first], lasts, each
     if reached is None:
         return
     # Of words, the bits are looked up once per name; of longer phrases, where both subphrases stand.
-    own = word_hashes(names.cast(pa.large_binary()).to_pylist())
     hashes = longer(np.repeat(word_hashes([lang]), len(names)), own)
     known_names = holds(reached, hashes)
     known_names[0] = False
@@ -125,8 +136,17 @@ def count_block(lang: bytes, text: bytes, words_too: bool, reached: np.ndarray |
         for j in range(1, length):
             # Numbered anew before each step, a code and a word fit 64 bits.
             code = np.unique(code, return_inverse=True)[1] * len(names) + ids[new + j]
-        _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        yield _phrases(names, lang, ids, new[first], length), counts
+        code, first, counts = np.unique(code, return_index=True, return_counts=True)
+        # Equal heads, all but the last word, follow each other.
+        begin, last = new[first], ids[new[first] + length - 1]
+        part = np.zeros(len(begin), np.int64)
+        if length == 2:
+            some = parts[ids[begin]] > 0
+            part[some] = 1 + (own[last[some]] % np.uint64(HOT_PARTS)).astype(np.int64)
+        group = np.cumsum(np.diff(code // len(names), prepend=-1) > 0) * (HOT_PARTS + 1) + part
+        chosen, lasts, each = _grouped(group, names.take(pa.array(last)), counts)
+        heads = _phrases(names, lang, ids, begin[chosen], length - 1)
+        yield pc.binary_join_element_wise(heads, pa.scalar("", names.type), pa.scalar(" ", names.type)), part[chosen], lasts, each
         if not len(at) or length == longest:
             return
         hashes = longer(hashes, own[ids[at + length - 1]])
@@ -136,17 +156,24 @@ def count_block(lang: bytes, text: bytes, words_too: bool, reached: np.ndarray |
         known[at], late[at] = True, holds(recent, hashes)
 
 
-def scan(texts: DataFrame, words_too: bool, reached: np.ndarray | None, recent: np.ndarray | None, longest: int) -> DataFrame:
-    """(key, c): language, line feed and phrase, with the count in these texts (lang, text)."""
+def scan(texts: DataFrame, words_too: bool, reached: np.ndarray | None, recent: np.ndarray | None, longest: int, hot: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(key, c): language, line feed and phrase, with the count in these texts (lang, text).
+
+    The phrases of a block move as their head, once, and all its last words. ``hot``: (lang, word) of words with very many.
+    """
     bits = texts.sparkSession.sparkContext.broadcast((reached, recent))
+    hot_words: dict[bytes, tuple[str, ...]] = {}
+    for lang, word in hot:
+        hot_words[lang.encode()] = (*hot_words.get(lang.encode(), ()), word)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[bytes]] = {}
 
         def counted() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                for keys, counts in count_block(lang, b".".join(parts), words_too, *bits.value, longest):
-                    yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(counts, pa.int64())], names=["key", "c"])
+                for heads, part, lasts, counts in count_block(lang, b".".join(parts), words_too, *bits.value, longest, hot_words.get(lang, ())):
+                    arrays = [heads.cast(pa.string()), pa.array(part, pa.int64()), lasts, counts]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["head", "part", "lasts", "counts"])
             held.clear()
 
         size = 0
@@ -160,7 +187,12 @@ def scan(texts: DataFrame, words_too: bool, reached: np.ndarray | None, recent:
                     size = 0
         yield from counted()
 
-    return texts.mapInArrow(count, "key string, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    made = texts.mapInArrow(count, "head string, part long, lasts string, counts array<long>")
+    # Tasks are sized by the corpus: by compressed bytes, AQE would give too many phrases to one.
+    made = made.repartition(max(1, SUMS_EACH * texts.rdd.getNumPartitions()), "head", "part")
+    each = made.select("head", "part", F.explode(F.arrays_zip(F.split("lasts", " ").alias("last"), F.col("counts").alias("c"))).alias("e"))
+    summed = each.groupBy("head", "part", F.col("e.last").alias("last")).agg(F.sum("e.c").alias("c"))
+    return summed.select(F.concat("head", "last").alias("key"), "c")
 
 
 def _phrase(key: Column) -> Column:
@@ -199,10 +231,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     counted: list[DataFrame] = []
     complete, totals = [], []
     reached = spark.createDataFrame([], "key string, reach int, words int, h long")
-    at, bits, active = 0, (None, None), 0
+    at, bits, active, hot = 0, (None, None), 0, ()
     while True:
         texts = corpus.where(F.col("shard") == at % shards).select("lang", "text")
-        table = scan(texts, at < shards, *bits, longest).withColumn("x", F.xxhash64("key"))
+        table = scan(texts, at < shards, *bits, longest, hot).withColumn("x", F.xxhash64("key"))
         counted.append(materialise(table, "llm-scan"))
         if len(counted) > shards:
             # No phrase that is still counted has counts as old as these.
@@ -215,6 +247,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         known = F.broadcast(reached) if active <= SMALL else reached
         started = _started(summed, known, at, shards, least)
         now = materialise(started, "llm-reached")
+        if at == 0:
+            # At most HOT_SHARE words, whatever the table.
+            all_words = totals[0].agg(F.sum("n")).first()[0] or 0
+            often = now.where((F.col("words") == 1) & (F.col("f") * HOT_SHARE >= all_words)).select("key").collect()
+            hot = tuple(tuple(r["key"].rsplit("\n", 1)) for r in often)
         # A phrase whose cycle ends with this scan has its count.
         complete.append(now.where(F.col("start") == at - shards + 1).select("key", "words", "f"))
         new = now.join(known, "key", "left_anti").select("key", F.lit(at).alias("reach"), "words", key_hash("key").alias("h"))

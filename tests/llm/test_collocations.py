@@ -88,3 +88,20 @@ def test_products_beyond_64_bits():
     a, n, left, right = 10**12 - 1, 10**15 + 7, 10**12 + 39, 10**12 + 61
     row = spark.createDataFrame([(a, n, left, right)], "a long, n long, l long, r long").selectExpr(f"cast({exact} as long) as s").first()
     assert row["s"] == 1000 * a * n // (left * right)
+
+
+def test_a_head_is_written_once_for_its_last_words():
+    """And, if hot, once per part: a key is in the same part in every block."""
+    full = np.full(collocations.BITMAP // 8, 255, np.uint8)
+    want = Counter()
+    text = " ".join(f"the w{i % 40} of w{i % 7}" for i in range(200)).split()
+    for size in (1, 2):
+        want.update("en\n" + " ".join(text[i : i + size]) for i in range(len(text) - size + 1))
+    for hot, most in (((), 1), (("the",), 40)):
+        rows, got = Counter(), Counter()
+        for heads, part, lasts, counts in collocations.count_block(b"en", " ".join(text).encode(), True, full, full, 2, hot):
+            for head, p, words, each in zip(heads.to_pylist(), part, lasts.to_pylist(), counts.to_pylist()):
+                rows[head] += 1
+                assert (p > 0) == (head == "en\nthe " and bool(hot)) or head == "en\n"
+                got.update(dict(zip((head + w for w in words.split(" ")), each, strict=True)))
+        assert got == want and rows["en\nof "] == 1 and (rows["en\nthe "] == 1 if most == 1 else 1 < rows["en\nthe "] <= most)
