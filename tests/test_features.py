@@ -142,3 +142,17 @@ def test_describe(series):
 def test_unknown_mode(series):
     with pytest.raises(ValueError, match="mode"):
         ft.feature_job(series(FIVE), "other", "2024-01-01")
+
+
+def test_a_forecast_table_sorts_its_rows_once_for_months_and_once_for_days(series):
+    grid = series([("A", "2024-01-01", 1.0), ("B", "2024-01-02", 2.0)])
+    plan = ft.forecast_table(grid, "all", "2024-01-31")._jdf.queryExecution().executedPlan().toString()
+    last = plan.split("== Initial Plan ==")[-1]
+    assert last.count("Sort [") == 2
+
+
+def test_a_month_keeps_the_missing_values_of_its_first_row(series):
+    days = [("A", f"2024-{m:02d}-0{d}", v) for m, d, v in ((1, 1, None), (1, 2, 4.0), (2, 1, 5.0), (2, 2, 6.0), (4, 1, 7.0), (4, 2, 8.0))]
+    table = series([*days, ("A", None, 3.0), ("B", "2024-02-02", 9.0)]).withColumn("x_f", F.col("actual_value"))
+    got = ft.known_at_month_start(table, ["x_f"], "2024-03-31").filter("file_date IS NOT NULL").orderBy("material_key", "file_date")
+    assert [r.x_f for r in got.collect()] == [None, None, 5.0, 5.0, 7.0, 7.0, 9.0]
